@@ -3,15 +3,38 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup
+from tidemark.llm import exact_dedup, language_id, near_dedup, packing, token_counts, vector_search
+from tidemark.session import ship_package
 
+Query = Callable[[SparkSession, str], DataFrame]
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_exact_dedup": exact_dedup.op5_exact_dedup}
+
+def shipped(query: Query) -> Query:
+    """``query``, with the package sent to the Python workers first."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+def queries() -> dict[str, Query]:
+    found = {
+        "op1_token_counts": token_counts.op1_token_counts,
+        "op2_near_dedup": near_dedup.op2_near_dedup,
+        "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+        "op8_packing": packing.op8_packing,
+        "op9_language_id": language_id.op9_language_id,
+        "op10_nearest": vector_search.op10_nearest,
+    }
+    return {name: shipped(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.OP5_SQL}
+    return {"op2_near_dedup": near_dedup.OP2_SQL, "op5_exact_dedup": exact_dedup.OP5_SQL}
