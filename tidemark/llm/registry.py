@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, language_id, near_dedup, packing, token_counts, vector_search
+from tidemark.llm import exact_dedup, language_id, language_model, mixing, near_dedup, packing, personal_data, token_counts, token_shards, vector_search
 from tidemark.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,7 +28,11 @@ def queries() -> dict[str, Query]:
     found = {
         "op1_token_counts": token_counts.op1_token_counts,
         "op2_near_dedup": near_dedup.op2_near_dedup,
+        "op3_mixing": mixing.op3_mixing,
+        "op4_token_shards": token_shards.op4_token_shards,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+        "op6_personal_data": personal_data.op6_personal_data,
+        "op7_lm_scores": language_model.op7_lm_scores,
         "op8_packing": packing.op8_packing,
         "op9_language_id": language_id.op9_language_id,
         "op10_nearest": vector_search.op10_nearest,
