@@ -7,10 +7,11 @@ or two rounds do. Documents with equal shingle sets form a class first, and only
 on. Band keys of four coordinates put classes into buckets.
 
 Within a bucket each member is verified against the bucket's smallest id alone, which is linear in the
-bucket. Buckets whose members then lie in different components are looked at again: of their pairs,
-those in different components whose distances to the common bucket leader differ by no more than the
-link distance are verified as well (Jaccard distance is a metric, so all other pairs cannot be links).
-No link between bucket mates is lost, and copies are never expanded into all pairs.
+bucket. Buckets whose members then lie in different components are looked at again: of their pairs in
+different components, those that exact bounds leave are verified as well: distances to the common
+bucket leader may differ by no more than the link distance (Jaccard distance is a metric), and the
+overlap must be possible (see :func:`remaining_pairs`). No link between bucket mates is lost, and copies
+are never expanded into all pairs.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import byte_column, documents, slices, staged
@@ -30,6 +31,8 @@ SHINGLE = 5
 PERCENT = 75
 BINS, ROWS = 128, 4
 WORD_CACHE = 500_000
+#: Shingles that so many of the documents in question have at most are rare.
+RARE = 8
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -158,6 +161,61 @@ def overlaps(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a bigint, b bigint, both bigint, either bigint")
 
 
+def shingle_rows(texts: DataFrame) -> DataFrame:
+    """(rep, shingle): the full sets of ``texts`` (id, text), a row per shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = WordHashes()
+        for batch in batches:
+            ids, data = batch.column(0).to_numpy(zero_copy_only=False), byte_column(batch.column(1))
+            for lo, hi in slices([len(x) for x in data]):
+                sets = shingle_sets(data[lo:hi], table)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[lo:hi], [len(s) for s in sets]).astype(np.int64)), pa.array(np.concatenate(sets).view(np.int64))], names=["rep", "shingle"])
+
+    return texts.select("id", "text").mapInArrow(run, "rep bigint, shingle bigint")
+
+
+def remaining_pairs(left: DataFrame, bands: DataFrame, texts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, ca, cb): pairs of ``left`` (key, rep, component, far) in different components that may be links.
+
+    ``bands`` has (rep, bands), ``texts`` (id, text), ``nodes`` the sketch table.
+
+    Shingles that at most ``RARE`` documents of ``left`` have are rare, the others common. A pair's overlap
+    is at most the smaller number of common shingles, plus the rare ones that both have. So a link either
+    shares a rare shingle, and is found by an index of these with at most ``RARE`` entries a shingle, or
+    is found among bucket mates whose common shingles alone suffice. Both bounds are exact.
+    """
+    ids = staged(left.select("rep", "component").distinct(), "left-ids")
+    rows = staged(shingle_rows(texts.join(ids.select(F.col("rep").alias("id")), "id", "left_semi")), "rows")
+    rare = staged(rows.join(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= RARE), "shingle"), "rare")
+    sizes = nodes.groupBy(F.col("doc_id").alias("rep")).agg(F.min("n_shingles").alias("size"), F.max("digest").alias("last"), F.min("digest").alias("first"))
+    # an id with several texts has no single size, so all its shingles count as common
+    common = F.when(F.col("first") == F.col("last"), F.col("size") - F.coalesce("few", F.lit(0))).otherwise(F.col("size"))
+    spread = sizes.join(ids, "rep").join(rare.groupBy("rep").agg(F.count(F.lit(1)).alias("few")), "rep", "left")
+    spread = staged(spread.select("rep", "component", "size", common.alias("common")), "spread")
+    other = spread.select(*[F.col(c).alias(f"{c}2") for c in spread.columns])
+
+    def enough(overlap: Column) -> Column:
+        return overlap * 100 >= (F.col("size") + F.col("size2") - overlap) * percent
+
+    least = F.least("common", "common2")
+    mates = left.select("key", "rep", "far").join(spread.where(F.col("common") * 100 >= F.col("size") * percent), "rep").join(bands, "rep")
+    mates = staged(mates, "mates")
+    # members of a bucket's largest component need not meet each other
+    largest = mates.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
+    minor = mates.join(largest, "key").where("component <> largest")
+    mates2 = mates.select("key", *[F.col(c).alias(f"{c}2") for c in ("rep", "component", "size", "common", "far", "bands")])
+    reach = 1 - percent / 100 + 1e-9
+    apart = (F.col("component") != F.col("component2")) & ((F.col("component2") == F.col("largest")) | (F.col("rep") < F.col("rep2")))
+    once = F.array_min(F.array_intersect("bands", "bands2")) == F.col("key")  # a pair counts in one of its buckets
+    near = minor.join(mates2, "key").where(apart & enough(least) & (F.abs(F.col("far") - F.col("far2")) <= reach) & once)
+    few = rare.where("n > 1").select("shingle", "rep")
+    shared = few.join(few.withColumnRenamed("rep", "rep2"), "shingle").where("rep < rep2").groupBy("rep", "rep2").agg(F.count(F.lit(1)).alias("both"))
+    met = shared.join(spread, "rep").join(other, "rep2").where((F.col("component") != F.col("component2")) & enough(least + F.col("both")))
+    columns = [F.col("rep").alias("a"), F.col("rep2").alias("b"), F.col("component").alias("ca"), F.col("component2").alias("cb")]
+    return near.select(columns).union(met.select(columns)).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over ``links`` (a, b), for every id that has a link.
 
@@ -209,11 +267,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     split = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
     far = checked.select(F.col("a").alias("leader"), F.col("b").alias("rep"), (1 - F.col("both") / F.col("either")).alias("far"))
     left = staged(placed.join(split, "key", "left_semi").join(far, ["leader", "rep"]).select("key", "rep", "component", "far"), "left")
-    other = left.select("key", F.col("rep").alias("rep2"), F.col("component").alias("component2"), F.col("far").alias("far2"))
-    reach = 1 - percent / 100 + 1e-9
-    rest = left.join(other, "key").where((F.col("component") != F.col("component2")) & (F.col("rep") < F.col("rep2")) & (F.abs(F.col("far") - F.col("far2")) <= reach))
-    pairs = rest.select(F.col("rep").alias("a"), F.col("rep2").alias("b"), F.col("component").alias("ca"), F.col("component2").alias("cb")).distinct()
-    pairs = staged(pairs, "pairs")
+    pairs = staged(remaining_pairs(left, nodes.groupBy("rep").agg(F.flatten(F.collect_list("bands")).alias("bands")), texts, nodes_all, percent), "pairs")
     later = overlaps(pairs.select("a", "b"), texts).where(is_link).select("a", "b")
     joins = staged(later.join(pairs, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "joins")
     if joins.limit(1).count():
