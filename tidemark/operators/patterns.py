@@ -14,6 +14,10 @@ from tidemark.operators.outcomes import stride, usable
 TRENDS = ("NONE", "ABOVE_SMA_200", "ABOVE_RISING_SMA_200", "ABOVE_ALL", "STACKED")
 
 
+def by_window():
+    return Window.partitionBy("instrument_id").orderBy("trade_date")
+
+
 def with_trends(bars: DataFrame) -> DataFrame:
     for n in (50, 100, 200):
         bars = bars.withColumn(f"sma_{n}", sma(F.col("close"), n))
