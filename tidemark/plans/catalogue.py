@@ -7,13 +7,13 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import features, research, strategy
+from tidemark.plans import data, features, research, strategy
 from tidemark.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that export QUERIES: name to (query, SQL or None).
-MODULES = (features, strategy, research)
+MODULES = (data, features, strategy, research)
 
 
 def _shipped(query: Query) -> Query:
