@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import shared_path
+
 #: Text handed to one vectorised step inside a task; bounds worker memory whatever the row sizes are.
 SLICE_BYTES = 1 << 20
 
@@ -19,23 +18,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = os.path.join(tempfile.gettempdir(), "tidemark-shared")
-    return root.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder under :func:`shared_root`, removed when the driver's JVM ends."""
-    path = f"{shared_root(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and a lost executor costs no recomputation."""
     spark = df.sparkSession
@@ -61,5 +43,22 @@ def slices(sizes: list[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         yield start, len(sizes)
 
 
+def looked_up(texts: list[bytes], table: dict, split: Callable[[bytes], list[bytes]]) -> Iterator[Iterable]:
+    """The table's values for the parts of each text.
+
+    ``table.learn(parts)`` adds parts that it lacks, and says whether it had to drop others for that.
+    """
+    for lo, hi in slices([len(x) for x in texts]):
+        parts = [split(x) for x in texts[lo:hi]]
+        found: list[Iterable] = [list(map(table.get, own)) for own in parts]
+        open_ = [i for i, got in enumerate(found) if None in got]
+        if open_:
+            if table.learn({x for i in open_ for x, got in zip(parts[i], found[i], strict=True) if got is None}):
+                table.learn({x for i in open_ for x in parts[i]})
+            for i in open_:
+                found[i] = map(table.__getitem__, parts[i])
+        yield from found
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))

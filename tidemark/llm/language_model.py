@@ -27,8 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_column, documents, shared_path, slices
+from tidemark.llm.common import byte_column, documents, slices
 from tidemark.llm.near_dedup import _mix
+from tidemark.session import shared_path
 
 PRIOR = 100.0
 #: Width of a quantisation step of -log10 p; one byte holds 256 of them.
