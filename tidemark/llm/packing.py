@@ -24,52 +24,89 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_column, documents, slices, staged
+from tidemark.llm.common import byte_column, documents, looked_up, staged
 
 CAPACITY = 4096
 #: Pieces that are not full windows are at most this long, so that near-equal windows are within reach.
 LONGEST_PIECE = 1024
 #: Windows that a group aims at.
-GROUP_WINDOWS = 192
-CACHE_ENTRIES = 400_000
-_PLAIN = re.compile(rb"([A-Za-z\x80-\xff]+)([.,;:!?]+)")
+GROUP_WINDOWS = 96
+CACHE_ENTRIES = 1_200_000
+_MARKS = b".,;:!?"
+_PLAIN = re.compile(rb"([A-Za-z\x80-\xff]+)([.,;:!?]*)")
 
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    """The tokenizer, and which of its ids end a word."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to other tasks
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    made = Tokenizer.from_file(path)
+    ends = np.zeros(made.get_vocab_size(), dtype=bool)
+    ends[[i for x, i in made.get_vocab().items() if x.endswith("</w>")]] = True
+    return made, ends
 
 
 class WordIds(dict):
-    """White-space separated word to its ids, as little-endian unsigned 32-bit bytes."""
+    """White-space separated word to its ids, as little-endian unsigned 32-bit bytes.
+
+    A word of letters, lower-cased, with or without marks after it, is looked up in two parts. New parts are
+    encoded as one text, whose ids are cut after each word end; should that not give one cut a part,
+    or where a word has another form, words are encoded one by one.
+    """
 
     def __init__(self, path: str):
         super().__init__()
-        self.tokenizer = _tokenizer(path)
+        self.tokenizer, self.ends = _tokenizer(path)
+        self.parts: dict[bytes, bytes] = {}
 
-    def learn(self, words: set[bytes]) -> None:
-        """Make sure that the table has all of ``words``; new ones are encoded in one batch."""
+    def learn(self, words: set[bytes]) -> bool:
+        """Make sure that the table has all of ``words``; whether others had to go for that."""
         new = words.difference(self)
-        if not new:
-            return
-        if len(self) + len(new) > CACHE_ENTRIES:
+        if full := len(self) + len(new) > CACHE_ENTRIES:
             self.clear()
+            self.parts.clear()
             new = words
-        new = list(new)
-        for word, got in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False), strict=True):
-            self[word] = np.asarray(got.ids, dtype="<u4").tobytes()
+        split, odd = {}, []
+        for word in new:
+            found = _PLAIN.fullmatch(word)
+            if found and word.translate(None, _MARKS).decode("utf-8").isalpha():
+                split[word] = (found[1].lower(), found[2])
+            else:
+                odd.append(word)
+        self._learn_parts(list({x for pair in split.values() for x in pair if x}.difference(self.parts)))
+        for word, (core, tail) in split.items():
+            self[word] = self.parts[core] + self.parts[tail] if tail else self.parts[core]
+        self.update(zip(odd, self._one_by_one(odd), strict=True))
+        return full
+
+    def _learn_parts(self, new: list[bytes]) -> None:
+        for lo in range(0, len(new), 4096):
+            own = new[lo : lo + 4096]
+            ids = np.array(self.tokenizer.encode(b" ".join(own).decode("utf-8"), add_special_tokens=False).ids, dtype="<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(own) and cut[-1] == len(ids):
+                data, at = ids.tobytes(), [0, *(4 * cut).tolist()]
+                self.parts.update((x, data[i:j]) for x, i, j in zip(own, at, at[1:], strict=False))
+            else:
+                self.parts.update(zip(own, self._one_by_one(own), strict=True))
+
+    def _one_by_one(self, words: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False) if words else []
+        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+
+
+@lru_cache(maxsize=1)
+def _word_ids(path: str) -> WordIds:
+    """The table of this worker: its tasks share it."""
+    return WordIds(path)
 
 
 def encoded(texts: list[bytes], table: WordIds, end: bytes) -> Iterator[bytes]:
     """The ids of each text, with ``end`` after them, as bytes."""
-    for lo, hi in slices([len(x) for x in texts]):
-        words = [x.split() for x in texts[lo:hi]]
-        table.learn(set().union(*words))
-        for own in words:
-            yield b"".join(map(table.__getitem__, own)) + end
+    for ids in looked_up(texts, table, bytes.split):
+        yield b"".join(ids) + end
 
 
 def cuts(n: int, capacity: int = CAPACITY, longest: int = LONGEST_PIECE) -> list[tuple[int, int]]:
@@ -91,7 +128,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str =
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordIds(tokenizer_path)
+        table = _word_ids(tokenizer_path)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), byte_column(batch.column(1))
             rows: list[tuple] = []
