@@ -91,6 +91,12 @@ def frequent_pre_tokens(docs: DataFrame, text_col: str = "text", size: int = 1 <
     return [bytes(r.token) for r in total.select("token").collect()]
 
 
+@lru_cache(maxsize=1)
+def _length_table(path: str, keys: tuple[bytes, ...], lengths: bytes) -> LengthTable:
+    """The table of this worker: its tasks share it."""
+    return LengthTable(path, dict(zip(keys, lengths, strict=True)))
+
+
 def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, table_size: int = 1 << 15, local_top: int = 4096) -> DataFrame:
     """Per row: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
@@ -101,11 +107,10 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     keys = frequent_pre_tokens(docs, text_col, table_size, local_top)
     encode = _processor(model_path).encode
     lengths = np.array([len(encode(k.decode("utf-8"))) if k else 1 for k in keys], dtype=np.uint8)
-    packed = docs.sparkSession.sparkContext.broadcast((keys, lengths.tobytes()))
+    packed = docs.sparkSession.sparkContext.broadcast((tuple(keys), lengths.tobytes()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, sizes = packed.value
-        table = LengthTable(model_path, dict(zip(names, sizes, strict=True)))
+        table = _length_table(model_path, *packed.value)
         for batch in batches:
             texts = byte_column(batch.column(1))
             n = [table.count(x) for x in texts]
