@@ -96,7 +96,7 @@ def _usable(column: pa.Array, dims: int | None = None) -> tuple[np.ndarray, np.n
             if np.isfinite(v).all() and v.any():
                 rows.append(i)
                 out.append(v)
-    return np.array(rows, dtype=np.int64), np.array(out, dtype=np.float64).reshape(len(out), -1)
+    return np.array(rows, dtype=np.int64), np.array(out, dtype=np.float64) if out else np.zeros((0, dims or 0))
 
 
 def _best(scores: np.ndarray, keep: int) -> np.ndarray:
