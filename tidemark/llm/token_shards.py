@@ -5,14 +5,15 @@ partition by input partition. A keyed Feistel permutation with cycle-walking giv
 sequences its global slot, so the order is random, reproducible from the key, and needs no sort of
 random numbers. Each shard is a range of slots and is written by one task as raw little-endian
 unsigned 16-bit ids: sequence s starts at byte (s mod shard_rows) * 2 * length of its file, so a reader
-can resume anywhere. A first pass only counts ids, by the table of pre-token lengths, so that the
-number of sequences is known before anything is shuffled.
+can resume anywhere. Texts are tokenised once, into a staged table of compressed blocks of sequences;
+from its counts the number of all sequences is known before anything is shuffled.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +21,18 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_column, documents, shared_path
-from tidemark.llm.token_counts import CACHE_ENTRIES, LONGEST_CACHED, LengthTable, _processor, pre_tokens
+from tidemark.llm.common import byte_column, documents, looked_up, staged
+from tidemark.llm.token_counts import LONGEST_CACHED, _processor, pre_tokens
+from tidemark.session import shared_path
 
 LENGTH = 1024
 SHARD_ROWS = 4096
 END_ID, PAD_ID = 2, 0
 KEY = 0x5DEECE66D
 ROUNDS = 6
+ID_ENTRIES = 1_200_000
+#: Sequences of a block of the staged table.
+BLOCK_ROWS = 256
 
 
 def permuted(index: np.ndarray, size: int, key: int = KEY) -> np.ndarray:
@@ -55,25 +60,47 @@ def permuted(index: np.ndarray, size: int, key: int = KEY) -> np.ndarray:
 
 
 class IdTable(dict):
-    """Pre-token to its ids as little-endian unsigned 16-bit bytes, bounded in size."""
+    """Pre-token to its ids as little-endian unsigned 16-bit bytes, bounded in size.
+
+    New pre-tokens are encoded as one text; each begins with the one id of its own that starts with the
+    mark, so the ids are cut there. Pre-tokens with more marks are encoded one by one.
+    """
 
     def __init__(self, path: str):
         super().__init__()
         self.model = _processor(path)
-        if self.model.get_piece_size() > 1 << 16:
+        size = self.model.get_piece_size()
+        if size > 1 << 16:
             raise ValueError("ids need more than 16 bits")
+        self.starts = np.array([self.model.id_to_piece(i).startswith("▁") for i in range(size)])
         self.mark = np.array([self.model.piece_to_id("▁")], dtype="<u2").tobytes()
 
-    def __missing__(self, key: bytes) -> bytes:
-        ids = np.array(self.model.encode(key.decode("utf-8")), dtype="<u2").tobytes() if key else self.mark
-        if len(key) <= LONGEST_CACHED:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[key] = ids
-        return ids
-
-    def ids(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, pre_tokens(text)))
+    def _one(self, key: bytes) -> bytes:
+        return np.array(self.model.encode(key.decode("utf-8")), dtype="<u2").tobytes() if key else self.mark
+
+    def learn(self, parts: set[bytes]) -> bool:
+        new = parts.difference(self)
+        if full := len(self) + len(new) > ID_ENTRIES:
+            self.clear()
+            new = parts
+        plain = [x for x in new if x and b" " not in x and len(x) <= LONGEST_CACHED]
+        self.update((x, self._one(x)) for x in new.difference(plain))
+        for lo in range(0, len(plain), 2048):
+            own = plain[lo : lo + 2048]
+            ids = np.array(self.model.encode(b" ".join(own).decode("utf-8")), dtype="<u2")
+            cut = np.flatnonzero(self.starts[ids])
+            if len(cut) == len(own):
+                data, at = ids.tobytes(), [*(2 * cut).tolist(), 2 * len(ids)]
+                self.update((x, data[i:j]) for x, i, j in zip(own, at, at[1:], strict=False))
+            else:
+                self.update((x, self._one(x)) for x in own)
+        return full
+
+
+@lru_cache(maxsize=1)
+def _id_table(path: str) -> IdTable:
+    """The table of this worker: its tasks share it."""
+    return IdTable(path)
 
 
 def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -83,78 +110,73 @@ def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
 def write_shards(docs: DataFrame, path: str, model_path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard_rows: int = SHARD_ROWS, key: int = KEY) -> DataFrame:
     """Write shards under ``path``; per sequence: slot, shard, position, n_tokens, ids_crc32, doc_ids.
 
-    ``docs`` must give the same partitions each time it runs, as a scan or a staged table does (a count
-    that differs between the two passes raises). A sequence has ids of one input partition; the last of
-    a partition is padded. Null and empty texts have the end id alone. Null ids are left out of doc_ids;
-    repeated rows are written each. Other columns are ignored; an empty table writes nothing. A shard
-    appears under its name when complete, so a task that is run again replaces it whole.
+    A sequence has ids of one input partition; the last of a partition is padded. Null and empty texts
+    have the end id alone. Null ids are left out of doc_ids; repeated rows are written each. Other columns
+    are ignored; an empty table writes nothing. A shard appears under its name when complete, so a task
+    that is run again replaces it whole.
     """
     spark = docs.sparkSession
     rows = docs.select(F.spark_partition_id().alias("part"), F.col(id_col).cast("long").alias("id"), text_col)
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, total, part = LengthTable(model_path, {}), 0, None
-        for batch in batches:
-            if batch.num_rows:
-                part = batch.column(0)[0].as_py()
-                total += sum(table.count(x) + 1 for x in byte_column(batch.column(2)))
-        if part is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total], pa.int64())], names=["part", "n"])
-
-    counted = dict(sorted((r.part, r.n) for r in rows.mapInArrow(measure, "part int, n bigint").collect()))
-    starts, size = {}, 0
-    for part, n in counted.items():  # one number for each input partition
-        starts[part] = size
-        size += -(-n // length)
     stride = 2 * length
-    form = "slot bigint, shard bigint, n_tokens int, ids binary, doc_ids array<bigint>"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        press = zstandard.ZstdCompressor(level=1)
-        table, end = IdTable(model_path), np.array([END_ID], dtype="<u2").tobytes()
-        held, owners, part, serial, total = bytearray(), [], None, 0, 0
+        press = zstandard.ZstdCompressor(level=3)
+        table, end = _id_table(model_path), np.array([END_ID], dtype="<u2").tobytes()
+        held, owners, part, first = bytearray(), [], None, 0
 
-        def emit(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, owners, serial
+        def block(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, owners, first
             count = len(held) // stride + bool(last and len(held) % stride)
             if not count:
                 return
-            slots = permuted(np.arange(starts[part] + serial, starts[part] + serial + count), size, key)
-            ids, tokens, names, at = [], [], [], 0
+            names, at = [], 0
             for i in range(count):
-                piece = bytes(held[i * stride : (i + 1) * stride])
                 while at < len(owners) and owners[at][1] <= i * stride:
                     at += 1
                 j, own = at, []
                 while j < len(owners) and owners[j][0] < (i + 1) * stride:
                     own.append(owners[j][2])
                     j += 1
-                ids.append(press.compress(piece))
-                tokens.append(len(piece) // 2)
                 names.append([x for x in own if x is not None])
             done = count * stride
+            data = press.compress(bytes(held[:done]))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([count], pa.int64()), pa.array([data], pa.binary()), pa.array([names], pa.list_(pa.list_(pa.int64())))], names=["part", "first", "n", "data", "doc_ids"])
             owners = [(a - done, b - done, x) for a, b, x in owners[at:] if b > done]
             held = held[done:]
-            serial += count
-            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(slots // shard_rows), pa.array(tokens, pa.int32()), pa.array(ids, pa.binary()), pa.array(names, pa.list_(pa.int64()))], names=["slot", "shard", "n_tokens", "ids", "doc_ids"])
+            first += count
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             part = batch.column(0)[0].as_py()
-            for doc, text in zip(batch.column(1).to_pylist(), byte_column(batch.column(2)), strict=True):
-                data = table.ids(text) + end
+            for doc, ids in zip(batch.column(1).to_pylist(), looked_up(byte_column(batch.column(2)), table, pre_tokens), strict=True):
+                data = b"".join(ids) + end
                 owners.append((len(held), len(held) + len(data), doc))
                 held += data
-                total += len(data) // 2
-                if len(held) >= 256 * stride:
-                    yield from emit(False)
+                if len(held) >= BLOCK_ROWS * stride:
+                    yield from block(False)
         if part is not None:
-            if total != counted.get(part):
-                raise RuntimeError(f"input partition {part} changed between two passes: stage the table first")
-            yield from emit(True)
+            yield from block(True)
+
+    blocks = staged(rows.mapInArrow(cut, "part int, first bigint, n bigint, data binary, doc_ids array<array<bigint>>"), "id-blocks")
+    starts, size = {}, 0
+    for r in blocks.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # one number for each input partition
+        starts[r.part] = size
+        size += r.n
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press, expand = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        for batch in batches:
+            for row in range(batch.num_rows):
+                part, first, n, data, names = (batch.column(c)[row].as_py() for c in range(5))
+                slots = permuted(np.arange(starts[part] + first, starts[part] + first + n), size, key)
+                raw = expand.decompress(data)
+                pieces = [raw[i * stride : (i + 1) * stride] for i in range(n)]
+                yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(slots // shard_rows), pa.array([len(x) // 2 for x in pieces], pa.int32()), pa.array([press.compress(x) for x in pieces], pa.binary()), pa.array(names, pa.list_(pa.int64()))], names=["slot", "shard", "n_tokens", "ids", "doc_ids"])
 
     def write(shard: pa.Table) -> pa.Table:
         import zstandard
@@ -177,7 +199,8 @@ def write_shards(docs: DataFrame, path: str, model_path: str, id_col: str = "doc
     out = "slot bigint, shard bigint, position bigint, n_tokens int, ids_crc32 bigint, doc_ids array<bigint>"
     if not size:
         return spark.createDataFrame([], out)
-    return rows.mapInArrow(cut, form).groupBy("shard").applyInArrow(write, out)
+    form = "slot bigint, shard bigint, n_tokens int, ids binary, doc_ids array<bigint>"
+    return blocks.mapInArrow(spread, form).groupBy("shard").applyInArrow(write, out)
 
 
 def read_slots(path: str, first: int, count: int, length: int = LENGTH, shard_rows: int = SHARD_ROWS) -> Iterator[np.ndarray]:

@@ -24,6 +24,8 @@ TRAIN_ROWS = 12_000
 #: Share of a vector's length above which an inner product counts, which sets eta.
 THRESHOLD = 0.2
 BLOCK_ROWS, QUERY_ROWS = 4096, 512
+#: Blocks of the index that one task scans for one block of queries.
+LANE_BLOCKS = 8
 
 
 class Codebook:
@@ -115,7 +117,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = 9
     ``rerank`` best coded scores of every block of ``BLOCK_ROWS`` vectors are reranked exactly, so
     recall does not fall as the table grows. Null or zero vectors, those with null or non-finite
     components, null ids and vectors of another length than most take no part; with nothing left the
-    result is empty. Repeated ids are candidates each. Other columns are ignored.
+    result is empty. Repeated ids are candidates each; of a repeated query id one vector asks. Other
+    columns are ignored.
     """
     spark = vectors.sparkSession
     empty = "query_id bigint, rank int, vec_id bigint, score double"
@@ -162,36 +165,50 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = 9
 
     form = "serial bigint, ids binary, vecs binary, codes binary"
     index = staged(base.repartition(max(1, rows // BLOCK_ROWS), "id").mapInArrow(blocks(BLOCK_ROWS, True), form), "index")
-    asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null")
-    asked = staged(asked.repartition(max(1, rows // 20 // QUERY_ROWS), "id").mapInArrow(blocks(QUERY_ROWS, False), form), "queries")
-    lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # every block of queries goes to each lane once, every block of the index to one lane
-    left = index.select(F.pmod(F.monotonically_increasing_id(), F.lit(lanes)).alias("lane"), "ids", "vecs", "codes")
-    right = asked.select(F.explode(F.expr(f"sequence(0L, {lanes - 1}L)")).alias("lane"), F.col("ids").alias("query_ids"), F.col("vecs").alias("query_vecs"))
+    asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null").groupBy("id").agg(F.max("v").alias("v"))
+    asked = staged(asked.repartition(max(1, rows // 20 // QUERY_ROWS), "id").mapInArrow(blocks(QUERY_ROWS, False), form).withColumn("part", F.monotonically_increasing_id()), "queries")
+    lanes, parts = max(1, -(-index.count() // LANE_BLOCKS)), [r.part for r in asked.select("part").collect()]  # a number for each block of queries
+    if not parts:
+        return spark.createDataFrame([], empty)
+    # a task meets one block of queries with the blocks of one lane, and sends on their common best only
+    left = index.select(F.pmod(F.monotonically_increasing_id(), F.lit(lanes)).alias("lane"), F.explode(F.array(*[F.lit(x).cast("bigint") for x in parts])).alias("part"), "ids", "vecs", "codes")
+    right = asked.select(F.explode(F.expr(f"sequence(0L, {lanes - 1}L)")).alias("lane"), "part", F.col("ids").alias("query_ids"), F.col("vecs").alias("query_vecs"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+
+        def flush() -> pa.RecordBatch:
+            q, i, s = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((i, -s, q))
+            q, i, s = q[order], i[order], s[order]
+            first = np.searchsorted(q, q, side="left")
+            top = np.arange(len(q)) - first < k
+            return pa.RecordBatch.from_arrays([pa.array(x[top]) for x in (q, i, s)], names=["query_id", "vec_id", "score"])
+
         for batch in batches:
             for row in range(batch.num_rows):
-                ids, vecs, codes, qids, qvecs = (batch.column(c)[row].as_py() for c in range(5))
+                lane, part, ids, vecs, codes, qids, qvecs = (batch.column(c)[row].as_py() for c in range(7))
+                if held and last != (lane, part):
+                    yield flush()
+                    held = []
+                last = (lane, part)
                 i, v = np.frombuffer(ids, dtype="<i8"), np.frombuffer(vecs).reshape(-1, dims)
                 q_i, q_v = np.frombuffer(qids, dtype="<i8"), np.frombuffer(qvecs).reshape(-1, dims)
                 code = np.frombuffer(codes, dtype=np.uint8).reshape(len(i), -1)
                 scores = np.zeros((len(q_i), len(i)), dtype=np.float32)
                 for b, table in enumerate(book.tables(q_v)):
                     scores += table[:, code[:, b]]
-                out: list[list[np.ndarray]] = [[], [], []]
                 for n in range(len(q_i)):
                     scores[n, i == q_i[n]] = -np.inf
                     near = _best(scores[n], rerank)
                     near = near[i[near] != q_i[n]]
                     exact = v[near] @ q_v[n]
                     top = np.lexsort((i[near], -exact))[:k]
-                    out[0].append(np.full(len(top), q_i[n]))
-                    out[1].append(i[near[top]])
-                    out[2].append(exact[top])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query_id", "vec_id", "score"])
+                    held.append((np.full(len(top), q_i[n]), i[near[top]], exact[top]))
+        if held:
+            yield flush()
 
-    pairs = left.join(right, "lane").select("ids", "vecs", "codes", "query_ids", "query_vecs")
+    pairs = left.join(right, ["lane", "part"]).select("lane", "part", "ids", "vecs", "codes", "query_ids", "query_vecs")
     found = pairs.mapInArrow(scan, "query_id bigint, vec_id bigint, score double")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
