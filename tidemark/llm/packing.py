@@ -13,7 +13,6 @@ from __future__ import annotations
 import heapq
 import math
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,8 +31,8 @@ LONGEST_PIECE = 1024
 #: Windows that a group aims at.
 GROUP_WINDOWS = 96
 CACHE_ENTRIES = 1_200_000
-_MARKS = b".,;:!?"
-_PLAIN = re.compile(rb"([A-Za-z\x80-\xff]+)([.,;:!?]*)")
+#: ASCII marks that the tokenizer takes as one run after a word; not the apostrophe, nor what special strings are written with.
+_MARKS = b".,;:!?*#$&%()+=~"
 
 
 @lru_cache(maxsize=2)
@@ -68,23 +67,25 @@ class WordIds(dict):
             self.clear()
             self.parts.clear()
             new = words
-        split, odd = {}, []
+        cores, tails, plain, odd = [], [], [], []
         for word in new:
-            found = _PLAIN.fullmatch(word)
-            if found and word.translate(None, _MARKS).decode("utf-8").isalpha():
-                split[word] = (found[1].lower(), found[2])
+            core = word.rstrip(_MARKS)
+            if core.isalpha() or core.decode("utf-8").isalpha():
+                plain.append(word)
+                cores.append(core.lower())
+                tails.append(word[len(core) :])
             else:
                 odd.append(word)
-        self._learn_parts(list({x for pair in split.values() for x in pair if x}.difference(self.parts)))
-        for word, (core, tail) in split.items():
-            self[word] = self.parts[core] + self.parts[tail] if tail else self.parts[core]
+        parts = self.parts
+        self._learn_parts(list(set(cores).union(filter(None, tails)).difference(parts)))
+        self.update(zip(plain, [parts[c] + parts[t] if t else parts[c] for c, t in zip(cores, tails, strict=True)], strict=True))
         self.update(zip(odd, self._one_by_one(odd), strict=True))
         return full
 
     def _learn_parts(self, new: list[bytes]) -> None:
         for lo in range(0, len(new), 4096):
             own = new[lo : lo + 4096]
-            ids = np.array(self.tokenizer.encode(b" ".join(own).decode("utf-8"), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(own).decode("utf-8")], add_special_tokens=False)[0].ids, dtype="<u4")
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) == len(own) and cut[-1] == len(ids):
                 data, at = ids.tobytes(), [0, *(4 * cut).tolist()]
