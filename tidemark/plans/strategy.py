@@ -79,7 +79,7 @@ OUTCOMES = """outs AS (
     hi / s.entry - 1 AS mfe, mfe_offset, lo / s.entry - 1 AS mae, mae_offset,
     CASE WHEN mfe_offset < mae_offset THEN 'MFE_FIRST' WHEN mfe_offset > mae_offset THEN 'MAE_FIRST' WHEN mfe_offset IS NOT NULL THEN 'AMBIGUOUS' END AS first_extreme,
     drawdown_upper, drawdown_lower, CASE WHEN drawdown_upper IS NOT NULL THEN abs(drawdown_upper - drawdown_lower) > 1e-15 END AS drawdown_ambiguous,
-    coalesce(gap_up, 0) AS gap_up, coalesce(gap_down, 0) AS gap_down
+    gap_up, gap_down
   FROM (SELECT ev.*, h.horizon FROM ev, (VALUES (5), (20)) h(horizon)) e
   LEFT JOIN (
     SELECT p.instrument_id, p.signal_index, h.horizon, any_value(entry) AS entry, max(off) AS seen, arg_max(close, off) AS last_close, max(high) AS hi,
