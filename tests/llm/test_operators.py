@@ -303,6 +303,47 @@ def test_scores(spark, odd, empty, tmp_path):
     assert language_model.score(empty, model).count() == 0
 
 
+def brute_deep(train, texts, order):
+    """Scores of an order-n model by its recursive definition."""
+    words = lambda x: [*re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m.group().lower(), x or "")), "\n"]
+    seen, given = collections.Counter(), collections.Counter()
+    for x in train:
+        w = words(x)
+        for k in range(1, order + 1):
+            for i in range(len(w) - k + 1):
+                seen[tuple(w[i : i + k])] += 1
+                given[tuple(w[i : i + k - 1])] += k > 1
+    n, v, prior = sum(c for g, c in seen.items() if len(g) == 1), sum(len(g) == 1 for g in seen), language_model.PRIOR
+
+    def p(gram):
+        if len(gram) == 1:
+            return (seen[gram] + 1) / (n + v + 1)
+        return (seen[gram] + prior * p(gram[1:])) / (given[gram[:-1]] + prior)
+
+    for x in texts:
+        w = words(x)
+        yield sum(math.log10(p(tuple(w[max(0, i - order + 1) : i + 1]))) for i in range(len(w)))
+
+
+@pytest.mark.parametrize("order", [3, 4])
+def test_longer_contexts_count(spark, tmp_path, order):
+    """A word that its last two words settle, and its last one does not."""
+    train = ["a b c", "x b d"] * 400 + ["b c b d", "b", "", "q a b x b"]
+    texts = ["a b c", "a b d", "x b d", "x b c", "a b new", "new b d", "b", "", "q a b x b d", "a b c a b c"]
+    model = language_model.fit(spark.createDataFrame([(x,) for x in train], "text string"), str(tmp_path / "trie"), order=order)
+    got = language_model.score(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2), model).toPandas().sort_values("doc_id")
+    for own, n, want in zip(got.score, got.n_tokens, brute_deep(train, texts, order), strict=True):
+        assert abs(own - want) <= language_model.STEP * n * (order - 1) / 2
+    assert got.score.iloc[0] > got.score.iloc[1] + 0.5 and got.score.iloc[2] > got.score.iloc[3] + 0.5
+
+
+def test_query_uses_contexts_of_two_words(spark, tmp_path):
+    got = language_model.op7_lm_scores(spark, DATA).toPandas()
+    train = documents(spark, DATA).where(~language_model.held_out())
+    pairs = language_model.score(documents(spark, DATA), language_model.fit(train, str(tmp_path / "two"))).toPandas()
+    assert abs(got.score.sum() - pairs.score.sum()) > 1
+
+
 def test_model_beats_base_on_held_out(spark):
     got = language_model.op7_lm_scores(spark, DATA).toPandas()
     own = got[got.held_out]

@@ -1,15 +1,20 @@
-"""Language-model scores from an Elias-Fano n-gram trie.
+"""Language-model scores from an n-gram trie of any order from two, in Elias-Fano form from level two on.
 
-Level one is the vocabulary: sorted 64-bit word hashes with counts, a word's id being its place. Level
-two holds, for each context in the order of ids, its successors in the order of theirs. Pointer and
+Level one is the vocabulary: sorted 64-bit word hashes and exact counts, neither of them compressed (the
+base score is exact), a word's id being its place. Level two holds, for each context in the order of ids, its successors in the order of theirs. Pointer and
 successor are one monotone sequence, place-of-context * vocabulary + successor, in Elias-Fano form, so
 "does w follow u" is one successor search in the range of u. Next to each entry lies its smoothed
-log probability in one byte. A level is dealt over files by a hash of the entry, so that neither a
+log probability in one byte. The level is dealt over files by a hash of the entry, so that neither a
 frequent word nor a frequent context makes a file large; files lie in the shared folder and workers map
 them into memory. Nothing passes through the driver but one number or two for each file.
 
+Each further level has the same form, its contexts being the places of the entries one level up, and
+lies in the file number of its first pair. A pair's successors are thus in one file, one entry for each.
+
 p(w) = (c(w) + 1) / (N + V + 1), p(w|u) = (c(uw) + PRIOR p(w)) / (c(u) + PRIOR): Dirichlet smoothing,
-whose back-off weight PRIOR / (c(u) + PRIOR) needs no further table.
+whose back-off weight PRIOR / (c(u) + PRIOR) needs no further table. From level three on,
+p(w|tu) = c(tuw) / (c(tu) + PRIOR) + PRIOR / (c(tu) + PRIOR) p(w|u), and so on: an entry keeps the first
+term and a context its back-off weight, one byte each.
 """
 
 from __future__ import annotations
@@ -37,7 +42,11 @@ STEP = 0.04
 #: Stands for the end of a text; it holds a blank, so it is no word.
 END = b"\n"
 WORD_CACHE = 400_000
-COUNTED_WORDS, COUNTED_PAIRS = 400_000, 3_000_000
+COUNTED_WORDS, COUNTED_PAIRS, COUNTED_GRAMS = 400_000, 3_000_000, 1_500_000
+#: Words of the longest entries of the query's model.
+ORDER = 3
+#: Files of the levels from two on, as a multiple of those of level one, when there are more than two levels.
+SPREAD = 4
 SCORE_SLICE = 4 << 20
 
 
@@ -188,6 +197,34 @@ def _dealt(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array([_pack(keys[a:b], counts[a:b]) for a, b in zip(starts, ends, strict=True)], pa.binary())], names=["shard", "data"])
 
 
+def _unique_rows(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows in order, with counts; columns after the first are below 2**32."""
+    keys, place = np.unique(columns[0], return_inverse=True)
+    table = [keys]
+    for column in columns[1:]:
+        keys, place = np.unique((place.astype(np.uint64) << np.uint64(32)) | column.astype(np.uint64), return_inverse=True)
+        up = (keys >> np.uint64(32)).astype(np.int64)
+        table = [*(x[up] for x in table), (keys & np.uint64(0xFFFFFFFF)).astype("<u4")]
+    return table, np.bincount(place, minlength=len(keys))
+
+
+def _pack_rows(columns: list[np.ndarray], counts: np.ndarray) -> bytes:
+    """Rows (sorted pair key, words after it) and counts, compressed."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([len(counts).to_bytes(8, "little"), np.ascontiguousarray(np.diff(columns[0], prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes(), *(c.astype("<u4").tobytes() for c in columns[1:]), counts.astype("<u4").tobytes()]))
+
+
+def _unpack_rows(data: bytes, tails: int) -> list[np.ndarray]:
+    """The columns, and the counts as the last one."""
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int.from_bytes(raw[:8], "little")
+    gaps = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 8).reshape(8, n).T).view(np.uint64).ravel()
+    return [np.cumsum(gaps, dtype=np.uint64), *(np.frombuffer(raw, "<u4", n, 8 + 8 * n + 4 * n * i) for i in range(tails + 1))]
+
+
 class Vocabulary:
     """Words to ids; the level's files are mapped, and frequent words stay in a bounded cache."""
 
@@ -247,6 +284,16 @@ def _contexts(n: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
+def _starts(n: np.ndarray, level: int) -> np.ndarray:
+    """Places at which ``level`` tokens of one text begin."""
+    left = np.repeat(np.cumsum(n), n) - np.arange(int(n.sum()))
+    return np.flatnonzero(left >= level)
+
+
+def _byte(p: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(-np.log10(p) / STEP), 0, 255).astype(np.uint8)
+
+
 def _shard_of_pair(keys: np.ndarray, shards: int) -> np.ndarray:
     return (_mix(keys) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
 
@@ -257,8 +304,8 @@ def _shard_of_pair(keys: np.ndarray, shards: int) -> np.ndarray:
 class Model:
     """What scoring needs to know beside the files."""
 
-    def __init__(self, path: str, sizes: tuple[int, ...], tokens: int, shards: int, filled: frozenset[int]):
-        self.path, self.sizes, self.tokens, self.shards, self.filled = path, sizes, tokens, shards, filled
+    def __init__(self, path: str, sizes: tuple[int, ...], tokens: int, shards: int, filled: frozenset[int], deeper: tuple[frozenset[int], ...] = ()):
+        self.path, self.sizes, self.tokens, self.shards, self.filled, self.deeper = path, sizes, tokens, shards, filled, deeper
 
     @property
     def words(self) -> int:
@@ -334,19 +381,81 @@ def count_pairs(texts: DataFrame, path: str, sizes: tuple[int, ...], tokens: int
         p = (counts + PRIOR * alone) / (given + PRIOR)
         first = Monotone.of(contexts.astype(np.uint64), words + 1)
         pairs = Monotone.of(place.astype(np.uint64) * np.uint64(words) + right.astype(np.uint64), len(contexts) * words + 1)
-        save_arrays(f"{path}/pairs-{shard}", {"low1": first.low, "high1": first.high, "zeros1": first.zeros, "low2": pairs.low, "high2": pairs.high, "zeros2": pairs.zeros, "p": np.clip(np.rint(-np.log10(p) / STEP), 0, 255).astype(np.uint8)})
+        save_arrays(f"{path}/pairs-{shard}", {"low1": first.low, "high1": first.high, "zeros1": first.zeros, "low2": pairs.low, "high2": pairs.high, "zeros2": pairs.zeros, "p": _byte(p)})
+        return pa.table({"shard": pa.array([shard], pa.int64())})
+
+    got = texts.mapInArrow(local, "shard bigint, data binary").groupBy("shard").applyInArrow(merge, "shard bigint").collect()
+    return frozenset(r.shard for r in got)
+
+
+def count_grams(texts: DataFrame, path: str, level: int, model: Model) -> frozenset[int]:
+    """Write level three or a further one, the levels before it being there; the numbers of its files."""
+    sizes, shards, words, filled, deeper = model.sizes, model.shards, model.words, model.filled, model.deeper
+    tails = level - 2
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, held, size = _vocabulary(path, sizes), [], 0
+
+        def flush() -> pa.RecordBatch:
+            columns, counts = _unique_rows([np.concatenate(c) for c in zip(*held, strict=True)])
+            shard = _shard_of_pair(columns[0], shards)
+            order = np.argsort(shard, kind="stable")
+            columns, counts, shard = [c[order] for c in columns], counts[order], shard[order]
+            names, starts = np.unique(shard, return_index=True)
+            ends = np.append(starts[1:], len(shard))
+            data = [_pack_rows([c[a:b] for c in columns], counts[a:b]) for a, b in zip(starts, ends, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(data, pa.binary())], names=["shard", "data"])
+
+        for batch in batches:
+            data = byte_column(batch.column(0))
+            for lo, hi in slices([len(x) for x in data], SCORE_SLICE):
+                ids, n = vocabulary.sequences(data[lo:hi])
+                at = _starts(n, level)
+                if len(at):
+                    pair = (ids[at].astype(np.uint64) << np.uint64(32)) | ids[at + 1].astype(np.uint64)
+                    held.append([pair, *(ids[at + i].astype("<u4") for i in range(2, level))])
+                    size += len(at)
+                if size > COUNTED_GRAMS:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
+
+    def merge(rows: pa.Table) -> pa.Table:
+        shard = rows["shard"][0].as_py()
+        pair, *columns, counts = (np.concatenate(c) for c in zip(*(_unpack_rows(x, tails) for x in rows["data"].to_pylist()), strict=True))
+        contexts, above, _ = _pairs(path, filled)[shard]
+        known, back = np.unique(pair, return_inverse=True)
+        place = above.find(contexts.find(known >> np.uint64(32)).astype(np.uint64) * np.uint64(words) + (known & np.uint64(0xFFFFFFFF)))[back]
+        for i, column in enumerate(columns[:-1]):
+            above = _grams(path, i + 3, deeper[i])[shard][0]
+            place = above.find(place.astype(np.uint64) * np.uint64(words) + column)
+        keys, counts = _summed(place.astype(np.uint64) * np.uint64(words) + columns[-1], counts.astype(np.int64))
+        place = (keys // np.uint64(words)).astype(np.int64)
+        given = np.bincount(place, weights=counts, minlength=len(above.low))
+        own = Monotone.of(keys, len(above.low) * words + 1)
+        save_arrays(f"{path}/grams{level}-{shard}", {"low": own.low, "high": own.high, "zeros": own.zeros, "p": _byte(counts / (given[place] + PRIOR)), "back": _byte(PRIOR / (given + PRIOR))})
         return pa.table({"shard": pa.array([shard], pa.int64())})
 
     got = texts.mapInArrow(local, "shard bigint, data binary").groupBy("shard").applyInArrow(merge, "shard bigint").collect()
     return frozenset(r.shard for r in got)
 
 
-def fit(docs: DataFrame, path: str, text_col: str = "text") -> Model:
-    """Count all of ``docs`` and write the trie under ``path``; its files are as many as shuffle partitions."""
-    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def fit(docs: DataFrame, path: str, text_col: str = "text", order: int = 2) -> Model:
+    """Count all of ``docs`` and write the trie under ``path``, with entries of up to ``order`` words.
+
+    Level one has as many files as there are shuffle partitions.
+    """
+    if order < 2:
+        raise ValueError("the order is 2 at least")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = parts * (SPREAD if order > 2 else 1)
     texts = docs.select(text_col)
-    sizes, tokens = count_words(texts, path, shards)
-    return Model(path, sizes, tokens, shards, count_pairs(texts, path, sizes, tokens, shards) if tokens else frozenset())
+    sizes, tokens = count_words(texts, path, parts)
+    model = Model(path, sizes, tokens, shards, count_pairs(texts, path, sizes, tokens, shards) if tokens else frozenset())
+    for level in range(3, order + 1 if tokens else 0):
+        model.deeper += (count_grams(texts, path, level, model),)
+    return model
 
 
 @lru_cache(maxsize=1)
@@ -358,6 +467,44 @@ def _pairs(path: str, filled: frozenset[int]) -> dict[int, tuple[Monotone, Monot
     return out
 
 
+@lru_cache(maxsize=8)
+def _grams(path: str, level: int, filled: frozenset[int]) -> dict[int, tuple[Monotone, np.ndarray, np.ndarray]]:
+    out = {}
+    for s in filled:
+        a = open_arrays(f"{path}/grams{level}-{s}")
+        out[s] = (Monotone(a["low"], a["high"], a["zeros"]), a["p"], a["back"])
+    return out
+
+
+def _refine(model: Model, level: int, score: np.ndarray, ids: np.ndarray, n: np.ndarray, place: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bring one level more into ``score``; places and files of the entries that end at each token.
+
+    ``place`` and ``shard`` are those of the entries of the level before, -1 where there is none.
+    """
+    ends = np.cumsum(n) - 1
+    live = place >= 0
+    live[ends] = False
+    at = np.flatnonzero(live)
+    at = at[np.argsort(shard[at].astype(np.uint16 if model.shards < 1 << 16 else np.int64), kind="stable")]
+    cuts = np.searchsorted(shard[at], np.arange(model.shards + 1))
+    found, files = np.full(len(ids), -1, dtype=np.int64), np.full(len(ids), -1, dtype=np.int64)
+    for s, (grams, p, back) in _grams(model.path, level, model.deeper[level - 3]).items():
+        own = at[cuts[s] : cuts[s + 1]]
+        if not len(own):
+            continue
+        word, context = ids[own + 1], place[own]
+        value = 10.0 ** (score[own + 1] - STEP * back[context])
+        seen = word >= 0
+        keys, where = np.unique(context[seen].astype(np.uint64) * np.uint64(model.words) + word[seen].astype(np.uint64), return_inverse=True)
+        got = np.full(len(own), -1, dtype=np.int64)
+        got[seen] = grams.find(keys)[where]
+        hit = got >= 0
+        value[hit] += 10.0 ** (-STEP * p[got[hit]])
+        score[own + 1] = np.log10(value)
+        found[own + 1], files[own + 1] = got, s
+    return found, files
+
+
 def score_texts(model: Model, texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """n_tokens, n_known, base score and model score of each text."""
     vocabulary, files = _vocabulary(model.path, model.sizes), _pairs(model.path, model.filled)
@@ -374,16 +521,21 @@ def score_texts(model: Model, texts: list[bytes]) -> tuple[np.ndarray, ...]:
     shard = _shard_of_pair(keys, model.shards).astype(np.int64)
     order = np.argsort(shard, kind="stable")
     cuts = np.searchsorted(shard[order], np.arange(model.shards + 1))
-    value = np.full(len(keys), np.nan)
+    value, places = np.full(len(keys), np.nan), np.full(len(keys), -1, dtype=np.int64)
     for s, (contexts, pairs, p) in files.items():
         own = order[cuts[s] : cuts[s + 1]]
         place = contexts.find(keys[own] >> np.uint64(32))
         own, place = own[place >= 0], place[place >= 0]
         at = pairs.find(place.astype(np.uint64) * np.uint64(model.words) + (keys[own] & np.uint64(0xFFFFFFFF)))
         value[own[at >= 0]] = -STEP * p[at[at >= 0]]
+        places[own] = at
     value = value[back]
     known = ~np.isnan(value)
     score[pair[known]] = value[known]
+    place, file = np.full(len(ids), -1, dtype=np.int64), np.full(len(ids), -1, dtype=np.int64)
+    place[pair], file[pair] = places[back], shard[back]
+    for level in range(3, 3 + len(model.deeper)):
+        place, file = _refine(model, level, score, ids, n, place, file)
     starts = np.cumsum(n) - n
     return n, np.add.reduceat((counts > 0).astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(score, starts)
 
@@ -411,6 +563,6 @@ def held_out(id_col: str = "doc_id", parts: int = 7, part: int = 2):
 
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = fit(docs.where(~held_out()), shared_path(spark, "trie"))
+    model = fit(docs.where(~held_out()), shared_path(spark, "trie"), order=ORDER)
     found = score(docs, model)
     return found.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
