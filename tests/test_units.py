@@ -204,3 +204,16 @@ def test_weekly_blocks_need_a_friday(spark):
     assert resample(d, None).count() == 2
     assert resample(d.where("trade_date < '2024-01-11'"), None).count() == 1
 
+
+
+def test_audit_and_folds_reach_the_last_bar(spark):
+    from tests.conftest import DATA
+    from tidemark.plans import catalogue, research
+    from tidemark.sources.bars import derive_bars
+
+    queries = catalogue.queries()
+    audit = queries["session_audit_span"](spark, DATA).toPandas()
+    assert (audit.expected - audit.missing + audit.unexpected).sum() == derive_bars(spark, DATA).count()
+    outcomes = research.breakout_returns(spark, DATA).where("horizon = 20")
+    folds = queries["walk_forward_span"](spark, DATA).toPandas().sort_values("fold")
+    assert folds.train_n.iloc[0] + folds.test_n.sum() == outcomes.count()

@@ -123,16 +123,27 @@ JUMP_ACTIONS_SQL = with_bars("SELECT j.instrument_id, j.trade_date, coalesce(str
 CALENDAR = (date(1994, 1, 1), date(1999, 12, 31))
 
 
-def session_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+def audit_sessions(spark: SparkSession, d: DataFrame, first: date, last: date) -> DataFrame:
     """Per instrument: exchange sessions inside its span, missing ones, bars on days without a session."""
-    d = derive_bars(spark, sf_dir)
     span = d.groupBy("instrument_id").agg(F.min("trade_date").alias("a"), F.max("trade_date").alias("b"))
-    days = ql.sessions(spark, *CALENDAR)
+    days = ql.sessions(spark, first, last)
     expected = days.withColumn("one", F.lit(1)).join(F.broadcast(span.withColumn("one", F.lit(1))), "one").where(F.col("trade_date").between(F.col("a"), F.col("b")))
-    inside = d.where(F.col("trade_date").between(F.lit(CALENDAR[0]), F.lit(CALENDAR[1])))
+    inside = d.where(F.col("trade_date").between(F.lit(first), F.lit(last)))
     return ql.completeness(expected.select("instrument_id", "trade_date"), inside).select("instrument_id", "expected", "missing", "unexpected")
 
 
+def session_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sessions(spark, derive_bars(spark, sf_dir), *CALENDAR)
+
+
+def session_audit_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit from the first bar to the last, whatever years these are in."""
+    d = derive_bars(spark, sf_dir)
+    first, last = d.agg(F.min("trade_date"), F.max("trade_date")).first()
+    today = date.today()
+    return audit_sessions(spark, d, first or today, last or today)
+
+
 _CLOSED = ", ".join(f"(DATE '{d}')" for d in sorted({d for y in range(CALENDAR[0].year, CALENDAR[1].year + 1) for d in ql.holidays(y)} | {date.fromisoformat(x) for x in ql.CLOSURES}))
 SESSIONS = f"sessions AS (SELECT d AS trade_date FROM (SELECT CAST(unnest(generate_series(DATE '{CALENDAR[0]}', DATE '{CALENDAR[1]}', INTERVAL 1 DAY)) AS DATE) AS d) WHERE isodow(d) < 6 AND d NOT IN (SELECT c FROM (VALUES {_CLOSED}) v(c)))"
 AUDIT_SQL = with_bars(
@@ -143,6 +154,17 @@ FULL JOIN (SELECT * FROM bars WHERE trade_date BETWEEN DATE '{CALENDAR[0]}' AND
 )
 
 
+#: Years whose closed days the SQL of the whole span lists.
+SPAN_YEARS = range(1970, 2100)
+_SPAN_CLOSED = ", ".join(f"(DATE '{d}')" for d in sorted({d for y in SPAN_YEARS for d in ql.holidays(y)} | {date.fromisoformat(x) for x in ql.CLOSURES}))
+SPAN_AUDIT_SQL = with_bars(
+    """SELECT coalesce(e.instrument_id, o.instrument_id) AS instrument_id, count(e.trade_date) AS expected, count(*) FILTER (o.trade_date IS NULL) AS missing, count(*) FILTER (e.trade_date IS NULL) AS unexpected
+FROM (SELECT instrument_id, trade_date FROM days, (SELECT instrument_id, min(trade_date) AS a, max(trade_date) AS b FROM bars GROUP BY 1) WHERE trade_date BETWEEN a AND b) e
+FULL JOIN bars o ON o.instrument_id = e.instrument_id AND o.trade_date = e.trade_date GROUP BY 1""",
+    f"days AS (SELECT d AS trade_date FROM (SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS d FROM (SELECT min(trade_date) AS a, max(trade_date) AS b FROM bars)) WHERE isodow(d) < 6 AND d NOT IN (SELECT c FROM (VALUES {_SPAN_CLOSED}) v(c)))",
+)
+
+
 def symbol_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two symbol intervals per instrument, split on 1996-06-30."""
     d = derive_bars(spark, sf_dir)
@@ -302,6 +324,7 @@ QUERIES = {
     "price_jumps": (price_jumps, JUMPS_SQL),
     "jump_actions": (jump_actions, JUMP_ACTIONS_SQL),
     "session_audit": (session_audit, AUDIT_SQL),
+    "session_audit_span": (session_audit_span, SPAN_AUDIT_SQL),
     "symbol_as_of": (symbol_as_of, SYMBOL_SQL),
     "identity_resolve": (identity_resolve, IDENTITY_SQL),
     "composite_evidence": (composite_evidence, with_bars("SELECT instrument_id, trade_date, state, differing FROM evidence", SECOND, EVIDENCE)),

@@ -172,15 +172,27 @@ BONFERRONI_SQL = with_bars("SELECT hypothesis, p, round(least(1, p * count(*) OV
 BOUNDARIES = ["1994-01-01", "1996-01-01", "1997-01-01", "1998-01-01", "1999-01-01"]
 
 
-def walk_forward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fold_outcomes(spark: SparkSession, outcomes: DataFrame, folds: list[tuple[int, str, str, str, str]]) -> DataFrame:
     """Outcomes of each expanding fold: training and test events, and the test mean."""
-    folds = spark.createDataFrame(st.walk_forward(BOUNDARIES), "fold int, train_start string, train_end string, test_start string, test_end string")
-    rows = breakout_returns(spark, sf_dir).where("horizon = 20").withColumn("one", F.lit(1)).join(F.broadcast(folds.withColumn("one", F.lit(1))), "one")
+    folds = spark.createDataFrame(folds, "fold int, train_start string, train_end string, test_start string, test_end string")
+    rows = outcomes.withColumn("one", F.lit(1)).join(F.broadcast(folds.withColumn("one", F.lit(1))), "one")
     d = F.col("signal_date")
     train, test = (d >= F.to_date("train_start")) & (d < F.to_date("train_end")), (d >= F.to_date("test_start")) & (d < F.to_date("test_end"))
     return round_all(rows.groupBy("fold").agg(F.count_if(train).alias("train_n"), F.count_if(test).alias("test_n"), F.avg(F.when(test, F.col("forward_return"))).alias("test_mean")))
 
 
+def walk_forward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fold_outcomes(spark, breakout_returns(spark, sf_dir).where("horizon = 20"), st.walk_forward(BOUNDARIES))
+
+
+def walk_forward_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fold for each year of outcomes after the first one, up to the last."""
+    outcomes = breakout_returns(spark, sf_dir).where("horizon = 20")
+    first, last = outcomes.agg(F.min(F.year("signal_date")), F.max(F.year("signal_date"))).first()
+    years = [] if first is None else [f"{y:04d}-01-01" for y in range(first, last + 2)]
+    return fold_outcomes(spark, outcomes, st.walk_forward(years) if len(years) > 2 else [])
+
+
 FOLDS_SQL = with_bars(
     "SELECT fold, count(*) FILTER (signal_date >= a AND signal_date < b) AS train_n, count(*) FILTER (signal_date >= b AND signal_date < c) AS test_n, round(avg(x) FILTER (signal_date >= b AND signal_date < c), 8) AS test_mean FROM done, (VALUES "
     + ", ".join(f"({f}, DATE '{a}', DATE '{b}', DATE '{d}')" for f, a, b, _, d in st.walk_forward(BOUNDARIES))
@@ -189,6 +201,13 @@ FOLDS_SQL = with_bars(
 )
 
 
+SPAN_FOLDS_SQL = with_bars(
+    """SELECT fold, count(*) FILTER (signal_date >= a AND signal_date < b) AS train_n, count(*) FILTER (signal_date >= b AND signal_date < c) AS test_n, round(avg(x) FILTER (signal_date >= b AND signal_date < c), 8) AS test_mean
+FROM done, (SELECT y - lo AS fold, make_date(lo, 1, 1) AS a, make_date(y, 1, 1) AS b, make_date(y + 1, 1, 1) AS c FROM (SELECT lo, unnest(generate_series(lo + 1, hi)) AS y FROM (SELECT min(year(signal_date)) AS lo, max(year(signal_date)) AS hi FROM done WHERE horizon = 20))) WHERE horizon = 20 GROUP BY 1""",
+    *CTES,
+)
+
+
 def _monthly(df: DataFrame) -> DataFrame:
     return st.months(df, "signal_date").groupBy("month").agg(F.sum("forward_return").alias("total"), F.count("*").alias("n"))
 
@@ -248,6 +267,7 @@ QUERIES = {
     "bh_adjust": (adjust("benjamini_hochberg"), BH_SQL),
     "bonferroni_adjust": (adjust("bonferroni"), BONFERRONI_SQL),
     "walk_forward_folds": (walk_forward_folds, FOLDS_SQL),
+    "walk_forward_span": (walk_forward_span, SPAN_FOLDS_SQL),
     "month_bootstrap_ci": (month_bootstrap_ci, None),
     "paired_month_ci": (paired_month_ci, None),
     "random_timing_null": (random_timing_null, None),
