@@ -143,6 +143,18 @@ def test_exact_dedup_of_odd_rows(odd, empty):
     assert len(got) == len(ODD) and exact_dedup.exact_dedup(empty).count() == 0
 
 
+def test_dropped_copies_are_those_of_exact_dedup(spark, odd, empty):
+    rows = [(1, "abc"), (1, "xyz"), (0, "xyz"), (None, "q q"), (None, "qq"), (None, None), (7, ""), (8, " a b c"), (None, "a b c  d"), (2, "abcd")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("digest", F.lit(1)).withColumn("rank", F.lit("x")).withColumn("row", F.lit(2.0))
+    assert sorted((r.doc_id or -1, r.text) for r in exact_dedup.drop_copies(df, salts=3).collect()) == [(-1, "q q"), (0, "xyz"), (2, "abcd"), (7, ""), (8, " a b c")]
+    assert exact_dedup.drop_copies(df).columns == df.columns and exact_dedup.drop_copies(empty).count() == 0
+    kept = {r.doc_id for r in exact_dedup.exact_dedup(odd).where("kept").collect()}
+    assert {r.doc_id for r in exact_dedup.drop_copies(odd).collect()} == kept | {None}
+    hot = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("same "), F.repeat(F.lit(" "), (F.col("id") % 5).cast("int")))).otherwise(F.col("id").cast("string")).alias("text"))
+    got = exact_dedup.exact_dedup(hot, salts=4).collect()
+    assert sum(r.group_size == 1000 and r.keep_id == 9 for r in got) == 1000 and sum(r.kept for r in got) == 2001
+
+
 # ---- mixing
 
 
