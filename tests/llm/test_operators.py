@@ -146,7 +146,7 @@ def test_exact_dedup_of_odd_rows(odd, empty):
 def test_dropped_copies_are_those_of_exact_dedup(spark, odd, empty):
     rows = [(1, "abc"), (1, "xyz"), (0, "xyz"), (None, "q q"), (None, "qq"), (None, None), (7, ""), (8, " a b c"), (None, "a b c  d"), (2, "abcd")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("digest", F.lit(1)).withColumn("rank", F.lit("x")).withColumn("row", F.lit(2.0))
-    assert sorted((r.doc_id or -1, r.text) for r in exact_dedup.drop_copies(df, salts=3).collect()) == [(-1, "q q"), (0, "xyz"), (2, "abcd"), (7, ""), (8, " a b c")]
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in exact_dedup.drop_copies(df, salts=3).collect()) == [(-1, "q q"), (0, "xyz"), (2, "abcd"), (7, ""), (8, " a b c")]
     assert exact_dedup.drop_copies(df).columns == df.columns and exact_dedup.drop_copies(empty).count() == 0
     kept = {r.doc_id for r in exact_dedup.exact_dedup(odd).where("kept").collect()}
     assert {r.doc_id for r in exact_dedup.drop_copies(odd).collect()} == kept | {None}
@@ -392,6 +392,28 @@ def test_packing(spark, odd, empty):
     assert packing.pack_documents(empty, WORD).count() == 0
 
 
+def test_marks_after_letters_of_two_parts(spark):
+    """Letters that become a letter and a mark take the punctuation after them into the tokenizer's own run."""
+    tokenizer, table = Tokenizer.from_file(WORD), packing.WordIds(WORD)
+    rng = np.random.default_rng(9)
+    letters = ["İ", "KİTABİ", "SAHİBİ", "a\u0301", "ﬁ", "ß", "Σ", "ΣΑΣ", "\u212b", "\u0958", "क़", "\ufb1d", "日本", "x", "Ab", "é", "ǅ", "\u1e9e", "ｆ", "१", "\u2126"]
+    marks = [bytes([c]).decode() for c in packing._MARKS] + ["...", "?!", ".,;", "'s", "", "", "<|endoftext|>", "\u0307.", "।", "。"]
+    words = [letters[a] + letters[b] * int(k) + marks[m] for a, b, k, m in zip(rng.integers(0, len(letters), 12_000), rng.integers(0, len(letters), 12_000), rng.integers(0, 2, 12_000), rng.integers(0, len(marks), 12_000), strict=True)]
+    words += [x + m for x in letters for m in marks]
+    texts = [" ".join(words[i : i + 1 + i % 5]) for i in range(len(words))]
+    for text, ids in zip(texts, packing.encoded([x.encode() for x in texts], table, b""), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_tiny_pieces_fill_windows():
+    sizes = np.ones(200_000, dtype=np.int64)
+    sets = packing.fill(sizes)
+    assert len(sets) == math.ceil(200_000 / 4096) and sorted(np.concatenate(sets).tolist()) == list(range(200_000))
+    mixed = np.random.default_rng(4).integers(1, 90, 40_000)
+    sets = packing.fill(mixed)
+    assert max(int(mixed[x].sum()) for x in sets) <= 4096 and len(sets) <= math.ceil(mixed.sum() / 4096) + 1 and sum(map(len, sets)) == 40_000
+
+
 def test_differencing_is_near_equal():
     sizes = np.random.default_rng(0).integers(1, 1025, 600)
     sets = packing.difference(sizes, 80)

@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 import math
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,12 +30,23 @@ CAPACITY = 4096
 #: Pieces that are not full windows are at most this long, so that near-equal windows are within reach.
 LONGEST_PIECE = 1024
 #: Windows that a group aims at.
-GROUP_WINDOWS = 96
+GROUP_WINDOWS = 192
+#: Pieces below the first are bundled to about the second before the differencing; 32 bundles are a window.
+SMALL_PIECE, BUNDLE = 32, 128
 CACHE_ENTRIES = 1_200_000
 #: ASCII marks that the tokenizer takes as one run after a word; not the apostrophe, nor what special strings are written with.
 _MARKS = b".,;:!?*#$&%()+=~"
 
 
+def _plain(core: bytes) -> bool:
+    """Whether a word of letters keeps a letter as its last character, composed and lower-cased as the tokenizer does.
+
+    Else, as with a capital I with a dot, it ends in a mark, which the tokenizer takes together with the marks after it.
+    """
+    word = core.decode("utf-8")
+    return word.isalpha() and unicodedata.normalize("NFC", word)[-1].lower()[-1].isalpha()
+
+
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
     """The tokenizer, and which of its ids end a word."""
@@ -70,7 +82,7 @@ class WordIds(dict):
         cores, tails, plain, odd = [], [], [], []
         for word in new:
             core = word.rstrip(_MARKS)
-            if core.isalpha() or core.decode("utf-8").isalpha():
+            if core.isalpha() or _plain(core):
                 plain.append(word)
                 cores.append(core.lower())
                 tails.append(word[len(core) :])
@@ -145,37 +157,70 @@ def difference(sizes: np.ndarray, windows: int) -> list[np.ndarray]:
     """Karmarkar-Karp: indices of ``sizes`` in ``windows`` sets of near-equal sums.
 
     Each item starts as a partial partition of its own: its size in one window, the others empty. A
-    partial partition has its window sums in falling order. The two with the largest spreads are
-    merged, the largest windows of one with the smallest of the other, until one is left.
+    partial partition keeps its occupied windows only, sums in falling order, and a node for each. The two
+    with the largest spreads are merged, the largest windows of one with the smallest of the other (empty
+    ones first), until one is left. Two windows that meet become a node with two children.
     """
-    heap: list[tuple[int, int, np.ndarray, list[list[int]]]] = []
-    for i, size in enumerate(sizes.tolist()):
-        sums = np.zeros(windows, dtype=np.int64)
-        sums[0] = size
-        heap.append((-size if windows > 1 else 0, i, sums, [[i], *([[]] * (windows - 1))]))
+    n = len(sizes)
+    if not n:
+        return []
+    one = lambda x: np.array([x], dtype=np.int64)
+    heap = [(-int(x) if windows > 1 else 0, i, one(x), one(i)) for i, x in enumerate(sizes.tolist())]
     heapq.heapify(heap)
-    serial = len(heap)
+    children: list[np.ndarray] = []
+    serial = nodes = n
     while len(heap) > 1:
-        _, _, a, sets_a = heapq.heappop(heap)
-        _, _, b, sets_b = heapq.heappop(heap)
-        sums = a + b[::-1]
-        merged = [x + y for x, y in zip(sets_a, reversed(sets_b), strict=True)]
+        _, _, a, own = heapq.heappop(heap)
+        _, _, b, other = heapq.heappop(heap)
+        met = max(0, len(a) + len(b) - windows)
+        # the smallest ``met`` windows of each side have no empty window to go to
+        i, j = len(a) - met, len(b) - met
+        sums = np.concatenate((a[:i], b[:j], a[i:] + b[j:][::-1]))
+        pairs = np.stack((own[i:], other[j:][::-1]), axis=1)
+        children.append(pairs)
+        names = np.concatenate((own[:i], other[:j], np.arange(nodes, nodes + met)))
+        nodes += met
         rank = np.argsort(-sums, kind="stable")
-        sums = sums[rank]
-        heapq.heappush(heap, (-int(sums[0] - sums[-1]), serial, sums, [merged[i] for i in rank]))
+        sums, names = sums[rank], names[rank]
+        least = int(sums[-1]) if len(sums) == windows else 0
+        heapq.heappush(heap, (least - int(sums[0]), serial, sums, names))
         serial += 1
-    return [np.array(x, dtype=np.int64) for x in heap[0][3] if x] if heap else []
+    # from the windows down to the items: each node hands its window to its children
+    below = np.concatenate(children) if children else np.zeros((0, 2), dtype=np.int64)
+    window = np.full(nodes, -1, dtype=np.int64)
+    window[heap[0][3]] = np.arange(len(heap[0][3]))
+    for at in range(nodes - 1, n - 1, -1):
+        window[below[at - n]] = window[at]
+    order = np.argsort(window[:n], kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(window[order])) + 1)
+
+
+def bundles(sizes: np.ndarray, small: int = SMALL_PIECE, target: int = BUNDLE) -> np.ndarray:
+    """A number for each item: items below ``small`` are taken together to about ``target`` tokens, the others stand alone."""
+    out = np.zeros(len(sizes), dtype=np.int64)
+    tiny = sizes < small
+    ends = np.cumsum(sizes[tiny])
+    out[tiny] = (ends - 1) // target
+    out[~tiny] = (out.max(initial=-1) + 1) + np.arange(int((~tiny).sum()))
+    return np.unique(out, return_inverse=True)[1]
 
 
 def fill(sizes: np.ndarray, capacity: int = CAPACITY) -> list[np.ndarray]:
-    """Sets of indices with sums within ``capacity``; the number of sets rises until all fit."""
+    """Sets of indices with sums within ``capacity``; the number of sets rises until all fit.
+
+    The differencing sees bundles of small items, so its work follows the tokens and not the number of items.
+    """
     if not len(sizes):
         return []
+    bundle = bundles(sizes)
+    order = np.argsort(bundle, kind="stable")
+    held = np.split(order, np.flatnonzero(np.diff(bundle[order])) + 1)
+    total = np.bincount(bundle, weights=sizes).astype(np.int64)
     windows = max(1, math.ceil(int(sizes.sum()) / capacity))
     while True:
-        sets = difference(sizes, windows)
-        if all(int(sizes[x].sum()) <= capacity for x in sets):
-            return sets
+        sets = difference(total, windows)
+        if all(int(total[x].sum()) <= capacity for x in sets):
+            return [np.concatenate([held[i] for i in x]) for x in sets]
         windows += 1
 
 
@@ -211,7 +256,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group_windows: int = GROUP_WI
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """Pieces of all documents with their place: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Null and empty texts have the end id alone. Repeated rows are packed each; a null id stays null.
+    Null and empty texts have the end id alone. A very long text is cut into full windows and a rest.
+    Repeated rows are packed each, ties in length go by id; a null id stays null.
     Other columns are ignored; an empty table gives an empty result. Sequence ids are negative for
     full windows, and a group's number in the high 32 bits for the others.
     """
