@@ -5,9 +5,9 @@ partition by input partition. A keyed Feistel permutation with cycle-walking giv
 sequences its global slot, so the order is random, reproducible from the key, and needs no sort of
 random numbers. Each shard is a range of slots and is written by one task as raw little-endian
 unsigned 16-bit ids: sequence s starts at byte (s mod shard_rows) * 2 * length of its file, so a reader
-can resume anywhere. Texts are tokenised once, into a staged table of blocks of compressed sequences;
-from its counts the number of all sequences is known before anything is shuffled. Each sequence is compressed
-by itself, with a dictionary learned from a bounded sample, and stays so from the block to its shard.
+can resume anywhere. Texts are tokenised once, into a staged table of compressed blocks of sequences;
+from its counts the number of all sequences is known before anything is shuffled. On their way to the
+shards, the sequences of many blocks that go to one shard are compressed together.
 """
 
 from __future__ import annotations
@@ -27,16 +27,16 @@ from tidemark.llm.token_counts import LONGEST_CACHED, _processor, pre_tokens
 from tidemark.session import shared_path
 
 LENGTH = 1024
-SHARD_ROWS = 4096
+SHARD_ROWS = 16384
 END_ID, PAD_ID = 2, 0
 KEY = 0x5DEECE66D
 ROUNDS = 6
 ID_ENTRIES = 1_200_000
 #: Sequences of a block of the staged table.
 BLOCK_ROWS = 256
-#: Rows that the compression dictionary is learned from (expected number; a hash of the id chooses), characters of each, and its size.
-SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY = 600, 1 << 14, 1 << 16
-LEVEL = 6
+#: Bytes of ids that a task gathers before it sends them on, shard by shard.
+GATHERED = 48 << 20
+LEVEL = 3
 
 
 def permuted(index: np.ndarray, size: int, key: int = KEY) -> np.ndarray:
@@ -111,33 +111,6 @@ def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
-def learn_dictionary(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> bytes:
-    """A dictionary for sequences of ids, empty where the sample is too small; it has no influence on the shards."""
-    import zstandard
-
-    unit = F.xxhash64(F.col(id_col).cast("string")).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
-    share = min(1.0, SAMPLE_ROWS / max(docs.count(), 1))
-    rows = docs.where(unit < F.lit(share)).select(F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("text")).limit(2 * SAMPLE_ROWS).collect()
-    data = b"".join(b"".join(ids) for ids in looked_up([(r.text or "").encode() for r in rows], _id_table(model_path), pre_tokens))
-    samples = [data[i : i + 2 * length] for i in range(0, len(data), 2 * length)]
-    try:
-        return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
-    except zstandard.ZstdError:
-        return b""
-
-
-@lru_cache(maxsize=2)
-def _codec(dictionary: bytes):
-    """The compressor and the decompressor of this worker."""
-    import zstandard
-
-    if not dictionary:
-        return zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
-    own = zstandard.ZstdCompressionDict(dictionary)
-    own.precompute_compress(level=LEVEL)
-    return zstandard.ZstdCompressor(level=LEVEL, dict_data=own), zstandard.ZstdDecompressor(dict_data=own)
-
-
 def write_shards(docs: DataFrame, path: str, model_path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard_rows: int = SHARD_ROWS, key: int = KEY) -> DataFrame:
     """Write shards under ``path``; per sequence: slot, shard, position, n_tokens, ids_crc32, doc_ids.
 
@@ -148,12 +121,13 @@ def write_shards(docs: DataFrame, path: str, model_path: str, id_col: str = "doc
     whole (where the store's move is not atomic, a reader waits for the job's end).
     """
     spark = docs.sparkSession
-    dictionary = learn_dictionary(docs, model_path, id_col, text_col, length)
     rows = docs.select(F.spark_partition_id().alias("part"), F.col(id_col).cast("long").alias("id"), text_col)
     stride = 2 * length
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press, _ = _codec(dictionary)
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=LEVEL)
         table, end = _id_table(model_path), np.array([END_ID], dtype="<u2").tobytes()
         held, owners, part, first = bytearray(), [], None, 0
 
@@ -172,8 +146,8 @@ def write_shards(docs: DataFrame, path: str, model_path: str, id_col: str = "doc
                     j += 1
                 names.append([x for x in own if x is not None])
             done = count * stride
-            data = [press.compress(bytes(held[i * stride : min((i + 1) * stride, len(held))])) for i in range(count)]
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([count], pa.int64()), pa.array([data], pa.list_(pa.binary())), pa.array([names], pa.list_(pa.list_(pa.int64())))], names=["part", "first", "n", "data", "doc_ids"])
+            data = press.compress(bytes(held[:done]))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([count], pa.int64()), pa.array([data], pa.binary()), pa.array([names], pa.list_(pa.list_(pa.int64())))], names=["part", "first", "n", "data", "doc_ids"])
             owners = [(a - done, b - done, x) for a, b, x in owners[at:] if b > done]
             held = held[done:]
             first += count
@@ -191,24 +165,49 @@ def write_shards(docs: DataFrame, path: str, model_path: str, id_col: str = "doc
         if part is not None:
             yield from block(True)
 
-    blocks = staged(rows.mapInArrow(cut, "part int, first bigint, n bigint, data array<binary>, doc_ids array<array<bigint>>"), "id-blocks")
+    blocks = staged(rows.mapInArrow(cut, "part int, first bigint, n bigint, data binary, doc_ids array<array<bigint>>"), "id-blocks")
     starts, size = {}, 0
     for r in blocks.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # one number for each input partition
         starts[r.part] = size
         size += r.n
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press, expand = zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
+        held: dict[int, list[tuple[int, bytes, list[int]]]] = {}
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for shard, own in held.items():
+                slots, pieces, names = zip(*own, strict=True)
+                columns = [pa.array([shard], pa.int64()), pa.array([slots], pa.list_(pa.int64())), pa.array([[len(x) // 2 for x in pieces]], pa.list_(pa.int32())), pa.array([press.compress(b"".join(pieces))], pa.binary()), pa.array([names], pa.list_(pa.list_(pa.int64())))]
+                yield pa.RecordBatch.from_arrays(columns, names=["shard", "slots", "lengths", "data", "doc_ids"])
+
+        size_held = 0
         for batch in batches:
             for row in range(batch.num_rows):
-                part, first, n = (batch.column(c)[row].as_py() for c in range(3))
-                slots = permuted(np.arange(starts[part] + first, starts[part] + first + n), size, key)
-                yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(slots // shard_rows), batch.column(3)[row].values, batch.column(4)[row].values], names=["slot", "shard", "ids", "doc_ids"])
-
-    def write(shard: pa.Table) -> pa.Table:
-        _, expand = _codec(dictionary)
-        shard = shard.sort_by("slot")
-        number = shard["shard"][0].as_py()
-        pieces = [expand.decompress(x) for x in shard["ids"].to_pylist()]
+                part, first, n, data, names = (batch.column(c)[row].as_py() for c in range(5))
+                slots = permuted(np.arange(starts[part] + first, starts[part] + first + n), size, key).tolist()
+                raw = expand.decompress(data)
+                for i, (slot, own) in enumerate(zip(slots, names, strict=True)):
+                    held.setdefault(slot // shard_rows, []).append((slot, raw[i * stride : (i + 1) * stride], own))
+                size_held += len(raw)
+                if size_held >= GATHERED:
+                    yield from sent()
+                    held, size_held = {}, 0
+        yield from sent()
+
+    def write(rows: pa.Table) -> pa.Table:
+        import zstandard
+
+        expand = zstandard.ZstdDecompressor()
+        number = rows["shard"][0].as_py()
+        found = []
+        for slots, lengths, data, names in zip(*(rows[c].to_pylist() for c in ("slots", "lengths", "data", "doc_ids")), strict=True):
+            raw, ends = expand.decompress(data), np.cumsum(lengths).tolist()
+            found += [(slot, raw[2 * (end - n) : 2 * end], own) for slot, n, end, own in zip(slots, lengths, ends, names, strict=True)]
+        found.sort(key=lambda x: x[0])
+        slots, pieces, names = zip(*found, strict=True)
         filled = [len(x) // 2 for x in pieces]
         pad = np.array([PAD_ID], dtype="<u2").tobytes()
         system, folder = _file_system(path)
@@ -219,12 +218,13 @@ def write_shards(docs: DataFrame, path: str, model_path: str, id_col: str = "doc
             for x, n in zip(pieces, filled, strict=True):
                 out.write(x + pad * (length - n))
         system.move(temporary, name)
-        return pa.table({"slot": shard["slot"], "shard": shard["shard"], "position": pa.array([s % shard_rows for s in shard["slot"].to_pylist()], pa.int64()), "n_tokens": pa.array(filled, pa.int32()), "ids_crc32": pa.array([zlib.crc32(x) for x in pieces], pa.int64()), "doc_ids": shard["doc_ids"]})
+        columns = {"slot": pa.array(slots, pa.int64()), "shard": pa.array([number] * len(slots), pa.int64()), "position": pa.array([x % shard_rows for x in slots], pa.int64()), "n_tokens": pa.array(filled, pa.int32())}
+        return pa.table(columns | {"ids_crc32": pa.array([zlib.crc32(x) for x in pieces], pa.int64()), "doc_ids": pa.array(names, pa.list_(pa.int64()))})
 
     out = "slot bigint, shard bigint, position bigint, n_tokens int, ids_crc32 bigint, doc_ids array<bigint>"
     if not size:
         return spark.createDataFrame([], out)
-    form = "slot bigint, shard bigint, ids binary, doc_ids array<bigint>"
+    form = "shard bigint, slots array<bigint>, lengths array<int>, data binary, doc_ids array<array<bigint>>"
     return blocks.mapInArrow(spread, form).groupBy("shard").applyInArrow(write, out)
 
 
