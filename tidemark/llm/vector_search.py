@@ -3,17 +3,21 @@
 A vector is coded as one of 16 centres in each small subspace. Training and coding minimise
 |r|^2 + (eta - 1) (r . x/|x|)^2 of the residual r, which penalises the part parallel to the vector,
 since that part moves the large inner products. Two four-bit codes share a byte, so a scan adds up one
-256-entry table a byte. The best of each scanned block are reranked by exact inner products in double
-precision. Every vector is coded; only the codebook is learned from a bounded sample.
+256-entry table a byte. Every vector is coded; only the codebook is learned from a bounded sample.
+
+Codes and ids make up the index, without the vectors: half a byte a dimension. A task meets the codes of one
+lane of the index with one block of queries and sends on the best ids alone. Of each query's best over all
+lanes the vectors are then fetched by a join, and their inner products taken in double precision.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import staged
@@ -23,15 +27,14 @@ CENTRES = 16
 TRAIN_ROWS = 12_000
 #: Share of a vector's length above which an inner product counts, which sets eta.
 THRESHOLD = 0.2
-BLOCK_ROWS, QUERY_ROWS = 4096, 512
-#: Blocks of the index that one task scans for one block of queries.
-LANE_BLOCKS = 8
+#: Vectors of a block of the index, blocks of a lane, queries of a block, and of one table scan.
+BLOCK_ROWS, LANE_BLOCKS, QUERY_ROWS, SCAN_QUERIES = 4096, 32, 1024, 256
 
 
 class Codebook:
     """Centres of each subspace, learned with the anisotropic loss."""
 
-    def __init__(self, dims: int, width: int = 2):
+    def __init__(self, dims: int, width: int = 1):
         self.parts = [np.arange(i, min(i + width, dims)) for i in range(0, dims, width)]
         self.dims = dims
         t2 = THRESHOLD**2
@@ -82,136 +85,140 @@ class Codebook:
         return (codes[:, ::2] | (codes[:, 1::2] << 4)).astype(np.uint8)
 
     def tables(self, q: np.ndarray) -> np.ndarray:
-        """(bytes, queries, 256): what each byte of a code adds to each query's score."""
-        lut = [(q[:, p] @ c.T).astype(np.float32) for p, c in zip(self.parts, self.centres, strict=True)]
+        """(bytes, 256, queries): what each byte of a code adds to each query's score."""
+        lut = [(c @ q[:, p].T).astype(np.float32) for p, c in zip(self.parts, self.centres, strict=True)]
         if len(lut) % 2:
             lut.append(np.zeros_like(lut[0]))
-        return np.stack([(b[:, :, None] + a[:, None, :]).reshape(len(q), 256) for a, b in zip(lut[::2], lut[1::2], strict=True)])
+        return np.stack([(b[:, None] + a[None]).reshape(256, len(q)) for a, b in zip(lut[::2], lut[1::2], strict=True)])
+
+
+def usable(v: Column) -> Column:
+    """Whether a vector takes part: not null or empty, no null or non-finite component, not zero."""
+    finite = F.forall(v, lambda x: F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False)))
+    return (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0)
+
+
+def _matrix(column: pa.Array, dims: int) -> np.ndarray:
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, dims)
+
+
+def _cut(q: np.ndarray, i: np.ndarray, s: np.ndarray, keep: int) -> np.ndarray:
+    """Places of the ``keep`` largest scores of each query, ties to the smaller id."""
+    order = np.lexsort((i, -s, q))
+    own = q[order]
+    return order[np.arange(len(own)) - np.searchsorted(own, own, side="left") < keep]
+
+
+def scan(book: Codebook, blocks: list[tuple[np.ndarray, np.ndarray]], query_ids: np.ndarray, queries: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's place, id, coded score) of the ``keep`` best of all ``blocks`` (sorted ids, codes) for each query, itself excepted."""
+    found = []
+    for lo in range(0, len(queries), SCAN_QUERIES):
+        own = query_ids[lo : lo + SCAN_QUERIES]
+        tables = book.tables(queries[lo : lo + SCAN_QUERIES])
+        floor = np.full(len(own), -np.inf, dtype=np.float32)
+        q, i, s = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32)
+        for ids, codes in blocks:
+            score, step = np.zeros((len(ids), len(own)), dtype=np.float32), np.empty((len(ids), len(own)), dtype=np.float32)
+            for b, table in enumerate(tables):
+                score += np.take(table, codes[:, b], axis=0, out=step, mode="clip")
+            first, last = np.searchsorted(ids, own, side="left"), np.searchsorted(ids, own, side="right")
+            for n in np.flatnonzero(first < last).tolist():
+                score[first[n] : last[n], n] = -np.inf
+            by_query = np.ascontiguousarray(score.T)
+            if len(ids) > keep:  # what is below the block's own best need not be looked at
+                floor = np.maximum(floor, np.partition(by_query, len(ids) - keep, axis=1)[:, len(ids) - keep])
+            at, row = np.nonzero((by_query >= floor[:, None]) & (by_query > -np.inf))
+            q, i, s = np.concatenate((q, at)), np.concatenate((i, ids[row])), np.concatenate((s, by_query[at, row]))
+            top = _cut(q, i, s, keep)
+            q, i, s = q[top], i[top], s[top]
+            full = np.flatnonzero(np.bincount(q, minlength=len(own)) >= keep)
+            floor[full] = np.maximum(floor[full], s[np.searchsorted(q, full, side="right") - 1])
+        found.append((q + lo, i, s))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _search(base: DataFrame, asked: DataFrame, dims: int, rows: int, k: int, rerank: int, train_rows: int) -> DataFrame:
+    """:func:`nearest` for usable vectors (id, v) of one length and distinct queries (id, v) of that length."""
+    unit = F.xxhash64("id").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+    sample = base.where(unit < F.lit(min(1.0, train_rows / rows))).orderBy("id").limit(2 * train_rows).select("v").toArrow()
+    if not sample.num_rows:
+        sample = base.limit(train_rows).select("v").toArrow()
+    book = Codebook(dims).fit(_matrix(sample.column(0).combine_chunks(), dims))
 
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
 
-def _usable(column: pa.Array, dims: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and float64 vectors of the rows that take part."""
-    rows, out = [], []
-    for i, x in enumerate(column.to_pylist()):
-        if x and None not in x and (dims is None or len(x) == dims):
-            v = np.asarray(x, dtype=np.float64)
-            if np.isfinite(v).all() and v.any():
-                rows.append(i)
-                out.append(v)
-    return np.array(rows, dtype=np.int64), np.array(out, dtype=np.float64) if out else np.zeros((0, dims or 0))
+        def flush() -> pa.RecordBatch:
+            i, v, lane = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(i, kind="stable")
+            return pa.RecordBatch.from_arrays([pa.array(lane[:1]), pa.array([i[order].astype("<i8").tobytes()], pa.binary()), pa.array([book.code(v[order]).tobytes()], pa.binary())], names=["lane", "ids", "codes"])
 
+        for batch in batches:
+            i, v, lane = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1), dims), batch.column(2).to_numpy(zero_copy_only=False)
+            for lo in range(0, len(i), BLOCK_ROWS):
+                held.append((i[lo : lo + BLOCK_ROWS], v[lo : lo + BLOCK_ROWS], lane[lo : lo + BLOCK_ROWS]))
+                size += len(held[-1][0])
+                if size >= BLOCK_ROWS:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
+
+    parts = max(1, rows // BLOCK_ROWS)
+    lane = F.floor(F.spark_partition_id() / LANE_BLOCKS)
+    dealt = base.repartition(parts, "id", "v").select("id", "v", lane.alias("lane"))
+    index = staged(dealt.mapInArrow(code, "lane bigint, ids binary, codes binary"), "index")
+    lanes = (index.agg(F.max("lane")).first()[0] or 0) + 1
+    groups = max(1, asked.count() // QUERY_ROWS)
+    query = asked.repartition(groups, "id").select("id", "v", F.pmod(F.spark_partition_id(), F.lit(groups)).alias("part"))
+    query = query.select("id", "v", "part", F.explode(F.expr(f"sequence(0L, {lanes - 1}L)")).alias("lane"))
+    codes = index.select("lane", "ids", "codes", F.explode(F.expr(f"sequence(0, {groups - 1})")).alias("part"))
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        blocks = [(np.frombuffer(i, dtype="<i8"), np.frombuffer(c, dtype=np.uint8)) for i, c in zip(left["ids"].to_pylist(), left["codes"].to_pylist(), strict=True)]
+        blocks = [(i, c.reshape(len(i), -1)) for i, c in blocks]
+        form = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("near", pa.float32())])
+        if not blocks or not right.num_rows:
+            return form.empty_table()
+        ids = right["id"].to_numpy()
+        q, i, s = scan(book, blocks, ids, _matrix(right["v"].combine_chunks(), dims), rerank)
+        return pa.table([pa.array(ids[q]), pa.array(i), pa.array(s)], schema=form)
+
+    found = codes.groupBy("lane", "part").cogroup(query.groupBy("lane", "part")).applyInArrow(best, "query_id bigint, vec_id bigint, near float")
+    by_code = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
+    # a repeated id is one candidate here, and each of its vectors one below
+    chosen = found.withColumn("n", F.row_number().over(by_code)).where(F.col("n") <= rerank).groupBy("query_id", "vec_id").agg(F.max("n").alias("n")).drop("n")
+    fetched = chosen.join(base.select(F.col("id").alias("vec_id"), "v"), "vec_id")
+    both = fetched.join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id").select("query_id", "vec_id", "v", "q")
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = np.einsum("ij,ij->i", _matrix(batch.column(2), dims), _matrix(batch.column(3), dims))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["query_id", "vec_id", "score"])
 
-def _best(scores: np.ndarray, keep: int) -> np.ndarray:
-    """Positions of the ``keep`` largest, ties to the earlier position."""
-    if len(scores) <= keep:
-        return np.arange(len(scores))
-    edge = -np.partition(-scores, keep - 1)[keep - 1]
-    above = np.flatnonzero(scores > edge)
-    return np.concatenate((above, np.flatnonzero(scores == edge)[: keep - len(above)]))
+    scored = both.mapInArrow(exact, "query_id bigint, vec_id bigint, score double")
+    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = 96, id_col: str = "vec_id", vector_col: str = "embedding", train_rows: int = TRAIN_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", train_rows: int = TRAIN_ROWS) -> DataFrame:
     """Each query's ``k`` rows of largest inner product: query_id, rank, vec_id, score.
 
     A query is not its own answer (rows of its id are passed over); ties go to the smaller id. The
-    ``rerank`` best coded scores of every block of ``BLOCK_ROWS`` vectors are reranked exactly, so
-    recall does not fall as the table grows. Null or zero vectors, those with null or non-finite
-    components, null ids and vectors of another length than most take no part; with nothing left the
-    result is empty. Repeated ids are candidates each; of a repeated query id one vector asks. Other
-    columns are ignored.
+    ``rerank`` best coded scores of a query over all vectors are reranked exactly. Null or zero vectors, those
+    with null or non-finite components and null ids take no part. Vectors of different lengths have no inner
+    product, so each length is searched by itself. With nothing left the result is empty. Repeated ids are
+    candidates each; of a repeated query id one vector asks. Very long vectors are coded like others. Other
+    columns, whatever their names, are ignored.
     """
-    spark = vectors.sparkSession
-    empty = "query_id bigint, rank int, vec_id bigint, score double"
-    base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null and size(v) > 0")
-    sizes = base.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if sizes is None:
-        return spark.createDataFrame([], empty)
-    dims, rows = sizes["d"], sizes["count"]
-    unit = F.xxhash64("id").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
-    sample = base.where((F.size("v") == dims) & (unit < F.lit(min(1.0, train_rows / rows)))).orderBy("id").limit(2 * train_rows).select("v").toArrow()
-    _, x = _usable(sample.column(0).combine_chunks(), dims)
-    if not len(x):
-        _, x = _usable(base.where(F.size("v") == dims).limit(train_rows).select("v").toArrow().column(0).combine_chunks(), dims)
-    if not len(x):
-        return spark.createDataFrame([], empty)
-    book = Codebook(dims).fit(x)
-
-    def blocks(size: int, coded: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, vecs, held = [], [], 0
-            serial = 0
-
-            def flush() -> pa.RecordBatch:
-                i, v = np.concatenate(ids), np.concatenate(vecs)
-                order = np.argsort(i, kind="stable")
-                i, v = i[order], v[order]
-                code = book.code(v).tobytes() if coded else b""
-                return pa.RecordBatch.from_arrays([pa.array([serial], pa.int64()), pa.array([i.astype("<i8").tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary()), pa.array([code], pa.binary())], names=["serial", "ids", "vecs", "codes"])
-
-            for batch in batches:
-                at, v = _usable(batch.column(1), dims)
-                i = batch.column(0).to_numpy(zero_copy_only=False)[at] if len(at) else np.zeros(0, dtype=np.int64)
-                for lo in range(0, len(i), size):
-                    ids.append(i[lo : lo + size].astype(np.int64))
-                    vecs.append(v[lo : lo + size])
-                    held += len(ids[-1])
-                    if held >= size:
-                        yield flush()
-                        ids, vecs, held, serial = [], [], 0, serial + 1
-            if held:
-                yield flush()
-
-        return run
-
-    form = "serial bigint, ids binary, vecs binary, codes binary"
-    index = staged(base.repartition(max(1, rows // BLOCK_ROWS), "id").mapInArrow(blocks(BLOCK_ROWS, True), form), "index")
-    asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null").groupBy("id").agg(F.max("v").alias("v"))
-    asked = staged(asked.repartition(max(1, rows // 20 // QUERY_ROWS), "id").mapInArrow(blocks(QUERY_ROWS, False), form).withColumn("part", F.monotonically_increasing_id()), "queries")
-    lanes, parts = max(1, -(-index.count() // LANE_BLOCKS)), [r.part for r in asked.select("part").collect()]  # a number for each block of queries
-    if not parts:
-        return spark.createDataFrame([], empty)
-    # a task meets one block of queries with the blocks of one lane, and sends on their common best only
-    left = index.select(F.pmod(F.monotonically_increasing_id(), F.lit(lanes)).alias("lane"), F.explode(F.array(*[F.lit(x).cast("bigint") for x in parts])).alias("part"), "ids", "vecs", "codes")
-    right = asked.select(F.explode(F.expr(f"sequence(0L, {lanes - 1}L)")).alias("lane"), "part", F.col("ids").alias("query_ids"), F.col("vecs").alias("query_vecs"))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, []
-
-        def flush() -> pa.RecordBatch:
-            q, i, s = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((i, -s, q))
-            q, i, s = q[order], i[order], s[order]
-            first = np.searchsorted(q, q, side="left")
-            top = np.arange(len(q)) - first < k
-            return pa.RecordBatch.from_arrays([pa.array(x[top]) for x in (q, i, s)], names=["query_id", "vec_id", "score"])
-
-        for batch in batches:
-            for row in range(batch.num_rows):
-                lane, part, ids, vecs, codes, qids, qvecs = (batch.column(c)[row].as_py() for c in range(7))
-                if held and last != (lane, part):
-                    yield flush()
-                    held = []
-                last = (lane, part)
-                i, v = np.frombuffer(ids, dtype="<i8"), np.frombuffer(vecs).reshape(-1, dims)
-                q_i, q_v = np.frombuffer(qids, dtype="<i8"), np.frombuffer(qvecs).reshape(-1, dims)
-                code = np.frombuffer(codes, dtype=np.uint8).reshape(len(i), -1)
-                scores = np.zeros((len(q_i), len(i)), dtype=np.float32)
-                for b, table in enumerate(book.tables(q_v)):
-                    scores += table[:, code[:, b]]
-                for n in range(len(q_i)):
-                    scores[n, i == q_i[n]] = -np.inf
-                    near = _best(scores[n], rerank)
-                    near = near[i[near] != q_i[n]]
-                    exact = v[near] @ q_v[n]
-                    top = np.lexsort((i[near], -exact))[:k]
-                    held.append((np.full(len(top), q_i[n]), i[near[top]], exact[top]))
-        if held:
-            yield flush()
-
-    pairs = left.join(right, ["lane", "part"]).select("lane", "part", "ids", "vecs", "codes", "query_ids", "query_vecs")
-    found = pairs.mapInArrow(scan, "query_id bigint, vec_id bigint, score double")
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
+    asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
+    sizes = base.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()  # one number for each length of vector
+    if not sizes:
+        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    asked = staged(asked.groupBy("id").agg(F.max("v").alias("v")), "asked")
+    found = [_search(base.where(F.size("v") == r.d), asked.where(F.size("v") == r.d), r.d, r["count"], k, rerank, train_rows) for r in sizes]
+    return reduce(DataFrame.unionByName, found)
 
 
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
