@@ -121,6 +121,19 @@ def test_near_copies_of_a_large_group(spark):
     assert {r.doc_id: r.component_id for r in got} == {i: c for i, (_, c) in want.items()}
 
 
+def test_components_of_a_long_path_in_few_rounds(spark, monkeypatch):
+    """The path 0 - n - (n-1) - ... - 1, on which labels creep by one a round; stars, cycles and pairs beside it."""
+    n, rounds = 400, []
+    links = [(0, n), *((i, i - 1) for i in range(n, 1, -1)), *((1000, 1000 + i) for i in range(1, 60)), *((3000 - i, 2000) for i in range(50)), (5001, 5000), (5001, 5000), (6, 6)]
+    links += [(7000 + i, 7000 + (i + 1) % 9) for i in range(9)]
+    kept = near_dedup.staged
+    monkeypatch.setattr(near_dedup, "staged", lambda df, name: rounds.append(name) or kept(df, name))
+    got = {r.id: r.component for r in near_dedup.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    want = {i: 0 for i in range(n + 1)} | {1000 + i: 1000 for i in range(60)} | {2000: 2000} | {3000 - i: 2000 for i in range(50)} | {5000: 5000, 5001: 5000} | {7000 + i: 7000 for i in range(9)}
+    assert got == want and rounds.count("up") < 15
+    assert near_dedup.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
 def test_sketch_fills_every_coordinate():
     sets = [np.arange(n, dtype=np.uint64) + np.uint64(7) for n in (1, 2, 30, 5000)]
     s = near_dedup.sketches(sets)

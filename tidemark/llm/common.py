@@ -12,6 +12,8 @@ from tidemark.session import shared_path
 
 #: Text handed to one vectorised step inside a task; bounds worker memory whatever the row sizes are.
 SLICE_BYTES = 1 << 20
+#: A key with more than this part of all rows is heavy; a heavy key is dealt over so many parts.
+HEAVY, SPREAD = 512, 64
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,5 +62,17 @@ def looked_up(texts: list[bytes], table: dict, split: Callable[[bytes], list[byt
         yield from found
 
 
+def spread_join(big: DataFrame, small: DataFrame, on: str, by: str, counted: DataFrame, total: int, how: str = "inner") -> DataFrame:
+    """``big`` and ``small`` joined on ``on``; keys with more than 1 / ``HEAVY`` of ``total`` rows are dealt over ``SPREAD`` parts by ``by``.
+
+    ``counted`` has (on, n), the rows of ``big`` by key, and their sum is ``total`` at most; so there are fewer than
+    ``HEAVY`` such keys, and they may be broadcast whatever the size of the tables.
+    """
+    heavy = F.broadcast(counted.where(F.col("n") * HEAVY > total).select(on, F.lit(True).alias("_heavy")))
+    left = big.join(heavy, on, "left").withColumn("_part", F.when(F.col("_heavy"), F.pmod(F.xxhash64(by), F.lit(SPREAD))).otherwise(0).cast("int")).drop("_heavy")
+    right = small.join(heavy, on, "left").withColumn("_part", F.explode(F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0))))).drop("_heavy")
+    return left.join(right, [on, "_part"], how).drop("_part")
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_column, documents, slices, staged
+from tidemark.llm.common import byte_column, documents, slices, spread_join, staged
 
 SHINGLE = 5
 PERCENT = 75
@@ -33,6 +33,8 @@ BINS, ROWS = 128, 4
 WORD_CACHE = 500_000
 #: Shingles that so many of the documents in question have at most are rare.
 RARE = 8
+#: Rows of a bucket that one task pairs with the rest of it.
+BUCKET_ROWS = 512
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -200,15 +202,17 @@ def remaining_pairs(left: DataFrame, bands: DataFrame, texts: DataFrame, nodes:
 
     least = F.least("common", "common2")
     mates = left.select("key", "rep", "far").join(spread.where(F.col("common") * 100 >= F.col("size") * percent), "rep").join(bands, "rep")
-    mates = staged(mates, "mates")
-    # members of a bucket's largest component need not meet each other
-    largest = mates.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
-    minor = mates.join(largest, "key").where("component <> largest")
-    mates2 = mates.select("key", *[F.col(c).alias(f"{c}2") for c in ("rep", "component", "size", "common", "far", "bands")])
+    # members of a bucket's largest component need not meet each other; large buckets are dealt over parts
+    counted = mates.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"))
+    largest = staged(counted.select("key", "largest", "n", (F.col("n") / BUCKET_ROWS).cast("int").alias("more")), "largest")
+    total = largest.agg(F.sum("n")).first()[0] or 0
+    mates = staged(spread_join(mates, largest.drop("n"), "key", "rep", largest, total), "mates")
+    minor = mates.where("component <> largest").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("more") + 1).cast("int")).drop("more")
+    mates2 = mates.select("key", F.explode(F.sequence(F.lit(0), F.col("more"))).alias("part"), *[F.col(c).alias(f"{c}2") for c in ("rep", "component", "size", "common", "far", "bands")])
     reach = 1 - percent / 100 + 1e-9
     apart = (F.col("component") != F.col("component2")) & ((F.col("component2") == F.col("largest")) | (F.col("rep") < F.col("rep2")))
     once = F.array_min(F.array_intersect("bands", "bands2")) == F.col("key")  # a pair counts in one of its buckets
-    near = minor.join(mates2, "key").where(apart & enough(least) & (F.abs(F.col("far") - F.col("far2")) <= reach) & once)
+    near = minor.join(mates2, ["key", "part"]).where(apart & enough(least) & (F.abs(F.col("far") - F.col("far2")) <= reach) & once)
     few = rare.where("n > 1").select("shingle", "rep")
     shared = few.join(few.withColumnRenamed("rep", "rep2"), "shingle").where("rep < rep2").groupBy("rep", "rep2").agg(F.count(F.lit(1)).alias("both"))
     met = shared.join(spread, "rep").join(other, "rep2").where((F.col("component") != F.col("component2")) & enough(least + F.col("both")))
@@ -219,21 +223,35 @@ def remaining_pairs(left: DataFrame, bands: DataFrame, texts: DataFrame, nodes:
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over ``links`` (a, b), for every id that has a link.
 
-    Rounds of neighbour minimum and pointer jumping; each round's labels are a staged table, so the
-    number of rounds grows with the logarithm of a component's width and no lineage builds up.
+    Contraction: in each round a node goes to the first of its neighbours and itself, in the order of the ids
+    in the first round, which settles stars around their smallest id, and of a hash of the round after
+    that. Nodes that went to the same one become one node. A share of the nodes of any graph goes in each such
+    round whatever the order of the ids, so the rounds grow with the logarithm of the nodes, and the edges that
+    are left shrink. Each round is a staged table; the way back joins from the last round to the first.
     """
-    edges = staged(links.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(links.select("b", "a")).distinct(), "edges")
-    labels = staged(edges.groupBy(F.col("src").alias("id")).agg(F.least(F.first("src"), F.min("dst")).alias("component")), "labels")
-    total = None
-    while True:
-        now = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
-        if now == total:
-            return labels
-        total = now
-        near = edges.join(labels, edges["dst"] == labels["id"]).groupBy("src").agg(F.min("component").alias("near"))
-        lower = staged(labels.join(near, labels["id"] == near["src"]).select("id", F.least("component", "near").alias("component")), "lower")
-        jump = lower.select(F.col("id").alias("component"), F.col("component").alias("root"))
-        labels = staged(lower.join(jump, "component").select("id", F.col("root").alias("component")), "labels")
+    edges = staged(links.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(links.select("b", "a")).where("src <> dst").distinct(), "edges")
+    rounds: list[tuple[DataFrame, int]] = []
+    while edges.limit(1).count():
+        order = (lambda x: F.col(x)) if not rounds else (lambda x, r=len(rounds): F.xxhash64(F.lit(r), F.col(x)))
+        first = edges.withColumn("order", order("dst")).groupBy("src").agg(F.min("order").alias("order"), F.min_by("dst", "order").alias("near"), F.count(F.lit(1)).alias("n"))
+        up = staged(first.select(F.col("src").alias("node"), F.when(order("src") <= F.col("order"), F.col("src")).otherwise(F.col("near")).alias("up"), "n"), "up")
+        total = up.agg(F.sum("n")).first()[0]
+        rounds.append((up, total))
+        one = spread_join(edges.withColumnRenamed("src", "node"), up.select("node", F.col("up").alias("src")), "node", "dst", up, total).select("src", F.col("dst").alias("node"))
+        two = spread_join(one, up.select("node", F.col("up").alias("dst")), "node", "src", up, total).select("src", "dst")
+        edges = staged(two.where("src <> dst").distinct(), "edges")
+    if not rounds:
+        return links.select(F.col("a").alias("id"), F.col("a").alias("component")).limit(0)
+    found = None
+    for up, _ in reversed(rounds):
+        if found is None:
+            found = up.select("node", F.col("up").alias("top"))
+        else:
+            counted = up.groupBy("up").agg(F.count(F.lit(1)).alias("n"))
+            higher = spread_join(up.select("node", "up"), found.select(F.col("node").alias("up"), "top"), "up", "node", counted, up.count(), "left")
+            found = staged(higher.select("node", F.coalesce("top", "up").alias("top")), "tops")
+    least = staged(found.groupBy("top").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("n")), "least")
+    return staged(spread_join(found, least.drop("n"), "top", "node", least, found.count()).select(F.col("node").alias("id"), "component"), "labels")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -247,12 +265,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     decide. Other columns are ignored; an empty table gives an empty result.
     """
     nodes_all = staged(sketch_table(docs, id_col, text_col), "sketches")
-    classes = staged(nodes_all.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "classes")
+    classes = staged(nodes_all.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("rep is not null"), "classes")
     one = classes.select("digest", F.col("rep").alias("doc_id"))
     nodes = staged(nodes_all.select("digest", "doc_id", "bands").join(one, ["digest", "doc_id"]).select(F.col("doc_id").alias("rep"), "bands").distinct(), "nodes")
     rows = nodes.select("rep", F.explode("bands").alias("key"))
-    leaders = staged(rows.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").drop("last"), "leaders")
-    members = staged(rows.join(leaders, "key"), "members")
+    leaders = staged(rows.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("n")).where("leader < last").drop("last"), "leaders")
+    shared = leaders.agg(F.sum("n")).first()[0] or 0
+    members = staged(spread_join(rows, leaders.drop("n"), "key", "rep", leaders, shared), "members")
 
     star = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     involved = members.select(F.col("rep").alias("id")).distinct()
@@ -266,7 +285,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = staged(placed, "placed")
     split = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
     far = checked.select(F.col("a").alias("leader"), F.col("b").alias("rep"), (1 - F.col("both") / F.col("either")).alias("far"))
-    left = staged(placed.join(split, "key", "left_semi").join(far, ["leader", "rep"]).select("key", "rep", "component", "far"), "left")
+    left = staged(spread_join(placed, split, "key", "rep", leaders, shared, "left_semi").join(far, ["leader", "rep"]).select("key", "rep", "component", "far"), "left")
     pairs = staged(remaining_pairs(left, nodes.groupBy("rep").agg(F.flatten(F.collect_list("bands")).alias("bands")), texts, nodes_all, percent), "pairs")
     later = overlaps(pairs.select("a", "b"), texts).where(is_link).select("a", "b")
     joins = staged(later.join(pairs, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "joins")
@@ -276,7 +295,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = found.unionByName(alone).join(higher, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
 
     component = staged(classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id")), "components")
-    full = nodes_all.where("digest is not null").select("doc_id", "n_shingles", "digest").join(component, "digest", "left").drop("digest")
+    with_set = nodes_all.where("digest is not null").select("doc_id", "n_shingles", "digest")
+    full = spread_join(with_set, component, "digest", "doc_id", classes, with_set.count(), "left").drop("digest")
     bare = nodes_all.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = full.unionByName(bare)
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
