@@ -83,7 +83,7 @@ class IdTable(dict):
         return np.array(self.model.encode(key.decode("utf-8")), dtype="<u2").tobytes() if key else self.mark
 
     def learn(self, parts: set[bytes]) -> bool:
-        new = parts.difference(self)
+        new = {x for x in parts if x not in self}  # set.difference would go through the whole table
         if full := len(self) + len(new) > ID_ENTRIES:
             self.clear()
             new = parts
