@@ -13,15 +13,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import documents
 
 #: N-grams in a profile, and in a document's list.
 RANKS = 300
-#: Languages that are learned at most, the most frequent first.
-LANGUAGES = 256
+#: Letters and gaps that n-grams are counted over at a time, which bounds the memory that a long text takes.
+STRETCH = 1 << 20
 #: Labelled rows a language that profiles are learned from (expected number; a hash of the id chooses).
 TRAIN_ROWS = 400
 UNKNOWN = "und"
@@ -31,8 +31,8 @@ _GAP = 32
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
     """Code point to itself for letters, else to the gap."""
-    table = np.full(0x110000, _GAP, dtype=np.int64)
-    points = np.array([i for i in range(0x110000) if not 0xD800 <= i < 0xE000 and chr(i).isalpha()], dtype=np.int64)
+    table = np.full(0x110000, _GAP, dtype=np.int32)
+    points = np.array([i for i in range(0x110000) if not 0xD800 <= i < 0xE000 and chr(i).isalpha()], dtype=np.int32)
     table[points] = points
     return table
 
@@ -47,12 +47,21 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     letter = code != _GAP
     if not letter.any():
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    code = np.concatenate(([_GAP], code, [_GAP]))
+    code = np.concatenate((np.array([_GAP], dtype=np.int32), code, np.array([_GAP], dtype=np.int32)))
     code = code[np.concatenate(([True], (code[1:] != _GAP) | (code[:-1] != _GAP)))]
+    found = [_counted(code[lo : lo + STRETCH + 2].astype(np.int64), STRETCH) for lo in range(0, len(code), STRETCH)]
+    if len(found) == 1:
+        return found[0]
+    keys, place = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+    return keys, np.bincount(place, weights=np.concatenate([n for _, n in found])).astype(np.int64)
+
+
+def _counted(code: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that begin among the first ``size`` characters, and how often each occurs."""
     two = code[:-1] | (code[1:] << 21)
     three = two[:-1] | (code[2:] << 42)
-    keys = np.sort(np.concatenate((code[code != _GAP], two, three)))
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    keys = np.sort(np.concatenate((code[:size][code[:size] != _GAP], two[:size], three[:size])))
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, dtype=np.int64)
     return keys[first], np.diff(np.append(first, len(keys)))
 
 
@@ -87,9 +96,12 @@ class Profiles:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", train_rows: int = TRAIN_ROWS, ranks: int = RANKS) -> Profiles:
-    """Profiles of the labels in ``docs``, from about ``train_rows`` rows a label that a hash of the id chooses."""
+    """Profiles of the labels in ``docs``, from about ``train_rows`` rows a label that a hash of the id chooses.
+
+    All labels are learned; a label costs the driver its number of rows and its ``ranks`` n-grams.
+    """
     rows = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(LANGUAGES).collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy(label_col).count().collect()}
     if not sizes:
         return Profiles({}, ranks)
     share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, train_rows / n))])
@@ -110,15 +122,20 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
                 yield pa.RecordBatch.from_arrays([pa.array(labels), pa.array(np.concatenate(keys)), pa.array(np.concatenate(counts))], names=["label", "gram", "n"])
 
     counted = chosen.select("label", "text").mapInArrow(count, "label string, gram bigint, n bigint")
-    total = counted.groupBy("label", "gram").agg(F.sum("n").alias("n")).groupBy("label").agg(F.slice(F.sort_array(F.collect_list(F.struct(-F.col("n"), "gram"))), 1, ranks).alias("top"))
-    return Profiles({r["label"]: np.array([x["gram"] for x in r["top"]], dtype=np.int64) for r in total.collect()}, ranks)
+    by = Window.partitionBy("label").orderBy(F.desc("n"), "gram")
+    top = counted.groupBy("label", "gram").agg(F.sum("n").alias("n")).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= ranks)
+    lists: dict[str, list[tuple[int, int]]] = {}
+    for r in top.select("label", "rank", "gram").collect():
+        lists.setdefault(r["label"], []).append((r["rank"], r["gram"]))
+    return Profiles({k: np.array([g for _, g in sorted(v)], dtype=np.int64) for k, v in lists.items()}, ranks)
 
 
 def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, lang_pred, score (0 to 1). Null texts, and those without a letter, are ``und`` with score 0.
 
-    So is every text where nothing was learned (an empty table, or no label). Repeated rows are
-    answered each; other columns are ignored.
+    So is every text where nothing was learned (an empty table, or no label). Of languages at the same
+    distance the first name wins. Very long texts are ranked whole. Repeated rows are answered each; other
+    columns, whatever their names, are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,13 +151,21 @@ def held_out(id_col: str = "doc_id", parts: int = 4, part: int = 2):
 
 
 def reject_unidentified(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language can be told; those that are ``und`` go."""
+    """The rows of ``docs`` whose language can be told; those that are ``und`` go.
+
+    Where nothing was learned, only null texts and texts without a letter go. Ids play no part, so rows with a
+    null or a repeated id are kept like others.
+    """
     fields = [f.name for f in docs.schema.fields]
 
+    def known(text: str | None) -> bool:
+        if profiles.names:
+            return profiles.predict(text)[0] != UNKNOWN
+        return any(c.isalpha() for c in text or "")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [profiles.predict(x)[0] != UNKNOWN for x in batch.column(fields.index(text_col)).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield batch.filter(pa.array([known(x) for x in batch.column(fields.index(text_col)).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

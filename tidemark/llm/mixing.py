@@ -10,7 +10,8 @@ is a few numbers, and each iteration is one aggregation over a staged table of p
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import byte_column, documents, slices, staged
+from tidemark.llm.token_counts import _length_table
 
 #: Labelled rows that the classifier is fitted on (expected number; a hash of the id chooses).
 TRAIN_ROWS = 3000
@@ -27,7 +29,9 @@ SCALE = 40.0
 WORD_CACHE = 500_000
 #: Share of the kept tokens that each domain is to have.
 TARGETS = {"good": 0.60, "plain": 0.37, "toxic": 0.03}
-ITERATIONS, TOLERANCE = 25, 1e-6
+#: The fit ends when no domain misses its target by more than this share of all tokens, when three steps in a row
+#: change no total by more than a tenth of it (targets out of reach), or after so many steps; the miss is returned.
+TOLERANCE, STEPS = 1e-6, 200
 
 
 class WordFeatures(dict):
@@ -88,7 +92,7 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], id_
     known = labelled.where(F.col("id").isNotNull() & F.col("domain").isin(domains))
     size = known.count()
     unit = F.xxhash64(F.col("id").cast("string")).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
-    chosen = known.where(unit < F.lit(min(1.0, train_rows / max(size, 1)))).limit(2 * train_rows)
+    chosen = known.where(unit < F.lit(min(1.0, train_rows / max(size, 1)))).orderBy(unit, "id", "domain").limit(2 * train_rows)
     # the sample is bounded by its parameter, so it may be broadcast
     got = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "text", "domain").toArrow().sort_by([("id", "ascending"), ("domain", "ascending")])
     model = SoftClassifier(domains)
@@ -97,19 +101,19 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], id_
     return model
 
 
-def posterior_table(docs: DataFrame, model: SoftClassifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_tokens (words), posterior (in the order of the model's domains)."""
+def posterior_table(docs: DataFrame, model: SoftClassifier, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, n_tokens (of the sentencepiece model at ``model_path``), posterior (in the order of the model's domains)."""
     k = len(model.domains)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordFeatures()
+        table, lengths = WordFeatures(), _length_table(model_path, (), b"")
         for batch in batches:
             texts = byte_column(batch.column(1))
             for lo, hi in slices([len(x) for x in texts]):
-                flat, n = features(texts[lo:hi], table)
-                p = model.posteriors(flat, n)
-                offsets = pa.array(np.arange(0, len(n) * k + 1, k), pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.ListArray.from_arrays(offsets, pa.array(p.ravel()))], names=[id_col, "n_tokens", "posterior"])
+                p = model.posteriors(*features(texts[lo:hi], table))
+                offsets = pa.array(np.arange(0, (hi - lo) * k + 1, k), pa.int32())
+                n = pa.array([lengths.count(x) for x in texts[lo:hi]], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), n, pa.ListArray.from_arrays(offsets, pa.array(p.ravel()))], names=[id_col, "n_tokens", "posterior"])
 
     return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, f"`{id_col}` bigint, n_tokens bigint, posterior array<double>")
 
@@ -127,23 +131,34 @@ def replay(p: np.ndarray, steps: list[tuple[np.ndarray, float]]) -> tuple[np.nda
     return rate, point
 
 
-def fit_rates(table: DataFrame, targets: np.ndarray) -> list[tuple[np.ndarray, float]]:
-    """Steps of the accelerated projected gradient for rates with sum(rate * tokens * posterior) = targets * all tokens.
+class Fit(NamedTuple):
+    """Steps of the gradient, and what each domain's expected tokens miss of its target, as a share of all tokens."""
+
+    steps: list[tuple[np.ndarray, float]]
+    miss: np.ndarray
+
+
+Targets = dict[str, float] | Callable[[dict[str, float]], dict[str, float]]
+
+
+def fit_rates(table: DataFrame, domains: list[str], targets: Targets) -> Fit:
+    """Accelerated projected gradient for rates with sum(rate * tokens * posterior) = target * all tokens.
 
     The squares are weighted by the inverse of the domains' Gram matrix, which makes the largest
     curvature 1: the step needs no search, and domains of few tokens are met as fast as large ones.
     """
-    k = len(targets)
+    k = len(domains)
 
-    def totals(steps: list[tuple[np.ndarray, float]], gram: bool) -> np.ndarray:
+    def totals(steps: list[tuple[np.ndarray, float]], gram: bool, last: bool = False) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(k * k + k + 1 if gram else k)
+            out = np.zeros(k * k + k + 1 if gram else 2 * k)
             for batch in batches:
                 p, t = _matrix(batch.column(1), k), batch.column(0).to_numpy(zero_copy_only=False).astype(float)
                 if gram:
                     out += np.concatenate((((p * t[:, None]).T @ p).ravel(), p.T @ t, [t.sum()]))
                 else:
-                    out += p.T @ (t * replay(p, steps)[1])
+                    rate, point = replay(p, steps)
+                    out += np.concatenate((p.T @ (t * rate), p.T @ (t * point)))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out)], names=["i", "x"])
 
         got = table.select("n_tokens", "posterior").mapInArrow(run, "i bigint, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
@@ -151,44 +166,81 @@ def fit_rates(table: DataFrame, targets: np.ndarray) -> list[tuple[np.ndarray, f
 
     first = totals([], True)
     if not len(first) or first[-1] == 0:
-        return []
-    all_tokens = first[-1]
+        return Fit([], np.zeros(k))
+    all_tokens, supply = first[-1], first[k * k : -1]
+    wanted = targets(dict(zip(domains, (supply / all_tokens).tolist(), strict=True))) if callable(targets) else targets
+    share = np.array([wanted[d] for d in domains], dtype=float)
+    share = share if callable(targets) else share / share.sum()
     weigh = np.linalg.pinv(first[: k * k].reshape(k, k) / all_tokens, rcond=1e-9, hermitian=True)
     steps: list[tuple[np.ndarray, float]] = []
-    momentum = 1.0
-    for _ in range(ITERATIONS):
-        miss = (first[k * k : -1] if not steps else totals(steps, False)) / all_tokens - targets
-        if np.abs(miss).max() < TOLERANCE:
-            break
+    at_rate = at_point = supply / all_tokens
+    momentum, still, cost = 1.0, 0, np.inf
+    while np.abs(at_rate - share).max() > TOLERANCE and still < 3 and len(steps) < STEPS:
         later = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
-        steps.append((weigh @ miss, float((momentum - 1) / later)))
-        momentum = later
-    return steps
+        steps.append((weigh @ (at_point - share), float((momentum - 1) / later)))
+        momentum, before = later, at_rate
+        both = totals(steps, False) / all_tokens
+        at_rate, at_point = both[:k], both[k:]
+        still = still + 1 if np.abs(at_rate - before).max() < TOLERANCE / 10 else 0
+        now = (at_rate - share) @ weigh @ (at_rate - share)
+        momentum, cost = (1.0 if now > cost else momentum), now  # overshot: start the momentum anew
+    return Fit(steps, at_rate - share)
+
+
+def mix(docs: DataFrame, labelled: DataFrame, model_path: str, targets: Targets | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, n_tokens, rate (expected copies), p_<domain> for each domain, and ``miss``.
+
+    Tokens are those of the sentencepiece model at ``model_path``. ``targets`` are nonnegative shares of the
+    tokens, scaled to sum to one, so the total stays that of the input; or a function from each domain's share
+    of the input's tokens to the share wanted, in the same unit, unscaled. Targets that no nonnegative rates
+    reach are approached in least squares; ``miss``, the same in all rows, is what the worst domain misses, as
+    a share of all tokens. Null and empty texts have no tokens and the prior as posterior; very long texts
+    count whole. Repeated rows get a rate each, ties do not arise. Without labels all posteriors are equal and
+    all rates too. Other columns, whatever their names, are ignored; an empty table gives an empty result.
+    """
+    targets = targets or TARGETS
+    domains = sorted(TARGETS if callable(targets) else targets)
+    model = fit_classifier(docs, labelled, domains, id_col, text_col)
+    table = staged(posterior_table(docs, model, model_path, id_col, text_col), "posteriors")
+    steps, miss = fit_rates(table, domains, targets)
+    k, worst = len(domains), float(np.abs(miss).max())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = _matrix(batch.column(2), k)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(replay(p, steps)[0]), *[pa.array(p[:, i]) for i in range(k)], pa.array(np.full(len(p), worst))], names=[id_col, "n_tokens", "rate", *[f"p_{d}" for d in domains], "miss"])
 
+    return table.select(id_col, "n_tokens", "posterior").mapInArrow(run, f"`{id_col}` bigint, n_tokens bigint, rate double, " + ", ".join(f"`p_{d}` double" for d in domains) + ", miss double")
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_tokens (words), rate (expected copies), and p_<domain> for each domain.
 
-    ``targets`` are nonnegative shares of the tokens, scaled to sum to one; the total stays that of the
-    input. Null and empty texts have no tokens and the prior as posterior. Targets that no nonnegative
-    rates reach are approached in least squares. Repeated rows get a rate each; without labels all
-    posteriors are equal and all rates too. Other columns are ignored; an empty table gives an empty
-    result.
+def thinned(domain: str, share: float) -> Targets:
+    """Targets that leave every domain its tokens but for ``domain``, which keeps ``share`` of its own at most."""
+    return lambda supply: {d: x * share if d == domain else x for d, x in supply.items()}
+
+
+def mixed(docs: DataFrame, labelled: DataFrame, model_path: str, targets: Targets | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` as often as their rate says: its whole part, and once more with the rest as probability.
+
+    The draw is a hash of the id and the text, so a rerun gives the same rows. A row takes its rate along as it is read:
+    nothing is joined, so rows with a null or a repeated id are treated like others, and columns keep their
+    names and order. For null, empty and very long texts and empty tables see :func:`mix`.
     """
     targets = targets or TARGETS
-    domains = sorted(targets)
-    share = np.array([targets[d] for d in domains], dtype=float)
+    domains = sorted(TARGETS if callable(targets) else targets)
     model = fit_classifier(docs, labelled, domains, id_col, text_col)
-    table = staged(posterior_table(docs, model, id_col, text_col), "posteriors")
-    steps = fit_rates(table, share / share.sum())
-    k = len(domains)
+    steps, _ = fit_rates(staged(posterior_table(docs, model, model_path, id_col, text_col), "posteriors"), domains, targets)
+    fields = [f.name for f in docs.schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = WordFeatures()
         for batch in batches:
-            p = _matrix(batch.column(2), k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(replay(p, steps)[0]), *[pa.array(p[:, i]) for i in range(k)]], names=[id_col, "n_tokens", "rate", *[f"p_{d}" for d in domains]])
+            ids, texts = batch.column(fields.index(id_col)).to_pylist(), byte_column(batch.column(fields.index(text_col)))
+            for lo, hi in slices([len(x) for x in texts]):
+                rate = replay(model.posteriors(*features(texts[lo:hi], table)), steps)[0]
+                unit = np.array([xxhash.xxh3_64_intdigest(f"mix {i} ".encode() + x) for i, x in zip(ids[lo:hi], texts[lo:hi], strict=True)], dtype=np.uint64) / 2.0**64
+                yield batch.slice(lo, hi - lo).take(pa.array(np.repeat(np.arange(hi - lo), np.floor(rate + unit).astype(np.int64))))
 
-    return table.select(id_col, "n_tokens", "posterior").mapInArrow(run, f"`{id_col}` bigint, n_tokens bigint, rate double, " + ", ".join(f"`p_{d}` double" for d in domains))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,15 +250,7 @@ def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.select(F.col("doc_id").alias("id"), domain.alias("domain"))
 
 
-def apply_rates(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` as often as their rate says: its whole part, and once more with the rest as probability.
-
-    The draw is a hash of the id, so a rerun gives the same rows. ``rates`` has one row per id.
-    """
-    unit = F.xxhash64(F.lit("mix"), F.col(id_col).cast("string")).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
-    times = rates.groupBy(id_col).agg(F.max("rate").alias("rate")).select(id_col, F.floor(F.col("rate") + unit).cast("int").alias("copies")).where("copies > 0")
-    return docs.join(times, id_col).withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
-
-
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir), domain_labels(spark, sf_dir))
+    import public_tokenizers
+
+    return mix(documents(spark, sf_dir), domain_labels(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))

@@ -262,7 +262,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked when 100 * intersection >= ``percent`` * union. Null and empty texts, and those without a
     word, have an empty set and no link. Rows that repeat an id count as one document with the links
     of each of its texts. A null id can join a component but never names one. Ties do not arise, as ids
-    decide. Other columns are ignored; an empty table gives an empty result.
+    decide. Very long texts are taken whole. Sets hold 64-bit hashes of shingles, so sizes and links are exact but for
+    collisions of these. Other columns are ignored; an empty table gives an empty result.
     """
     nodes_all = staged(sketch_table(docs, id_col, text_col), "sketches")
     classes = staged(nodes_all.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("rep is not null"), "classes")
@@ -303,9 +304,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose document stays: one of each component, all its columns."""
-    keep = staged(near_duplicates(docs, id_col, text_col, percent).where("kept").select(id_col).distinct(), "near-keep")
-    return docs.join(keep, id_col, "left_semi").select(*docs.columns)
+    """The rows of ``docs`` whose document stays: one of each component, all its columns.
+
+    Rows that go are marked by their id, so rows with a null id stay, as do all rows that repeat a kept id.
+    """
+    found = near_duplicates(docs, id_col, text_col, percent)
+    gone = staged(found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("kept").alias("kept")).where("not kept").select(id_col), "near-gone")
+    return docs.join(gone.hint("shuffle_hash"), id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,6 +48,10 @@ def _processor(path: str):
     bad = [p for p in map(model.id_to_piece, range(model.get_piece_size())) if re.search("[^▁]▁", p)]
     if bad:
         raise ValueError(f"pieces span pre-tokens: {bad[:3]}")
+    for text in ("a", " a  b ", "ﬁ Ａ½", "e\u0301 \u212b"):  # a mark is put before a text, blanks are kept, and no character is replaced
+        got = "".join(model.encode(text, out_type=str))
+        if re.sub("<0x..>", "", got) != re.sub("<0x..>", "", "▁" + text.replace(" ", "▁")) and "<0x" not in got:
+            raise ValueError(f"the model normalises texts: {text!r} becomes {got!r}")
     return model
 
 
@@ -101,8 +105,9 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     """Per row: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
     Counts are those of the sentencepiece model for the whole text, without begin or end tokens. Null
-    and empty texts have 0 bytes and 0 tokens. Repeated rows are counted each; other columns are
-    ignored. An empty table gives an empty result.
+    and empty texts have 0 bytes and 0 tokens. Very long texts are counted whole. Repeated rows are counted
+    each; other columns, whatever their names, are ignored. An empty table gives an empty result. Ties in
+    frequency decide only which pre-tokens are broadcast, not the counts.
     """
     keys = frequent_pre_tokens(docs, text_col, table_size, local_top)
     encode = _processor(model_path).encode
