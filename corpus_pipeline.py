@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; :func:`run` writes each result as
 Parquet into the shared folder and reads it again as the next stage's documents.
+
+In every stage null ids and repeated ids are rows like others, extra columns are carried along whatever their
+names, very long texts are taken whole, and an empty table gives an empty result. Null texts, empty texts and
+texts without a letter go in the first stage. Of equal texts the longest original stays (ties: the smallest id;
+rows that repeat both: one of them), of near-duplicates the smallest id.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from tidemark.session import ship_package
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts whose language can be told; null texts and texts without a letter go."""
+    """Texts whose language can be told; null texts and texts without a letter go (with no label to learn from, these alone)."""
     ship_package(spark)
     return language_id.reject_unidentified(docs, language_id.learn(docs.where(~language_id.held_out())))
 
@@ -26,15 +31,21 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of near-duplicates."""
+    """The smallest id of each group of near-duplicates; rows with a null id stay."""
     ship_package(spark)
     return near_dedup.drop_near_copies(docs)
 
 
+#: What the toxic domain keeps of its tokens; the other domains keep all of theirs.
+TOXIC_SHARE = 0.1
+
+
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their fitted rate says."""
+    """Documents as often as their fitted rate says: toxic ones are thinned, the others stay."""
+    import public_tokenizers
+
     ship_package(spark)
-    return mixing.apply_rates(docs, mixing.mix(docs, mixing.domain_labels(spark, sf_dir)))
+    return mixing.mixed(docs, mixing.domain_labels(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), mixing.thinned("toxic", TOXIC_SHARE))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
