@@ -1,12 +1,16 @@
 """Personal data: pattern spans, and more spans by a character BiLSTM with CRF transitions.
 
-The pattern rules are exact. The model is a small bidirectional LSTM over characters whose tag scores
-go through a linear-chain CRF; it is trained in numpy on labelled spans. Texts are decoded in
-overlapping windows of fixed length, and every character takes its tag from the window in which it
-lies farthest from an edge, so the decision does not depend on where a text is cut.
-
-All four kinds need an @ or at least ``DIGITS`` digits within one window, so windows without these are
-not decoded: no span could survive there. Model spans that touch a pattern span are dropped.
+The pattern rules are exact. The model is a bidirectional LSTM over characters whose tag scores go through a
+linear-chain CRF; it is trained in numpy on labelled spans. These are spans of the rules in their surroundings,
+and the same surroundings with the span rewritten in a form that the rules do not know: addresses that are
+spelled out or in brackets, numbers with other marks between their parts, or without the leading plus. So
+the model learns to see a kind by its shape and its context, and finds what the rules miss.
+
+Texts are decoded in overlapping windows of fixed length, and every character takes its tag from the window in
+which it lies farthest from an edge, so the decision does not depend on where a text is cut. A window is
+decoded when it holds an @, an "at" or "dot" in brackets, a spelled-out "dot", or at least ``DIGITS`` digits:
+:func:`_possible` admits no span without one of these, so the others need no decoding. Model spans that touch
+a pattern span are dropped.
 """
 
 from __future__ import annotations
@@ -28,9 +32,10 @@ TAGS = 1 + 2 * len(KINDS)
 WINDOW, HOP = 96, 48
 DIGITS = 4
 #: Labelled windows that the model is trained on, at most; and documents that they come from.
-TRAIN_WINDOWS, TRAIN_ROWS = 1500, 15_000
-EMBED, HIDDEN = 8, 12
-SPAN_LIMIT = 64
+TRAIN_WINDOWS, TRAIN_ROWS = 2400, 15_000
+#: Labelled spans of one row that the training takes.
+ROW_SPANS = 8
+EMBED, HIDDEN = 10, 20
 
 Span = tuple[str, int, int]
 
@@ -39,6 +44,14 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_SPELLED = re.compile(r"[(\[{](?:at|dot)[)\]}]| dot ", re.I)
+# What a span of the model must look like to be of its kind.
+_SHAPES = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+ ?(@|[(\[{]at[)\]}]|\bat\b) ?[A-Za-z0-9-]+( ?(\.|[(\[{]dot[)\]}]|\bdot\b) ?[A-Za-z0-9-]+)+", re.I),
+    "ip": re.compile(r"[0-9]{1,3}([^A-Za-z0-9]{1,3}[0-9]{1,3}){3}"),
+    "card": re.compile(r"[0-9]([^A-Za-z0-9]{0,2}[0-9])+"),
+    "phone": re.compile(r"[+(]{0,2}[0-9][0-9 ().+/-]*[ ().+/-][0-9 ().+/-]*[0-9]"),
+}
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -198,7 +211,7 @@ class Tagger:
             g["emb"] += dtable @ p[f"x{d}"].T
         return g
 
-    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 240, batch: int = 40, rate: float = 0.02, seed: int = 5) -> Tagger:
+    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 320, batch: int = 40, rate: float = 0.02, seed: int = 5) -> Tagger:
         """Adam over shuffled batches. ``x``: character classes, ``y``: tags, both (windows, time)."""
         rng, step = np.random.default_rng(seed), 0
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -220,7 +233,9 @@ def windows(text: str) -> np.ndarray:
     """Starts of the windows that could hold a span, out of all overlapping windows of the text."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     digits = np.concatenate(([0], np.cumsum((points >= 48) & (points <= 57))))
-    ats = np.concatenate(([0], np.cumsum(points == 64)))
+    marked = points == 64
+    marked[[m.start() for m in _SPELLED.finditer(text)]] = True
+    ats = np.concatenate(([0], np.cumsum(marked)))
     starts = np.arange(0, max(1, len(points) - WINDOW + HOP), HOP) if len(points) > WINDOW else np.array([0])
     ends = np.minimum(starts + WINDOW, len(points))
     return starts[(digits[ends] - digits[starts] >= DIGITS) | (ats[ends] > ats[starts])]
@@ -244,15 +259,50 @@ def window_codes(text: str, starts: np.ndarray) -> np.ndarray:
     return x[starts[:, None] + np.arange(WINDOW)]
 
 
-def train(labelled: list[tuple[str, list[Span]]], limit: int = TRAIN_WINDOWS) -> Tagger:
-    """A tagger from texts with labelled spans: windows with a span, and as many without one."""
-    full, bare = [], []
+def rewritten(text: str, spans: list[Span], rng: np.random.Generator) -> tuple[str, list[Span]]:
+    """``text`` with each labelled span in a form that the pattern rules do not take, and where the spans are then."""
+    out, moved, at = [], [], 0
+
+    def pick(*choices: str) -> str:
+        return choices[int(rng.integers(len(choices)))]
+
+    for kind, a, b in sorted(spans, key=lambda x: x[1]):
+        if a < at:
+            continue
+        body = text[a:b]
+        if kind == "email":
+            mark, dot = (pick(" at ", "(at)", " (at) ", "[at]", " [at] ", " @ "), pick(" dot ", "(dot)", " [dot] "))
+            name, _, host = body.partition("@")
+            body = name + mark + (host.replace(".", dot) if "@" not in mark or rng.random() < 0.5 else host)
+        elif kind == "ip":
+            body = body.replace(".", pick(" . ", ",", "-", "[.]", ":"))
+        elif kind == "card":
+            digits = re.sub("[^0-9]", "", body)
+            body = pick(".", "/", "_", "  ", " - ").join(digits[i : i + 4] for i in range(0, len(digits), 4))
+        else:
+            digits = re.sub("[^0-9]", "", body)
+            head, rest = digits[:-10], digits[-10:]
+            gap = pick(" ", "-", ".", "/")
+            body = pick("", f"00{head} ", f"({head}) " if head else "") + gap.join((rest[:3], rest[3:6], rest[6:])) if rng.random() < 0.6 else f"({rest[:3]}) {rest[3:6]}{gap}{rest[6:]}"
+        out.append(text[at:a])
+        start = sum(map(len, out))
+        out.append(body)
+        moved.append((kind, start, start + len(body)))
+        at = b
+    return "".join([*out, text[at:]]), moved
+
+
+def train(labelled: list[tuple[str, list[Span]]], limit: int = TRAIN_WINDOWS, seed: int = 3) -> Tagger:
+    """A tagger from texts with labelled spans: windows with a span, as they are and rewritten, and windows without one."""
+    full, bare, rng = [], [], np.random.default_rng(seed)
     for text, spans in labelled:
-        starts = windows(text)
-        for s, x in zip(starts.tolist(), window_codes(text, starts), strict=True):
-            y = tags_of(spans, s)
-            (full if y.any() else bare).append((x, y))
-    full = full[: limit * 2 // 3]
+        for own, marks in ((text, spans), rewritten(text, spans, rng), rewritten(text, spans, rng)) if spans else ((text, spans),):
+            starts = windows(own)
+            for s, x in zip(starts.tolist(), window_codes(own, starts), strict=True):
+                y = tags_of(marks, s)
+                (full if y.any() else bare).append((x, y))
+    full = [full[i] for i in rng.permutation(len(full))[: limit * 2 // 3]]
+    bare = [bare[i] for i in rng.permutation(len(bare))]
     pick = full + bare[: max(limit // 3, min(limit - len(full), len(full) // 2))]
     return Tagger().fit(np.array([x for x, _ in pick]), np.array([y for _, y in pick])) if full else Tagger()
 
@@ -275,12 +325,14 @@ def reconciled(length: int, starts: np.ndarray, tags: np.ndarray) -> np.ndarray:
 
 
 def _possible(kind: str, body: str) -> bool:
-    """Whether a span of the model can be of its kind: the number checks of the kinds hold for it too."""
-    digits = re.findall("[0-9]+", body)
+    """Whether a span of the model can be of its kind: it has the kind's shape, and its number checks hold."""
+    if not _SHAPES[kind].fullmatch(body):
+        return False
     if kind == "email":
-        return "@" in body and body[0] != "@" and body[-1] != "@"
+        return "@" in body or _SPELLED.search(body) is not None
+    digits = re.findall("[0-9]+", body)
     if kind == "ip":
-        return len(digits) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in digits)
+        return all(int(x) <= 255 for x in digits) and sum(map(len, digits)) >= DIGITS
     number = "".join(digits)
     return 9 <= len(number) <= 15 if kind == "phone" else 13 <= len(number) <= 19 and _luhn(number)
 
@@ -304,7 +356,7 @@ def spans_of(tags: np.ndarray, text: str) -> list[Span]:
         while b > a and text[b - 1].isspace():
             b -= 1
         body = text[a:b]
-        if b - a <= SPAN_LIMIT and _possible(KINDS[kind], body):
+        if a < b and _possible(KINDS[kind], body):
             out.append((KINDS[kind], a, b))
         i = j
     return out
@@ -342,8 +394,9 @@ def joined(spans: list[Span]) -> str:
 def find_personal_data(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_email, n_ip, n_card, n_phone (pattern spans), base_sha256, spans (pattern and model spans).
 
-    Null and empty texts have no spans. Repeated rows are searched each; other columns are ignored; an
-    empty table gives an empty result.
+    Null and empty texts have no spans; very long texts are searched whole, window by window. Ties between
+    spans do not arise, as those of the model touch none of the rules. Repeated rows are searched each; other
+    columns, whatever their names, are ignored; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,7 +416,7 @@ def find_personal_data(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id",
 
 
 def learn_tagger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> Tagger:
-    """A tagger from about ``train_rows`` rows that a hash of the id chooses, labelled by the pattern rules.
+    """A tagger from about ``train_rows`` rows that a hash of the id chooses, labelled by the pattern rules (see :func:`train`).
 
     Of each chosen text only the surroundings of its labelled spans, and one other window, reach the driver.
     """
@@ -376,7 +429,7 @@ def learn_tagger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out: list[tuple[int | None, str, str]] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 spans = pattern_spans(text or "")
-                for kind, a, b in spans[:8]:
+                for kind, a, b in spans[:ROW_SPANS]:
                     lo, hi = max(0, a - WINDOW // 2), b + WINDOW // 2
                     near = [(k, x - lo, y - lo) for k, x, y in spans if lo <= x and y <= hi]
                     out.append((doc, text[lo:hi], joined(near)))
