@@ -24,6 +24,7 @@ import json
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from tidemark.llm.near_dedup import _mix
 from tidemark.session import shared_path
 
 PRIOR = 100.0
-#: Width of a quantisation step of -log10 p; one byte holds 256 of them.
+#: Width of a quantisation step of -log10 p, one byte holding 256 of them; it is wider where the tokens are so many that p falls below that.
 STEP = 0.04
 #: Stands for the end of a text; it holds a blank, so it is no word.
 END = b"\n"
@@ -81,7 +82,7 @@ def open_arrays(path: str) -> dict[str, np.ndarray]:
     """The arrays of a file, mapped where the folder is mounted, else read."""
     system, target = _system(path)
     if isinstance(system, pafs.LocalFileSystem):
-        data: np.ndarray = np.memmap(target, dtype=np.uint8, mode="r")
+        data = np.asarray(np.memmap(target, dtype=np.uint8, mode="r"))
     else:
         with system.open_input_file(target) as source:
             data = np.frombuffer(source.read(), dtype=np.uint8)
@@ -98,21 +99,29 @@ _ZERO_IN_BYTE = np.array([[next((b for b in range(8) if not x >> b & 1 and sum(n
 class Monotone:
     """A non-decreasing sequence: low bits in whole bytes, high parts in unary with a directory of zeros."""
 
-    def __init__(self, low: np.ndarray, high: np.ndarray, zeros: np.ndarray):
-        self.low, self.high, self.zeros = low, high, zeros
-        self.shift = np.uint64(8 * low.dtype.itemsize)
+    def __init__(self, low: np.ndarray, high: np.ndarray, zeros: np.ndarray, shift: np.ndarray):
+        self.low, self.high, self.zeros, self.bits = low, high, zeros, shift
+        self.shift, self.mask = np.uint64(shift[0]), np.uint64((1 << int(shift[0])) - 1)
 
     @classmethod
     def of(cls, values: np.ndarray, universe: int) -> Monotone:
-        spare = (max(universe, 1) // max(len(values), 1)).bit_length() - 1
-        kind = np.uint32 if spare >= 32 else np.uint16 if spare >= 14 else np.uint8
-        shift = np.uint64(8 * np.dtype(kind).itemsize)
-        top = (values >> shift).astype(np.int64)
-        bits = np.zeros(-(-(len(values) + (universe >> int(shift)) + 2) // 64) * 64, dtype=bool)
+        """Low bits as the universe has room for an entry, less three: at nine bits or so for the high parts, few entries share one."""
+        spare = max(0, (max(universe, 1) // max(len(values), 1)).bit_length() - 4)
+        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if spare <= 8 * np.dtype(k).itemsize)
+        spare = min(spare, 63)
+        top = (values >> np.uint64(spare)).astype(np.int64)
+        bits = np.zeros(-(-(len(values) + (universe >> spare) + 2) // 64) * 64, dtype=bool)
         bits[top + np.arange(len(values))] = True
         high = np.packbits(bits, bitorder="little").view("<u8")
         empty = 64 - np.bitwise_count(high).astype(np.int64)
-        return cls(values.astype(kind), high, (np.cumsum(empty) - empty).astype(np.uint32))
+        return cls((values & np.uint64((1 << spare) - 1)).astype(kind), high, (np.cumsum(empty) - empty).astype(np.uint32), np.array([spare], dtype=np.uint8))
+
+    def arrays(self, name: str = "") -> dict[str, np.ndarray]:
+        return {f"low{name}": self.low, f"high{name}": self.high, f"zeros{name}": self.zeros, f"bits{name}": self.bits}
+
+    @classmethod
+    def read(cls, arrays: dict[str, np.ndarray], name: str = "") -> Monotone:
+        return cls(*(arrays[f"{part}{name}"] for part in ("low", "high", "zeros", "bits")))
 
     def _zero(self, k: np.ndarray) -> np.ndarray:
         """Bit positions of the k-th zeros."""
@@ -133,7 +142,7 @@ class Monotone:
         top = (values >> self.shift).astype(np.int64)
         at = np.where(top > 0, self._zero(np.maximum(top - 1, 0)) - (top - 1), 0)
         end = self._zero(top) - top
-        low = values.astype(self.low.dtype)
+        low = (values & self.mask).astype(self.low.dtype)
         out = np.full(len(values), -1, dtype=np.int64)
         live = np.flatnonzero(at < end)
         while len(live):
@@ -198,14 +207,11 @@ def _dealt(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> pa.Record
 
 
 def _unique_rows(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows in order, with counts; columns after the first are below 2**32."""
-    keys, place = np.unique(columns[0], return_inverse=True)
-    table = [keys]
-    for column in columns[1:]:
-        keys, place = np.unique((place.astype(np.uint64) << np.uint64(32)) | column.astype(np.uint64), return_inverse=True)
-        up = (keys >> np.uint64(32)).astype(np.int64)
-        table = [*(x[up] for x in table), (keys & np.uint64(0xFFFFFFFF)).astype("<u4")]
-    return table, np.bincount(place, minlength=len(keys))
+    """Distinct rows in order, with counts."""
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    first = np.flatnonzero(np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns], axis=0))))
+    return [c[first] for c in columns], np.diff(np.append(first, len(order)))
 
 
 def _pack_rows(columns: list[np.ndarray], counts: np.ndarray) -> bytes:
@@ -269,7 +275,7 @@ class Vocabulary:
         self.learn(set().union(*words))
         n = np.array([len(w) for w in words], dtype=np.int64)
         get = self.cache.__getitem__
-        return np.fromiter((get(x) for own in words for x in own), dtype=np.int64, count=int(n.sum())), n
+        return np.fromiter(map(get, chain.from_iterable(words)), dtype=np.int64, count=int(n.sum())), n
 
 
 @lru_cache(maxsize=1)
@@ -290,8 +296,13 @@ def _starts(n: np.ndarray, level: int) -> np.ndarray:
     return np.flatnonzero(left >= level)
 
 
-def _byte(p: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(-np.log10(p) / STEP), 0, 255).astype(np.uint8)
+def _step(tokens: int) -> float:
+    """The step with which no p of an entry is below the last value: p is 1 / (tokens + PRIOR) at least."""
+    return max(STEP, float(np.log10(tokens + PRIOR)) / 255)
+
+
+def _byte(p: np.ndarray, step: float) -> np.ndarray:
+    return np.clip(np.rint(-np.log10(p) / step), 0, 255).astype(np.uint8)
 
 
 def _shard_of_pair(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -311,6 +322,10 @@ class Model:
     def words(self) -> int:
         return sum(self.sizes)
 
+    @property
+    def step(self) -> float:
+        return _step(self.tokens)
+
 
 def count_words(texts: DataFrame, path: str, shards: int) -> tuple[tuple[int, ...], int]:
     """Write level one; sizes of its files and the number of tokens."""
@@ -347,7 +362,7 @@ def count_words(texts: DataFrame, path: str, shards: int) -> tuple[tuple[int, ..
 
 def count_pairs(texts: DataFrame, path: str, sizes: tuple[int, ...], tokens: int, shards: int) -> frozenset[int]:
     """Write level two; the numbers of its files."""
-    words = sum(sizes)
+    words, step = sum(sizes), _step(tokens)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, held, size = _vocabulary(path, sizes), [], 0
@@ -381,7 +396,7 @@ def count_pairs(texts: DataFrame, path: str, sizes: tuple[int, ...], tokens: int
         p = (counts + PRIOR * alone) / (given + PRIOR)
         first = Monotone.of(contexts.astype(np.uint64), words + 1)
         pairs = Monotone.of(place.astype(np.uint64) * np.uint64(words) + right.astype(np.uint64), len(contexts) * words + 1)
-        save_arrays(f"{path}/pairs-{shard}", {"low1": first.low, "high1": first.high, "zeros1": first.zeros, "low2": pairs.low, "high2": pairs.high, "zeros2": pairs.zeros, "p": _byte(p)})
+        save_arrays(f"{path}/pairs-{shard}", first.arrays("1") | pairs.arrays("2") | {"p": _byte(p, step)})
         return pa.table({"shard": pa.array([shard], pa.int64())})
 
     got = texts.mapInArrow(local, "shard bigint, data binary").groupBy("shard").applyInArrow(merge, "shard bigint").collect()
@@ -391,7 +406,7 @@ def count_pairs(texts: DataFrame, path: str, sizes: tuple[int, ...], tokens: int
 def count_grams(texts: DataFrame, path: str, level: int, model: Model) -> frozenset[int]:
     """Write level three or a further one, the levels before it being there; the numbers of its files."""
     sizes, shards, words, filled, deeper = model.sizes, model.shards, model.words, model.filled, model.deeper
-    tails = level - 2
+    tails, step = level - 2, _step(model.tokens)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, held, size = _vocabulary(path, sizes), [], 0
@@ -434,7 +449,7 @@ def count_grams(texts: DataFrame, path: str, level: int, model: Model) -> frozen
         place = (keys // np.uint64(words)).astype(np.int64)
         given = np.bincount(place, weights=counts, minlength=len(above.low))
         own = Monotone.of(keys, len(above.low) * words + 1)
-        save_arrays(f"{path}/grams{level}-{shard}", {"low": own.low, "high": own.high, "zeros": own.zeros, "p": _byte(counts / (given[place] + PRIOR)), "back": _byte(PRIOR / (given + PRIOR))})
+        save_arrays(f"{path}/grams{level}-{shard}", own.arrays() | {"p": _byte(counts / (given[place] + PRIOR), step), "back": _byte(PRIOR / (given + PRIOR), step)})
         return pa.table({"shard": pa.array([shard], pa.int64())})
 
     got = texts.mapInArrow(local, "shard bigint, data binary").groupBy("shard").applyInArrow(merge, "shard bigint").collect()
@@ -463,7 +478,7 @@ def _pairs(path: str, filled: frozenset[int]) -> dict[int, tuple[Monotone, Monot
     out = {}
     for s in filled:
         a = open_arrays(f"{path}/pairs-{s}")
-        out[s] = (Monotone(a["low1"], a["high1"], a["zeros1"]), Monotone(a["low2"], a["high2"], a["zeros2"]), a["p"])
+        out[s] = (Monotone.read(a, "1"), Monotone.read(a, "2"), a["p"])
     return out
 
 
@@ -472,7 +487,7 @@ def _grams(path: str, level: int, filled: frozenset[int]) -> dict[int, tuple[Mon
     out = {}
     for s in filled:
         a = open_arrays(f"{path}/grams{level}-{s}")
-        out[s] = (Monotone(a["low"], a["high"], a["zeros"]), a["p"], a["back"])
+        out[s] = (Monotone.read(a), a["p"], a["back"])
     return out
 
 
@@ -481,7 +496,7 @@ def _refine(model: Model, level: int, score: np.ndarray, ids: np.ndarray, n: np.
 
     ``place`` and ``shard`` are those of the entries of the level before, -1 where there is none.
     """
-    ends = np.cumsum(n) - 1
+    ends, step = np.cumsum(n) - 1, model.step
     live = place >= 0
     live[ends] = False
     at = np.flatnonzero(live)
@@ -493,13 +508,13 @@ def _refine(model: Model, level: int, score: np.ndarray, ids: np.ndarray, n: np.
         if not len(own):
             continue
         word, context = ids[own + 1], place[own]
-        value = 10.0 ** (score[own + 1] - STEP * back[context])
+        value = 10.0 ** (score[own + 1] - step * back[context])
         seen = word >= 0
         keys, where = np.unique(context[seen].astype(np.uint64) * np.uint64(model.words) + word[seen].astype(np.uint64), return_inverse=True)
         got = np.full(len(own), -1, dtype=np.int64)
         got[seen] = grams.find(keys)[where]
         hit = got >= 0
-        value[hit] += 10.0 ** (-STEP * p[got[hit]])
+        value[hit] += 10.0 ** (-step * p[got[hit]])
         score[own + 1] = np.log10(value)
         found[own + 1], files[own + 1] = got, s
     return found, files
@@ -527,7 +542,7 @@ def score_texts(model: Model, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         place = contexts.find(keys[own] >> np.uint64(32))
         own, place = own[place >= 0], place[place >= 0]
         at = pairs.find(place.astype(np.uint64) * np.uint64(model.words) + (keys[own] & np.uint64(0xFFFFFFFF)))
-        value[own[at >= 0]] = -STEP * p[at[at >= 0]]
+        value[own[at >= 0]] = -model.step * p[at[at >= 0]]
         places[own] = at
     value = value[back]
     known = ~np.isnan(value)
@@ -543,8 +558,9 @@ def score_texts(model: Model, texts: list[bytes]) -> tuple[np.ndarray, ...]:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
-    Null and empty texts have the end token alone. With nothing learned, every token is unknown.
-    Repeated rows are scored each; other columns are ignored; an empty table gives an empty result.
+    Null and empty texts have the end token alone; very long texts are scored whole. With nothing learned,
+    every token is unknown. Repeated rows are scored each, ties do not arise; other columns, whatever their
+    names, are ignored; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
