@@ -98,13 +98,14 @@ def test_outcome_path_by_hand(spark):
     assert (a.entry, a.status, a.mfe_offset, a.mae_offset) == (95.0, "COMPLETE", 3, 1)
     assert a.forward_return == pytest.approx(105 / 95 - 1) and a.mfe == pytest.approx(106 / 95 - 1) and a.mae == pytest.approx(94 / 95 - 1)
     assert a.drawdown_upper == pytest.approx(99 / 105 - 1) and a.drawdown_lower == pytest.approx(94 / 103 - 1) and a.drawdown_ambiguous
-    assert r[1].status == "INSUFFICIENT_FUTURE" and r[1].forward_return is None and r[1].partial_return == pytest.approx(105 / 95 - 1)
+    assert a.entry_gap == pytest.approx(95 / 100 - 1) and a.gap_down == a.entry_gap and a.gap_up == pytest.approx(102 / 101 - 1)
+    assert r[1].status == "TRUNCATED_END_OF_DATA" and r[1].forward_return is None and r[1].partial_return == pytest.approx(105 / 95 - 1)
 
 
 def test_event_without_next_bar(spark):
     d = make_bars(spark, [(99, 101, 98, 100)])
     r = oc.outcome_paths(d.select("instrument_id", "signal_index", "trade_date"), d, (2,)).first()
-    assert r.status == "NO_ENTRY" and r.entry is None
+    assert r.status == "NO_ENTRY_BAR" and r.entry is None
 
 
 def test_stop_fills(spark):

@@ -11,7 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-COMPLETE, PARTIAL, UNUSABLE, NO_ENTRY = "COMPLETE", "INSUFFICIENT_FUTURE", "UNUSABLE_BAR", "NO_ENTRY"
+# What an outcome can be.
+COMPLETE, NO_ENTRY, ENTRY_UNUSABLE = "COMPLETE", "NO_ENTRY_BAR", "ENTRY_UNUSABLE"
+CUT_BY_BAR, CUT_BY_END = "TRUNCATED_UNUSABLE_BAR", "TRUNCATED_END_OF_DATA"
 EVENT_KEY = ("instrument_id", "signal_index")
 
 
@@ -19,26 +21,30 @@ def usable():
     return F.col("eligibility") & (F.col("quality_status") == "PASS")
 
 
-def path_rows(events: DataFrame, bars: DataFrame, horizon: int) -> DataFrame:
-    """Bars at offsets 1..horizon behind each event, with running peaks: the longest path, for all horizons."""
+def walked(events: DataFrame, bars: DataFrame, horizon: int) -> DataFrame:
+    """Bars at offsets 1..horizon behind each event, usable or not; ``gap`` is the open against the close of the bar before."""
     steps = events.select(*EVENT_KEY, F.col("trade_date").alias("signal_date"), F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("offset"))
     steps = steps.withColumn("at", F.col("signal_index") + F.col("offset"))
-    path = bars.select("instrument_id", F.col("signal_index").alias("at"), F.col("trade_date").alias("bar_date"), "open", "high", "low", "close", usable().alias("ok"))
-    joined = steps.join(path, ["instrument_id", "at"])
+    last_close = F.lag("close").over(Window.partitionBy("instrument_id").orderBy("signal_index"))
+    path = bars.select("instrument_id", F.col("signal_index").alias("at"), F.col("trade_date").alias("bar_date"), "open", "high", "low", "close", (F.col("open") / last_close - 1).alias("gap"), usable().alias("ok"))
+    return steps.join(path, ["instrument_id", "at"])
+
+
+def path_rows(events: DataFrame, bars: DataFrame, horizon: int) -> DataFrame:
+    """Bars at offsets 1..horizon behind each event up to the first that is not usable, with running peaks: the longest path, for all horizons."""
     so_far = Window.partitionBy(*EVENT_KEY).orderBy("offset")
-    joined = joined.withColumn("clean", F.min(F.col("ok").cast("int")).over(so_far.rowsBetween(Window.unboundedPreceding, 0)) == 1)
+    joined = walked(events, bars, horizon).withColumn("clean", F.min(F.col("ok").cast("int")).over(so_far.rowsBetween(Window.unboundedPreceding, 0)) == 1)
     joined = joined.where("clean").withColumn("entry", F.first("open").over(so_far.rowsBetween(Window.unboundedPreceding, 0)))
     past = so_far.rowsBetween(Window.unboundedPreceding, -1)
     peak_before = F.coalesce(F.greatest(F.max("high").over(past), F.col("entry")), F.col("entry"))
-    joined = joined.withColumn("peak_before", peak_before).withColumn("peak_with", F.greatest("peak_before", "high"))
-    last_close = F.lag("close").over(so_far)
-    return joined.withColumn("gap", F.when(last_close.isNotNull(), F.col("open") / last_close - 1))
+    return joined.withColumn("peak_before", peak_before).withColumn("peak_with", F.greatest("peak_before", "high"))
 
 
 def outcome_paths(events: DataFrame, bars: DataFrame, horizons: Sequence[int]) -> DataFrame:
     """One row per event and horizon: entry, returns, MFE and MAE with first offsets, drawdown bounds, gaps, status.
 
-    Events without a usable next bar keep a row with status NO_ENTRY. Ties go to the earliest bar.
+    A path ends before the first unusable bar or with the data. An event without a next bar is NO_ENTRY_BAR, one whose
+    next bar is not usable ENTRY_UNUSABLE; both keep a row. Gaps include the one into the entry. Ties go to the earliest bar.
     """
     rows = path_rows(events, bars, max(horizons))
     wanted = F.explode(F.array(*[F.lit(h) for h in horizons])).alias("horizon")
@@ -55,14 +61,20 @@ def outcome_paths(events: DataFrame, bars: DataFrame, horizons: Sequence[int]) -
         F.min(F.col("low") / F.col("peak_with") - 1).alias("drawdown_lower"),
         F.coalesce(F.greatest(F.max("gap"), F.lit(0.0)), F.lit(0.0)).alias("gap_up"),
         F.coalesce(F.least(F.min("gap"), F.lit(0.0)), F.lit(0.0)).alias("gap_down"),
+        F.min_by("gap", "offset").alias("entry_gap"),
+        F.max_by(F.when(F.col("gap") > 0, F.col("bar_date")), F.struct(F.greatest("gap", F.lit(0.0)), -F.col("offset"))).alias("gap_up_date"),
+        F.min_by(F.when(F.col("gap") < 0, F.col("bar_date")), F.struct(F.least("gap", F.lit(0.0)), "offset")).alias("gap_down_date"),
     )
+    flaws = walked(events, bars, max(horizons)).where(~F.col("ok")).groupBy(*EVENT_KEY).agg(F.min("offset").alias("bad"), F.min_by("bar_date", "offset").alias("bad_date"))
     keys = events.select(*EVENT_KEY, F.col("trade_date").alias("signal_date"), wanted)
-    out = keys.join(stats, [*EVENT_KEY, "horizon"], "left")
+    out = keys.join(stats, [*EVENT_KEY, "horizon"], "left").join(flaws, list(EVENT_KEY), "left")
+    cut = F.col("bad") <= F.col("horizon")
     complete = F.col("bars_seen") == F.col("horizon")
     change = F.col("exit_close") / F.col("entry") - 1
     return out.select(
         *EVENT_KEY, "signal_date", "horizon", "entry",
-        F.when(F.col("entry").isNull(), NO_ENTRY).when(complete, COMPLETE).otherwise(PARTIAL).alias("status"),
+        F.when(F.col("bad") == 1, ENTRY_UNUSABLE).when(F.col("entry").isNull(), NO_ENTRY).when(complete, COMPLETE).when(cut, CUT_BY_BAR).otherwise(CUT_BY_END).alias("status"),
+        F.coalesce("bars_seen", F.lit(0)).alias("observed"), F.when(cut, F.col("bad_date")).alias("truncated_on"),
         F.when(complete, change).alias("forward_return"),
         change.alias("partial_return"),
         (F.col("high_most") / F.col("entry") - 1).alias("mfe"), "mfe_offset",
@@ -70,7 +82,7 @@ def outcome_paths(events: DataFrame, bars: DataFrame, horizons: Sequence[int]) -
         F.when(F.col("mfe_offset") < F.col("mae_offset"), "MFE_FIRST").when(F.col("mfe_offset") > F.col("mae_offset"), "MAE_FIRST").when(F.col("mfe_offset").isNotNull(), "AMBIGUOUS").alias("first_extreme"),
         "drawdown_upper", "drawdown_lower",
         F.when(F.col("drawdown_upper").isNotNull(), F.abs(F.col("drawdown_upper") - F.col("drawdown_lower")) > 1e-15).alias("drawdown_ambiguous"),
-        "gap_up", "gap_down",
+        "gap_up", "gap_down", "entry_gap", "gap_up_date", "gap_down_date",
     )
 
 

@@ -7,13 +7,13 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import data, evidence, features, research, strategy, streams
+from tidemark.plans import data, evidence, features, research, stops, strategy, streams
 from tidemark.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that export QUERIES: name to (query, SQL or None).
-MODULES = (data, features, strategy, research, evidence, streams)
+MODULES = (data, features, strategy, stops, research, evidence, streams)
 
 
 def _shipped(query: Query) -> Query:

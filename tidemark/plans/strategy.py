@@ -11,7 +11,7 @@ from tidemark.operators import patterns as pt
 from tidemark.operators import resample as rs
 from tidemark.operators import risk, signals
 from tidemark.plans.features import MARKET, SMAS, SMAS_LAG, TR, P, q_full, q_lag, recursive_sql
-from tidemark.sources.bars import derive_bars, with_bars
+from tidemark.sources.bars import FLAWED, derive_bars, flawed, with_bars
 
 HORIZONS = (5, 20)
 
@@ -67,26 +67,37 @@ def prior_high_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_all(oc.outcome_summary(oc.outcome_paths(events, bars, HORIZONS), HORIZONS))
 
 
-PATH = """path AS (SELECT *, greatest(peak_before, high) AS peak_with, open / lag(close) OVER (PARTITION BY instrument_id, signal_index ORDER BY off) - 1 AS gap
+def path_ctes(source: str = "bars", ok: str = "TRUE") -> str:
+    """Paths of the events ``ev`` over a table of bars whose usable rows ``ok`` tells."""
+    return f"""prior AS (SELECT *, lag(close) OVER (PARTITION BY instrument_id ORDER BY signal_index) AS prev_close, {ok} AS ok FROM {source}),
+walk AS MATERIALIZED (SELECT e.instrument_id, e.signal_index, e.trade_date AS signal_date, b.signal_index - e.signal_index AS off, b.trade_date AS bar_date, b.open, b.high, b.low, b.close,
+    b.open / b.prev_close - 1 AS gap, b.ok, bool_and(b.ok) OVER (PARTITION BY e.instrument_id, e.signal_index ORDER BY b.signal_index) AS clean
+  FROM ev e JOIN prior b ON b.instrument_id = e.instrument_id AND b.signal_index BETWEEN e.signal_index + 1 AND e.signal_index + 20),
+flaws AS (SELECT instrument_id, signal_index, min(off) AS bad, arg_min(bar_date, off) AS bad_date FROM walk WHERE NOT ok GROUP BY 1, 2),
+path AS (SELECT *, greatest(peak_before, high) AS peak_with
   FROM (SELECT *, greatest(entry, coalesce(max(high) OVER (PARTITION BY instrument_id, signal_index ORDER BY off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), entry)) AS peak_before
-    FROM (SELECT e.instrument_id, e.signal_index, e.trade_date AS signal_date, b.signal_index - e.signal_index AS off, b.trade_date AS bar_date, b.open, b.high, b.low, b.close,
-            first_value(b.open) OVER (PARTITION BY e.instrument_id, e.signal_index ORDER BY b.signal_index) AS entry
-          FROM ev e JOIN bars b ON b.instrument_id = e.instrument_id AND b.signal_index BETWEEN e.signal_index + 1 AND e.signal_index + 20)))"""
+    FROM (SELECT *, first_value(open) OVER (PARTITION BY instrument_id, signal_index ORDER BY off) AS entry FROM walk WHERE clean)))"""
+
+
+PATH = path_ctes()
 OUTCOMES = """outs AS (
   SELECT e.instrument_id, e.signal_index, e.trade_date AS signal_date, e.horizon, s.entry,
-    CASE WHEN s.entry IS NULL THEN 'NO_ENTRY' WHEN seen = e.horizon THEN 'COMPLETE' ELSE 'INSUFFICIENT_FUTURE' END AS status,
+    CASE WHEN bad = 1 THEN 'ENTRY_UNUSABLE' WHEN s.entry IS NULL THEN 'NO_ENTRY_BAR' WHEN seen = e.horizon THEN 'COMPLETE' WHEN bad <= e.horizon THEN 'TRUNCATED_UNUSABLE_BAR' ELSE 'TRUNCATED_END_OF_DATA' END AS status,
+    coalesce(seen, 0) AS observed, CASE WHEN bad <= e.horizon THEN bad_date END AS truncated_on,
     CASE WHEN seen = e.horizon THEN last_close / s.entry - 1 END AS forward_return, last_close / s.entry - 1 AS partial_return,
     hi / s.entry - 1 AS mfe, mfe_offset, lo / s.entry - 1 AS mae, mae_offset,
     CASE WHEN mfe_offset < mae_offset THEN 'MFE_FIRST' WHEN mfe_offset > mae_offset THEN 'MAE_FIRST' WHEN mfe_offset IS NOT NULL THEN 'AMBIGUOUS' END AS first_extreme,
     drawdown_upper, drawdown_lower, CASE WHEN drawdown_upper IS NOT NULL THEN abs(drawdown_upper - drawdown_lower) > 1e-15 END AS drawdown_ambiguous,
-    gap_up, gap_down
+    gap_up, gap_down, entry_gap, gap_up_date, gap_down_date
   FROM (SELECT ev.*, h.horizon FROM ev, (VALUES (5), (20)) h(horizon)) e
   LEFT JOIN (
     SELECT p.instrument_id, p.signal_index, h.horizon, any_value(entry) AS entry, max(off) AS seen, arg_max(close, off) AS last_close, max(high) AS hi,
       arg_max(off, (high, -off)) AS mfe_offset, min(low) AS lo, arg_min(off, (low, off)) AS mae_offset,
-      min(low / peak_before - 1) AS drawdown_upper, min(low / peak_with - 1) AS drawdown_lower, greatest(max(gap), 0) AS gap_up, least(min(gap), 0) AS gap_down
+      min(low / peak_before - 1) AS drawdown_upper, min(low / peak_with - 1) AS drawdown_lower, greatest(max(gap), 0) AS gap_up, least(min(gap), 0) AS gap_down, arg_min(gap, off) AS entry_gap,
+      arg_max(bar_date, (gap, -off)) FILTER (gap > 0) AS gap_up_date, arg_min(bar_date, (gap, off)) FILTER (gap < 0) AS gap_down_date
     FROM path p, (VALUES (5), (20)) h(horizon) WHERE off <= h.horizon GROUP BY 1, 2, 3) s
-  ON s.instrument_id = e.instrument_id AND s.signal_index = e.signal_index AND s.horizon = e.horizon)"""
+  ON s.instrument_id = e.instrument_id AND s.signal_index = e.signal_index AND s.horizon = e.horizon
+  LEFT JOIN flaws f ON f.instrument_id = e.instrument_id AND f.signal_index = e.signal_index)"""
 SUMMARY_BODY = """SELECT h.horizon, coalesce(n, 0) AS n, round(mean_return, 8) AS mean_return, round(median_return, 8) AS median_return, round(positive_fraction, 8) AS positive_fraction,
   round(p25, 8) AS p25, round(p75, 8) AS p75, round(median_mfe, 8) AS median_mfe, round(median_mae, 8) AS median_mae
 FROM (VALUES (5), (20)) h(horizon) LEFT JOIN (
@@ -111,12 +122,18 @@ def outcome_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_all(oc.outcome_paths(events, bars, HORIZONS))
 
 
+def outcome_paths_flawed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events over bars of which some are in quarantine or not eligible."""
+    events, bars = raw_breakouts(spark, sf_dir)
+    return round_all(oc.outcome_paths(events, flawed(bars), HORIZONS))
+
+
 def outcome_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, bars = raw_breakouts(spark, sf_dir)
     return round_all(oc.outcome_summary(oc.outcome_paths(events, bars, HORIZONS), HORIZONS))
 
 
-OUT_COLUMNS = "instrument_id, signal_index, signal_date, horizon, round(entry, 8) AS entry, status, round(forward_return, 8) AS forward_return, round(partial_return, 8) AS partial_return, round(mfe, 8) AS mfe, mfe_offset, round(mae, 8) AS mae, mae_offset, first_extreme, round(drawdown_upper, 8) AS drawdown_upper, round(drawdown_lower, 8) AS drawdown_lower, drawdown_ambiguous, round(gap_up, 8) AS gap_up, round(gap_down, 8) AS gap_down"
+OUT_COLUMNS = "instrument_id, signal_index, signal_date, horizon, round(entry, 8) AS entry, status, round(forward_return, 8) AS forward_return, round(partial_return, 8) AS partial_return, round(mfe, 8) AS mfe, mfe_offset, round(mae, 8) AS mae, mae_offset, first_extreme, round(drawdown_upper, 8) AS drawdown_upper, round(drawdown_lower, 8) AS drawdown_lower, drawdown_ambiguous, round(gap_up, 8) AS gap_up, round(gap_down, 8) AS gap_down, round(entry_gap, 8) AS entry_gap, gap_up_date, gap_down_date, observed, truncated_on"
 
 
 def baseline_stride(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,6 +287,7 @@ QUERIES = {
     "strategy_prior_high_20_summary": (prior_high_summary, SUMMARY_SQL),
     **{f"strategy_{n}": (preset(n), preset_sql(n)) for n in ("momentum_volume", "pullback", "trend_cross", "range_low", "year_momentum")},
     "outcome_paths": (outcome_paths, with_bars(f"SELECT {OUT_COLUMNS} FROM outs", BASE, EV, PATH, OUTCOMES)),
+    "outcome_paths_flawed": (outcome_paths_flawed, with_bars(f"SELECT {OUT_COLUMNS} FROM outs", BASE, EV, FLAWED, path_ctes("flawed", "usable"), OUTCOMES)),
     "outcome_summary": (outcome_summary, with_bars(SUMMARY_BODY, BASE, EV, PATH, OUTCOMES)),
     "baseline_stride_returns": (baseline_stride, STRIDE_SQL),
     "legacy_breakouts": (legacy_breakouts, LEGACY_SQL),

@@ -138,6 +138,15 @@ def serve(bars: DataFrame, membership: DataFrame, start: str, end: str, allowed:
     return joined.withColumn("eligibility", member).drop("member")
 
 
+def flawed(bars: DataFrame) -> DataFrame:
+    """The same bars with some days in quarantine and others not eligible, so that paths meet unusable bars."""
+    day = F.dayofyear("trade_date")
+    return bars.withColumn("eligibility", day % 29 != 0).withColumn("quality_status", F.when(day % 31 == 0, "QUARANTINE").otherwise("PASS"))
+
+
+FLAWED = """flawed AS (SELECT *, dayofyear(trade_date) % 29 <> 0 AND dayofyear(trade_date) % 31 <> 0 AS usable FROM bars)"""
+
+
 def second_provider(bars: DataFrame) -> DataFrame:
     """Another provider's view: rows missing on some days of the year, other closes on some."""
     day = F.dayofyear("trade_date")
@@ -145,7 +154,7 @@ def second_provider(bars: DataFrame) -> DataFrame:
 
 
 def corporate_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-for-one splits derived from every 997th order."""
+    """Two-for-one splits derived from every 97th order."""
     orders = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 97 == 0)
     return orders.select(F.concat(F.lit("I"), (F.col("o_custkey") % INSTRUMENTS).cast("string")).alias("instrument_id"), F.to_date("o_orderdate").alias("effective_date"), F.lit("split").alias("action_type"), F.lit(2.0).alias("ratio")).distinct()
 
