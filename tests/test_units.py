@@ -133,18 +133,87 @@ def test_lifecycle_prefix_stability(spark):
     assert_same(whole, pt.lifecycle_states(d.where("trade_date < '1996-06-01'")).toPandas())
 
 
-def test_lifecycle_by_hand():
-    t = pt.Tracker(pt.Lifecycle(duration=3, max_range_pct=8, reset_sessions=1))
+def _bar(i, c, h=None, low=None, **more):
+    return {"index": i, "date": f"2024-01-{i + 1:02d}", "hc": h or c + 100, "lc": low or c - 100, "cc": c, "ok": True, "trend_ok": True} | more
 
-    def bar(i, c, h=None, low=None, **more):
-        return {"index": i, "date": f"2024-01-{i + 1:02d}", "hc": h or c + 100, "lc": low or c - 100, "cc": c, "ok": True, "trend_ok": True} | more
 
-    states = [t.step(bar(i, 10_000)) for i in range(4)]
-    assert [s for s, _ in states] == ["NONE", "NONE", "NONE", "TRIGGER_READY"]
-    assert t.step(bar(4, 10_200)) == ("CONSUMED", "BREAKOUT")
-    assert t.step(bar(5, 10_200))[0] == "NONE"
+def test_lifecycle_by_hand():
+    t = pt.Tracker(pt.Lifecycle(duration=3, max_range_pct=8, reset_sessions=1, cooldown=2))
+    assert [t.step(_bar(i, 10_000))["state"] for i in range(4)] == ["NONE", "NONE", "NONE", "TRIGGER_READY"]
+    out = t.step(_bar(4, 10_200))
+    assert (out["state"], out["reason"], out["event"]) == ("CONSUMED", "BREAKOUT", True)
+    assert t.step(_bar(5, 10_200))["state"] == "NONE"
     with pytest.raises(ValueError, match="order"):
-        t.step(bar(5, 10_000))
+        t.step(_bar(5, 10_000))
+
+
+def test_lifecycle_gates_and_ends():
+    s = pt.Lifecycle(duration=3, max_range_pct=8, reset_sessions=0, volume_ratio=2.0)
+    t = pt.Tracker(s)
+    for i in range(4):
+        t.step(_bar(i, 10_000))
+    assert t.step(_bar(4, 10_150, ratio=1.9))["state"] == "QUALIFIED"  # above resistance, too quiet: the base goes on
+    assert t.step(_bar(5, 10_150, ratio=2.0))["event"]
+    t = pt.Tracker(s)
+    for i in range(3):
+        t.step(_bar(i, 10_000))
+    assert t.step(_bar(3, 9_800))["state"] == "QUALIFIED"  # begins below its support, and ends on the next bar
+    assert t.step(_bar(4, 9_800))["reason"] == "SUPPORT_BROKEN"
+    t = pt.Tracker(s)
+    for i in range(3):
+        t.step(_bar(i, 10_000))
+    assert t.step(_bar(3, 10_000, action=True))["state"] == "NONE" and t.state["ended_at"] == 3
+    assert [t.step(_bar(i, 10_000))["state"] for i in range(4, 8)] == ["NONE"] * 3 + ["TRIGGER_READY"]
+    assert t.step(_bar(8, 10_000, ok=False))["reason"] == "QUALITY"
+
+
+def replayed(rows, s):
+    """The same rules looked up over the whole series at every bar, without a running state of the base."""
+    out, end, last, held = [], None, None, None
+    for i, r in enumerate(rows):
+        base, state, reason, event = rows[max(0, i - s.duration) : i], "NONE", "", False
+        if held is not None:
+            own, high, low = rows[held - s.duration : held], max(x["hc"] for x in rows[held - s.duration : held]), min(x["lc"] for x in rows[held - s.duration : held])
+            episode = rows[held - s.duration : i + 1]
+            wide = (max(x["hc"] for x in episode) - min(x["lc"] for x in episode)) * 100 > s.max_range_pct * min(x["lc"] for x in episode)
+            tests = ((r["action"], "CORPORATE_ACTION"), (not r["ok"], "QUALITY"), (not r["trend_ok"], "TREND"), (r["cc"] < low, "SUPPORT_BROKEN"), (s.max_age is not None and i - (held - 1) > (s.max_age or 0), "AGE"), (r["cc"] <= high and wide, "RANGE_EXPANDED"))
+            reason = next((name for hit, name in tests if hit), "")
+            if reason:
+                state, end, held = "INVALIDATED", i, None
+        elif r["action"]:
+            end = i
+        elif len(base) == s.duration and all(x["ok"] for x in [*base, r]) and r["trend_ok"] and (end is None or (i - end > s.reset_sessions and i - s.duration > end)):
+            own, high, low = base, max(x["hc"] for x in base), min(x["lc"] for x in base)
+            if (high - low) * 100 <= s.max_range_pct * low:
+                held = i
+        if held is not None:
+            loud = s.volume_ratio is None or (r["ratio"] == r["ratio"] and r["ratio"] >= s.volume_ratio)
+            if r["cc"] > high and (last is None or i - last > s.cooldown) and loud:
+                state, reason, event, last, end, held = "CONSUMED", "BREAKOUT", True, i, i, None
+            else:
+                state = "TRIGGER_READY" if 0 <= (high - r["cc"]) / high <= s.trigger_distance else "QUALIFIED"
+        out.append((r["signal_index"], state, reason, event))
+    return out
+
+
+@pytest.mark.parametrize("more", [{}, {"volume_ratio": 1.0, "max_age": 30}, {"trend": "ABOVE_SMA_200", "reset_sessions": 12, "cooldown": 30}])
+def test_lifecycle_equals_a_replay(spark, more):
+    s = pt.Lifecycle(**more)
+    bars, actions = src.flawed(src.derive_bars(spark, DATA)), src.corporate_actions(spark, DATA)
+    want = set()
+    for name, p in pt.tracker_input(bars, s, actions).toPandas().sort_values("signal_index").groupby("instrument_id"):
+        want |= {(name, *x) for x in replayed(p.to_dict("records"), s)}
+    states = pt.lifecycle_states(bars, s, actions)
+    got = {(r.instrument_id, r.signal_index, r.state, r.reason, r.event) for r in states.select("instrument_id", "signal_index", "state", "reason", "event").collect()}
+    assert got == want and {x[2] for x in got} >= {"NONE", "QUALIFIED", "INVALIDATED", "CONSUMED"}
+    assert pt.lifecycle_events(states).count() == sum(x[4] for x in got)
+
+
+def test_projection_statuses(spark):
+    rows = [("A", "CONSUMED", "BREAKOUT", True, 100, 105, 2.0), ("B", "NONE", "", False, None, 5, None), ("C", "INVALIDATED", "QUALITY", False, 9, 8, 1.0), ("D", "INVALIDATED", "TREND", False, 9, 8, 1.0), ("E", "INVALIDATED", "AGE", False, 9, 8, 1.0), ("F", "QUALIFIED", "", False, 100, 101, 1.0), ("G", "TRIGGER_READY", "", False, 100, 99, 1.0), ("H", "QUALIFIED", "", False, 100, 90, 1.0)]
+    df = spark.createDataFrame([(*r[:1], date(2024, 1, 2), *r[1:]) for r in rows], "instrument_id string, trade_date date, state string, reason string, event boolean, resistance bigint, cc bigint, ratio double")
+    got = {r.instrument_id: r.status for r in pt.projection(df, pt.Lifecycle(volume_ratio=1.5)).collect()}
+    assert got == dict(zip("ABCDEFGH", ("BREAKOUT", "INACTIVE", "QUALITY_BLOCKED", "TREND_FILTER_FAIL", "INVALIDATED", "VOLUME_FILTER_FAIL", "TRIGGER_READY", "STRUCTURE_ACTIVE"), strict=True))
 
 
 def test_uuid_ids(spark):

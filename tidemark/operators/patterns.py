@@ -73,7 +73,7 @@ def breakouts(bars: DataFrame, duration: int = 20, max_range: float = 0.08, tren
 
 @dataclass(frozen=True)
 class Lifecycle:
-    """Settings of the life cycle of a base."""
+    """Settings of the life cycle of a base and of the events that close it."""
 
     duration: int = 20
     max_range_pct: int = 8
@@ -81,93 +81,145 @@ class Lifecycle:
     max_age: int | None = None
     reset_sessions: int = 5
     trend: str = "NONE"
+    #: Sessions that an event keeps the next one away, and the volume that it needs against the 20 sessions before.
+    cooldown: int = 5
+    volume_ratio: float | None = None
 
 
 class Tracker:
     """The state of one instrument's base; ``step`` takes its bars one by one and says what holds after each.
 
-    The geometry is frozen when a base first qualifies. Reasons to end it are looked at in a fixed order;
-    a new base may begin only behind the last end, and not overlap it. Sums and extremes are kept in a
-    window of the last bars, so a step costs no more as the series grows.
+    The geometry is frozen when a base first qualifies. Reasons to end it are looked at in a fixed order from the
+    next bar on; a new base may begin only behind the last end, and not overlap it. A close above the
+    resistance of a base that holds is an event unless the last event is too near or the volume too low; then the
+    base goes on, and only an event consumes it. A corporate action without a base counts as an end too. Extremes
+    are kept as numbers and the base in a window, so a step costs no more as the series grows.
     """
 
     def __init__(self, settings: Lifecycle, saved: dict | None = None):
         self.s = settings
-        self.state: dict = saved or {"bars": [], "active": None, "last_index": None, "ended_at": None, "ended_date": None}
+        self.state: dict = saved or {"bars": [], "active": None, "last_index": None, "ended_at": None, "ended_date": None, "event_at": None}
 
-    def step(self, bar: dict) -> tuple[str, str]:
-        """(state, reason) after ``bar``: index, date, hc, lc, cc, ok, trend_ok. An older bar raises."""
+    def step(self, bar: dict) -> dict:
+        """What holds after ``bar`` (index, date, hc, lc, cc, ok, trend_ok, action, ratio). An older bar raises.
+
+        state, reason, event, and of the base resistance, support and the date it began, if there is one.
+        """
         st, s = self.state, self.s
         if st["last_index"] is not None and bar["index"] <= st["last_index"]:
             raise ValueError("bars must come in order")
         base = st["bars"][-s.duration :]
-        out = self._judge(bar, base)
         st["last_index"] = bar["index"]
         st["bars"] = [*st["bars"][-(s.duration - 1) :], {k: bar[k] for k in ("index", "date", "hc", "lc", "ok")}]
-        return out
-
-    def _end(self, bar: dict, reason: str, state: str = "INVALIDATED") -> tuple[str, str]:
+        held = st["active"]
+        if held:
+            held["high"], held["low"] = max(held["high"], bar["hc"]), min(held["low"], bar["lc"])
+            if reason := self._broken(bar, held):
+                return self._end(bar, held, "INVALIDATED", reason)
+        elif bar.get("action"):
+            st |= {"ended_at": bar["index"], "ended_date": bar["date"]}
+        else:
+            held = st["active"] = self._begun(bar, base)
+        if not held:
+            return {"state": "NONE", "reason": "", "event": False, "resistance": None, "support": None, "began": None}
+        if self._confirmed(bar, held):
+            st["event_at"] = bar["index"]
+            return self._end(bar, held, "CONSUMED", "BREAKOUT", True)
+        away = (held["resistance"] - bar["cc"]) / held["resistance"]
+        return self._out(held, "TRIGGER_READY" if 0 <= away <= s.trigger_distance else "QUALIFIED", "")
+
+    def _begun(self, bar: dict, base: list[dict]) -> dict | None:
+        st, s = self.state, self.s
+        if len(base) < s.duration or not all(b["ok"] for b in base) or not bar["ok"] or not bar["trend_ok"]:
+            return None
+        if st["ended_at"] is not None and (bar["index"] - st["ended_at"] <= s.reset_sessions or base[0]["date"] <= st["ended_date"]):
+            return None
+        high, low = max(b["hc"] for b in base), min(b["lc"] for b in base)
+        if (high - low) * 100 > s.max_range_pct * low:
+            return None
+        return {"ends": base[-1]["index"], "began": base[0]["date"], "resistance": high, "support": low, "high": max(high, bar["hc"]), "low": min(low, bar["lc"])}
+
+    def _broken(self, bar: dict, held: dict) -> str:
+        s = self.s
+        if bar.get("action"):
+            return "CORPORATE_ACTION"
+        if not bar["ok"]:
+            return "QUALITY"
+        if not bar["trend_ok"]:
+            return "TREND"
+        if bar["cc"] < held["support"]:
+            return "SUPPORT_BROKEN"
+        if s.max_age is not None and bar["index"] - held["ends"] > s.max_age:
+            return "AGE"
+        wide = (held["high"] - held["low"]) * 100 > s.max_range_pct * held["low"]
+        return "RANGE_EXPANDED" if wide and bar["cc"] <= held["resistance"] else ""
+
+    def _confirmed(self, bar: dict, held: dict) -> bool:
+        s, last, ratio = self.s, self.state["event_at"], bar.get("ratio")
+        rested = last is None or bar["index"] - last > s.cooldown
+        loud = s.volume_ratio is None or (ratio is not None and ratio >= s.volume_ratio)
+        return rested and loud and bar["ok"] and bar["cc"] > held["resistance"]
+
+    @staticmethod
+    def _out(held: dict, state: str, reason: str, event: bool = False) -> dict:
+        return {"state": state, "reason": reason, "event": event, "resistance": held["resistance"], "support": held["support"], "began": held["began"]}
+
+    def _end(self, bar: dict, held: dict, state: str, reason: str, event: bool = False) -> dict:
         self.state |= {"active": None, "ended_at": bar["index"], "ended_date": bar["date"]}
-        return state, reason
+        return self._out(held, state, reason, event)
 
-    def _judge(self, bar: dict, base: list[dict]) -> tuple[str, str]:
-        st, s = self.state, self.s
-        active = st["active"]
-        if active:
-            if bar.get("action"):
-                return self._end(bar, "CORPORATE_ACTION")
-            if not bar["ok"]:
-                return self._end(bar, "QUALITY")
-            if not bar["trend_ok"]:
-                return self._end(bar, "TREND")
-            if bar["cc"] < active["support"]:
-                return self._end(bar, "SUPPORT_BROKEN")
-            if s.max_age is not None and bar["index"] - active["index"] > s.max_age:
-                return self._end(bar, "AGE")
-            if bar["cc"] > active["resistance"]:
-                return self._end(bar, "BREAKOUT", "CONSUMED")
-            active["high"], active["low"] = max(active["high"], bar["hc"]), min(active["low"], bar["lc"])
-            if (active["high"] - active["low"]) * 100 > s.max_range_pct * active["low"]:
-                return self._end(bar, "RANGE_EXPANDED")
-        else:
-            if bar.get("action"):
-                return self._end(bar, "CORPORATE_ACTION")
-            fresh = len(base) == s.duration and all(b["ok"] for b in base) and bar["ok"] and bar["trend_ok"]
-            if fresh and st["ended_at"] is not None:
-                fresh = bar["index"] - st["ended_at"] > s.reset_sessions and base[0]["date"] > st["ended_date"]
-            if not fresh:
-                return "NONE", ""
-            high, low = max(b["hc"] for b in base), min(b["lc"] for b in base)
-            if (high - low) * 100 > s.max_range_pct * low:
-                return "NONE", ""
-            if bar["cc"] > high:
-                return self._end(bar, "BREAKOUT", "CONSUMED")
-            if bar["cc"] < low:
-                return "NONE", ""
-            active = {"index": bar["index"], "resistance": high, "support": low, "high": max(high, bar["hc"]), "low": min(low, bar["lc"])}
-            st["active"] = active
-        ready = bar["cc"] >= active["resistance"] * (1 - s.trigger_distance)
-        return ("TRIGGER_READY" if ready else "QUALIFIED"), ""
-
-
-STATE_SCHEMA = "instrument_id string, trade_date date, signal_index bigint, state string, reason string"
-
-
-def tracker_input(bars: DataFrame, settings: Lifecycle) -> DataFrame:
+
+STATE_SCHEMA = "instrument_id string, trade_date date, signal_index bigint, state string, reason string, event boolean, resistance bigint, support bigint, began string, cc bigint, ratio double"
+
+
+def tracker_input(bars: DataFrame, settings: Lifecycle, actions: DataFrame | None = None) -> DataFrame:
+    """What the tracker looks at; ``actions`` has (instrument_id, effective_date)."""
     df = with_trends(bars)
-    return df.select("instrument_id", "trade_date", F.col("signal_index").cast("bigint").alias("signal_index"), "hc", "lc", "cc", usable().alias("ok"), trend_ok(settings.trend).alias("trend_ok"))
+    usual = full(F.avg, F.col("volume"), 20, -1)
+    df = df.withColumn("ratio", F.when(usual > 0, F.col("volume") / usual))
+    if actions is None:
+        df = df.withColumn("action", F.lit(False))
+    else:
+        own = actions.select("instrument_id", F.col("effective_date").alias("trade_date"), F.lit(True).alias("action")).distinct()
+        df = df.join(own, ["instrument_id", "trade_date"], "left").withColumn("action", F.coalesce("action", F.lit(False)))
+    return df.select("instrument_id", "trade_date", F.col("signal_index").cast("bigint").alias("signal_index"), "hc", "lc", "cc", usable().alias("ok"), trend_ok(settings.trend).alias("trend_ok"), "action", "ratio")
 
 
 def run_tracker(tracker: Tracker, p: pd.DataFrame) -> pd.DataFrame:
     p = p.sort_values("signal_index", ignore_index=True)
-    got = [tracker.step({"index": r.signal_index, "date": str(r.trade_date), "hc": r.hc, "lc": r.lc, "cc": r.cc, "ok": r.ok, "trend_ok": r.trend_ok}) for r in p.itertuples()]
-    return p[["instrument_id", "trade_date", "signal_index"]].assign(state=[x[0] for x in got], reason=[x[1] for x in got])
+    ratios = [None if r != r else r for r in p["ratio"]]
+    got = [
+        tracker.step({"index": r.signal_index, "date": str(r.trade_date), "hc": r.hc, "lc": r.lc, "cc": r.cc, "ok": bool(r.ok), "trend_ok": bool(r.trend_ok), "action": bool(r.action), "ratio": ratio})
+        for r, ratio in zip(p.itertuples(), ratios, strict=True)
+    ]
+    found = pd.DataFrame(got, columns=["state", "reason", "event", "resistance", "support", "began"]).astype({"resistance": "Int64", "support": "Int64"})
+    return pd.concat([p[["instrument_id", "trade_date", "signal_index"]], found, p[["cc", "ratio"]]], axis=1)
 
 
-def lifecycle_states(bars: DataFrame, settings: Lifecycle | None = None) -> DataFrame:
-    """State and reason after every bar; a group is one instrument's daily series."""
+def lifecycle_states(bars: DataFrame, settings: Lifecycle | None = None, actions: DataFrame | None = None) -> DataFrame:
+    """State and reason after every bar, and the events; a group is one instrument's daily series."""
     settings = settings or Lifecycle()
-    return tracker_input(bars, settings).groupBy("instrument_id").applyInPandas(lambda p: run_tracker(Tracker(settings), p), STATE_SCHEMA)
+    return tracker_input(bars, settings, actions).groupBy("instrument_id").applyInPandas(lambda p: run_tracker(Tracker(settings), p), STATE_SCHEMA)
+
+
+def lifecycle_events(states: DataFrame) -> DataFrame:
+    """The events with an id made of the instrument, the base's first day and the signal day."""
+    own = F.concat_ws(":", "instrument_id", "began", F.col("trade_date").cast("string"))
+    return states.where("event").select(own.alias("event_id"), "instrument_id", "trade_date", "signal_index", F.col("resistance").alias("trigger_boundary"), F.col("cc").alias("trigger_value"), "ratio")
+
+
+def projection(states: DataFrame, settings: Lifecycle | None = None, as_of: str | None = None) -> DataFrame:
+    """Each instrument at its last bar up to ``as_of``: one of eight statuses, and the distance to the trigger."""
+    s = settings or Lifecycle()
+    rows = states if as_of is None else states.where(F.col("trade_date") <= F.lit(as_of).cast("date"))
+    names = ("trade_date", "state", "reason", "event", "resistance", "cc", "ratio")
+    last = rows.groupBy("instrument_id").agg(F.max_by(F.struct(*names), "trade_date").alias("x")).select("instrument_id", "x.*")
+    quiet = F.lit(False) if s.volume_ratio is None else ~F.coalesce(F.col("ratio") >= s.volume_ratio, F.lit(False))
+    ended = F.when(F.col("reason") == "QUALITY", "QUALITY_BLOCKED").when(F.col("reason") == "TREND", "TREND_FILTER_FAIL").otherwise("INVALIDATED")
+    status = F.when(F.col("event"), "BREAKOUT").when(F.col("state") == "NONE", "INACTIVE").when(F.col("state") == "INVALIDATED", ended)
+    status = status.when((F.col("cc") > F.col("resistance")) & quiet, "VOLUME_FILTER_FAIL").when(F.col("state") == "TRIGGER_READY", "TRIGGER_READY").otherwise("STRUCTURE_ACTIVE")
+    away = (F.col("resistance") - F.col("cc")) / F.col("resistance")
+    return last.select("instrument_id", "trade_date", status.alias("status"), "state", "reason", F.col("resistance").alias("trigger_boundary"), F.round(away, 8).alias("distance_to_trigger"), F.round("ratio", 8).alias("volume_ratio"))
 
 
 def latest_states(states: DataFrame, as_of: str | None = None) -> DataFrame:

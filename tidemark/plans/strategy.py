@@ -11,7 +11,7 @@ from tidemark.operators import patterns as pt
 from tidemark.operators import resample as rs
 from tidemark.operators import risk, signals
 from tidemark.plans.features import MARKET, SMAS, SMAS_LAG, TR, P, q_full, q_lag, recursive_sql
-from tidemark.sources.bars import FLAWED, derive_bars, flawed, with_bars
+from tidemark.sources.bars import FLAWED, corporate_actions, derive_bars, flawed, with_bars
 
 HORIZONS = (5, 20)
 
@@ -270,12 +270,25 @@ def resample_sql(sessions: int | None) -> str:
     )
 
 
+#: Settings of the registered life cycle: with a volume gate, so that some closes above resistance are no events.
+LIFECYCLE = pt.Lifecycle(volume_ratio=1.0, max_age=60)
+
+
+def _life(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pt.lifecycle_states(flawed(derive_bars(spark, sf_dir)), LIFECYCLE, corporate_actions(spark, sf_dir))
+
+
 def lifecycle_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pt.lifecycle_states(derive_bars(spark, sf_dir))
+    """States over bars of which some are unusable, with corporate actions."""
+    return _life(spark, sf_dir)
+
+
+def pattern_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_all(pt.lifecycle_events(_life(spark, sf_dir)))
 
 
 def latest_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pt.latest_states(pt.lifecycle_states(derive_bars(spark, sf_dir)))
+    return pt.projection(_life(spark, sf_dir), LIFECYCLE)
 
 
 def scanner_state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,6 +313,7 @@ QUERIES = {
     "resample_three_session": (resampled(3), resample_sql(3)),
     "resample_weekly": (resampled(None), resample_sql(None)),
     "pattern_lifecycle_states": (lifecycle_states, None),
+    "pattern_events": (pattern_events, None),
     "latest_projection": (latest_projection, None),
     "scanner_state_counts": (scanner_state_counts, None),
 }

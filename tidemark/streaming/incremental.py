@@ -71,7 +71,7 @@ def stage_in_order(bars: DataFrame, path: str, cuts: list[str], settings: Lifecy
             part = part.where(F.col("trade_date") >= F.lit(a).cast("date"))
         if b:
             part = part.where(F.col("trade_date") < F.lit(b).cast("date"))
-        part.coalesce(1).write.mode("append").parquet(path)
+        part.repartition("instrument_id").write.mode("append").parquet(path)
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
