@@ -216,6 +216,12 @@ def test_projection_statuses(spark):
     assert got == dict(zip("ABCDEFGH", ("BREAKOUT", "INACTIVE", "QUALITY_BLOCKED", "TREND_FILTER_FAIL", "INVALIDATED", "VOLUME_FILTER_FAIL", "TRIGGER_READY", "STRUCTURE_ACTIVE"), strict=True))
 
 
+def test_verdicts_in_order(spark):
+    rows = [(29, 1.0, 0.0, 1.0, 1.0, 1.0), (30, 0.0, 0.0, 1.0, 1.0, 1.0), (30, None, 0.05, 1.0, 1.0, 1.0), (30, 1.0, 0.01, 0.0, 1.0, 1.0), (30, 1.0, 0.01, 1.0, None, 1.0), (30, 1.0, 0.01, 1.0, 0.1, 0.4), (30, None, 0.01, 1.0, 0.1, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, n int, excess double, p double, beyond double, low double, near double").select("i", st.verdict(*[F.col(c) for c in ("n", "excess", "p", "beyond", "low", "near")]).alias("v"))
+    assert [r.v for r in df.orderBy("i").collect()] == [st.VERDICTS[i] for i in (0, 1, 2, 2, 3, 4, 5)]
+
+
 def test_uuid_ids(spark):
     ids = ["1", "abc", "x" * 70, "ü"]
     df = spark.createDataFrame([(x,) for x in ids], "i string").select("i", ql.instrument_id(F.lit("prov"), F.col("i")).alias("t"))

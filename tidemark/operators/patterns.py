@@ -37,6 +37,12 @@ def trend_ok(name: str) -> Column:
     return F.coalesce(rule, F.lit(False))
 
 
+def trend_candidates(bars: DataFrame, trend: str) -> DataFrame:
+    """Bars whose trend holds, the last one of each instrument left out, as nothing can be entered behind it."""
+    last = F.max("signal_index").over(Window.partitionBy("instrument_id"))
+    return with_trends(bars).withColumn("last_index", last).where(trend_ok(trend) & (F.col("signal_index") < F.col("last_index"))).drop("last_index")
+
+
 def trend_contexts(bars: DataFrame, benchmark: DataFrame, slope: int = 20, trailing: int = 60) -> DataFrame:
     """Contexts T0 to T6 of each bar. ``benchmark`` has (trade_date, benchmark_close); T6 compares on the stock's dates."""
     df = with_trends(bars).withColumn("slope_then", before(F.col("sma_200"), slope))

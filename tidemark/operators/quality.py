@@ -32,7 +32,8 @@ def issues(bars: DataFrame) -> DataFrame:
     """(instrument_id, trade_date, issue, status): the daily-bar rules.
 
     A non-finite value ends the checks of its row; high below low leaves out the range checks.
-    ``arrival`` orders rows of one key: all but the first are duplicates.
+    ``arrival`` orders rows of one key: all but the first are duplicates. Split factors and dividends are
+    looked at where ``bars`` has these columns.
     """
     prices = [F.col(c) for c in ("open", "high", "low", "close")]
     first = F.row_number().over(Window.partitionBy("instrument_id", "trade_date").orderBy("arrival")) == 1
@@ -55,6 +56,10 @@ def issues(bars: DataFrame) -> DataFrame:
         rule("OPEN_OUTSIDE_RANGE", "QUARANTINE", fine & ~crossed & outside("open")),
         rule("CLOSE_OUTSIDE_RANGE", "QUARANTINE", fine & ~crossed & outside("close")),
     ]
+    if "split_factor" in bars.columns:
+        rules.append(rule("INVALID_SPLIT_FACTOR", "QUARANTINE", fine & (_bad(F.col("split_factor")) | (F.col("split_factor") <= 0))))
+    if "dividend_cash" in bars.columns:
+        rules.append(rule("NEGATIVE_DIVIDEND", "QUARANTINE", fine & (_bad(F.col("dividend_cash")) | (F.col("dividend_cash") < 0))))
     marked = bars.withColumn("first", first).withColumn("found", F.array_compact(F.array(*rules)))
     return marked.select("instrument_id", "trade_date", F.explode("found").alias("x")).select("instrument_id", "trade_date", "x.issue", "x.status")
 
@@ -235,6 +240,14 @@ def split_factors(bars: DataFrame, actions: DataFrame) -> DataFrame:
     return bars.join(lists, "instrument_id", "left").withColumn("split_factor", F.coalesce(F.when(F.col("splits").isNotNull(), factor), F.lit(1.0))).drop("splits")
 
 
+def adjusted(bars: DataFrame, actions: DataFrame, dividends: DataFrame) -> DataFrame:
+    """Bars with split_factor, dividend_cash (those of a day added up, 0 without one) and adjusted prices. ``dividends``: (instrument_id, effective_date, cash)."""
+    bad = F.when(F.col("cash") < 0, F.raise_error(F.lit("a dividend is negative")).cast("double")).otherwise(F.col("cash"))
+    paid = dividends.groupBy("instrument_id", F.col("effective_date").alias("trade_date")).agg(F.sum(bad).alias("dividend_cash"))
+    rows = split_factors(bars, actions).join(paid, ["instrument_id", "trade_date"], "left").withColumn("dividend_cash", F.coalesce("dividend_cash", F.lit(0.0)))
+    return rows.select("*", *[(F.col(c) * F.col("split_factor")).alias(f"adjusted_{c}") for c in ("open", "high", "low", "close")])
+
+
 # ---- universe
 
 

@@ -134,9 +134,11 @@ def walk_forward(boundaries: list[str]) -> list[tuple[int, str, str, str, str]]:
     return [(i, boundaries[0], boundaries[i], boundaries[i], boundaries[i + 1]) for i in range(1, len(boundaries) - 1)]
 
 
-VERDICTS = ("INSUFFICIENT_SAMPLE", "NO_BASELINE_EXCESS", "NOT_BEYOND_RANDOM_TIMING", "INTERVAL_INCLUDES_ZERO", "FRAGILE_NEIGHBOURHOOD", "PRELIMINARY_EDGE")
+# The verdicts in the order of their rules.
+VERDICTS = ("INSUFFICIENT_SAMPLE", "NO_EDGE_VS_SIMPLE_BASELINE", "NOT_DISTINGUISHABLE_FROM_RANDOM_TIMING", "RAW_EDGE_UNCERTAIN", "PARAMETER_REGION_UNSTABLE", "PRELIMINARY_EDGE")
 
 
-def verdict(n: Column, excess: Column, p: Column, low: Column, neighbours: Column) -> Column:
-    """The first rule that fails names the verdict."""
-    return F.when(n < 30, VERDICTS[0]).when(excess <= 0, VERDICTS[1]).when(p >= 0.05, VERDICTS[2]).when(low <= 0, VERDICTS[3]).when(neighbours < 0.5, VERDICTS[4]).otherwise(VERDICTS[5])
+def verdict(n: Column, excess: Column, p: Column, beyond_null: Column, low: Column, neighbours: Column) -> Column:
+    """The first rule that fails names the verdict; an unknown interval fails its rule, an unknown excess or neighbourhood does not."""
+    unclear = F.coalesce(low <= 0, F.lit(True))
+    return F.when(n < 30, VERDICTS[0]).when(excess <= 0, VERDICTS[1]).when((beyond_null <= 0) | (p >= 0.05), VERDICTS[2]).when(unclear, VERDICTS[3]).when(neighbours < 0.5, VERDICTS[4]).otherwise(VERDICTS[5])
