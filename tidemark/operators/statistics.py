@@ -17,6 +17,11 @@ def hash_unit(*parts) -> Column:
     return F.xxhash64(*parts).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
 
 
+def rounds(iterations: int) -> Column:
+    """A row for each iteration: a literal sequence, so that no join on a constant gathers the rows in one task."""
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(iterations - 1).cast("bigint"))).alias("iteration")
+
+
 def readout(returns: DataFrame, by: list[str], r: str = "forward_return") -> DataFrame:
     """Performance of ``r`` by group: location, spread, win and loss, tails, shape, share of the best five."""
     x = F.col(r)
@@ -51,12 +56,10 @@ def month_bootstrap(monthly: DataFrame, iterations: int, seed: int, by: list[str
     has. Draws are rows (iteration, draw); each picks a month's number by hash and joins on it.
     """
     by = by or []
-    spark = monthly.sparkSession
     group = Window.partitionBy(*by).orderBy("month") if by else Window.partitionBy(F.lit(1)).orderBy("month")
     numbered = monthly.withColumn("number", F.row_number().over(group) - 1)
     sizes = numbered.groupBy(*by).agg(F.count("*").alias("k"))
-    rounds = spark.range(iterations).withColumnRenamed("id", "iteration")
-    draws = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.col("k").cast("int") - 1))).withColumn("one", F.lit(1)).join(rounds.withColumn("one", F.lit(1)), "one").drop("one")
+    draws = sizes.select("*", rounds(iterations)).withColumn("draw", F.explode(F.sequence(F.lit(0), F.col("k").cast("int") - 1)))
     draws = draws.withColumn("number", F.floor(hash_unit(F.lit(seed), "iteration", "draw") * F.col("k")).cast("int"))
     means = draws.join(numbered.select(*by, "number", "total", "n"), [*by, "number"]).groupBy(*by, "iteration").agg((F.sum("total") / F.sum("n")).alias("mean"))
     return means.groupBy(*by).agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"), F.count("*").alias("iterations"))
@@ -66,9 +69,7 @@ def paired_month_bootstrap(left: DataFrame, right: DataFrame, iterations: int, s
     """Interval of the difference of pooled means over the months that both (month, total, n) have, drawn together."""
     both = left.select("month", F.col("total").alias("t1"), F.col("n").alias("n1")).join(right.select("month", F.col("total").alias("t2"), F.col("n").alias("n2")), "month")
     numbered = both.withColumn("number", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("month")) - 1)
-    size = numbered.agg(F.count("*").alias("k")).withColumn("one", F.lit(1))
-    rounds = left.sparkSession.range(iterations).withColumnRenamed("id", "iteration").withColumn("one", F.lit(1))
-    draws = rounds.join(F.broadcast(size), "one").withColumn("draw", F.explode(F.sequence(F.lit(0), F.col("k").cast("int") - 1)))
+    draws = numbered.agg(F.count("*").alias("k")).select("k", rounds(iterations)).withColumn("draw", F.explode(F.sequence(F.lit(0), F.col("k").cast("int") - 1)))
     draws = draws.withColumn("number", F.floor(hash_unit(F.lit(seed), "iteration", "draw") * F.col("k")).cast("int"))
     gaps = draws.join(numbered, "number").groupBy("iteration").agg((F.sum("t1") / F.sum("n1") - F.sum("t2") / F.sum("n2")).alias("gap"))
     return gaps.agg(F.percentile("gap", 0.025).alias("low"), F.percentile("gap", 0.975).alias("high"), F.avg("gap").alias("mean_gap"))
@@ -82,8 +83,7 @@ def random_timing(events: DataFrame, candidates: DataFrame, iterations: int, see
     """
     counts = events.groupBy("instrument_id").agg(F.count("*").alias("take"))
     observed = events.agg(F.avg("forward_return").alias("observed"))
-    rounds = events.sparkSession.range(iterations).withColumnRenamed("id", "iteration").withColumn("one", F.lit(1))
-    pool = candidates.join(F.broadcast(counts), "instrument_id").withColumn("one", F.lit(1)).join(rounds, "one")
+    pool = candidates.join(counts, "instrument_id").select("*", rounds(iterations))
     order = Window.partitionBy("iteration", "instrument_id").orderBy(F.xxhash64(F.lit(seed), "iteration", "instrument_id", "signal_index"), "signal_index")
     means = pool.withColumn("place", F.row_number().over(order)).where("place <= take").groupBy("iteration").agg(F.avg("forward_return").alias("mean"))
     joined = means.withColumn("one", F.lit(1)).join(F.broadcast(observed.withColumn("one", F.lit(1))), "one")
@@ -92,8 +92,7 @@ def random_timing(events: DataFrame, candidates: DataFrame, iterations: int, see
 
 def sign_flip(differences: DataFrame, iterations: int, seed: int) -> DataFrame:
     """Two-sided p of the mean of (month, gap) when the signs of months are flipped at random."""
-    rounds = differences.sparkSession.range(iterations).withColumnRenamed("id", "iteration").withColumn("one", F.lit(1))
-    flips = differences.withColumn("one", F.lit(1)).join(rounds, "one").withColumn("sign", F.when(hash_unit(F.lit(seed), "iteration", "month") < 0.5, -1.0).otherwise(1.0))
+    flips = differences.select("*", rounds(iterations)).withColumn("sign", F.when(hash_unit(F.lit(seed), "iteration", "month") < 0.5, -1.0).otherwise(1.0))
     means = flips.groupBy("iteration").agg(F.avg(F.col("gap") * F.col("sign")).alias("mean"), F.avg("gap").alias("observed"))
     return means.agg(F.first("observed").alias("observed"), ((F.count_if(F.abs("mean") >= F.abs("observed")) + 1) / (F.count("*") + 1)).alias("p_value"))
 
