@@ -156,6 +156,35 @@ def sessions(spark: SparkSession, start: date, end: date) -> DataFrame:
 # ---- identity
 
 
+def history_overlaps(history: DataFrame) -> DataFrame:
+    """Distinct intervals (instrument_id, symbol, effective_from, effective_to) that begin before an earlier one of their instrument has ended.
+
+    Ends count as inside, and an open end lasts for ever. The latest end so far is a running maximum, so an interval
+    that spans several later ones is found against each.
+    """
+    w = Window.partitionBy("instrument_id").orderBy("effective_from", F.coalesce("effective_to", F.lit("9999-12-31").cast("date")), "symbol")
+    end = F.coalesce("effective_to", F.lit("9999-12-31").cast("date"))
+    rows = history.select("instrument_id", "symbol", "effective_from", "effective_to").distinct()
+    rows = rows.withColumn("held_until", F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    return rows.where(F.col("effective_from") <= F.col("held_until")).select("instrument_id", "symbol", "effective_from", "effective_to", "held_until")
+
+
+def normalised_history(history: DataFrame) -> DataFrame:
+    """The distinct intervals; an overlap fails."""
+    bad = history_overlaps(history).orderBy("instrument_id", "effective_from").limit(3).collect()
+    if bad:
+        raise ValueError(f"overlapping symbol intervals: {[(r.instrument_id, r.symbol, str(r.effective_from)) for r in bad]}")
+    return history.select("instrument_id", "symbol", "effective_from", "effective_to").distinct()
+
+
+def provenance_gaps(bars: DataFrame, provenance: DataFrame) -> DataFrame:
+    """Per instrument: bars without an included provenance row, and included provenance rows without a bar. ``provenance`` has (instrument_id, trade_date, included)."""
+    have = bars.select("instrument_id", "trade_date", F.lit(1).alias("bar")).distinct()
+    want = provenance.where("included").select("instrument_id", "trade_date", F.lit(1).alias("origin")).distinct()
+    both = have.join(want, ["instrument_id", "trade_date"], "full")
+    return both.groupBy("instrument_id").agg(F.count_if(F.col("origin").isNull()).alias("without_origin"), F.count_if(F.col("bar").isNull()).alias("without_bar"), F.count_if(F.col("bar").isNotNull() & F.col("origin").isNotNull()).alias("matched"))
+
+
 def symbol_as_of(rows: DataFrame, history: DataFrame) -> DataFrame:
     """Rows (instrument_id, trade_date) with the symbol valid on the date; two matches fail the job."""
     h = history.select(F.col("instrument_id").alias("hi"), "symbol", "effective_from", "effective_to")

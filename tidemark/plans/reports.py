@@ -13,7 +13,7 @@ from tidemark.operators import statistics as st
 from tidemark.plans import data, research, strategy
 from tidemark.plans.features import P, q_full, recursive_sql
 from tidemark.plans.strategy import BASE, EV, HORIZONS, OUTCOMES, path_ctes, raw_breakouts, round_all
-from tidemark.sources.bars import ACTIONS_CTE, FLAWED, corporate_actions, derive_bars, flawed, table, with_bars
+from tidemark.sources.bars import ACTIONS_CTE, FLAWED, corporate_actions, derive_bars, flawed, second_provider, table, with_bars
 
 FLAWED_OUTS = (BASE, EV, FLAWED, path_ctes("flawed", "usable"), OUTCOMES)
 
@@ -160,7 +160,38 @@ UNION ALL SELECT instrument_id, trade_date, 'NEGATIVE_DIVIDEND', 'QUARANTINE' FR
     data.ISSUES,
 )
 
+
+def symbol_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of a history derived from orders: each order's customer holds a symbol for the days that its number says."""
+    orders = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 5 == 0)
+    start = F.to_date("o_orderdate")
+    history = orders.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("instrument_id"), F.concat(F.lit("S"), F.col("o_orderkey").cast("string")).alias("symbol"), start.alias("effective_from"), F.when(F.col("o_orderkey") % 35 != 0, F.date_add(start, (F.col("o_orderkey") % 400).cast("int"))).alias("effective_to"))
+    return ql.history_overlaps(history)
+
+
+OVERLAPS_SQL = """SELECT instrument_id, symbol, effective_from, effective_to, held_until FROM (
+  SELECT *, max(coalesce(effective_to, DATE '9999-12-31')) OVER (PARTITION BY instrument_id ORDER BY effective_from, coalesce(effective_to, DATE '9999-12-31'), symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held_until
+  FROM (SELECT DISTINCT concat('C', CAST(o_custkey AS VARCHAR)) AS instrument_id, concat('S', CAST(o_orderkey AS VARCHAR)) AS symbol, CAST(o_orderdate AS DATE) AS effective_from,
+      CASE WHEN o_orderkey % 35 <> 0 THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 400 AS INTEGER) END AS effective_to FROM orders WHERE o_orderkey % 5 = 0))
+WHERE effective_from <= held_until"""
+
+
+def provenance_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of one provider against the origins of the other, of which some days are left out."""
+    bars = derive_bars(spark, sf_dir)
+    other = second_provider(bars)
+    return ql.provenance_gaps(bars.where(F.dayofyear("trade_date") % 19 != 0), other.withColumn("included", F.dayofyear("trade_date") % 13 != 0))
+
+
+GAPS_SQL = with_bars(
+    """SELECT instrument_id, count(*) FILTER (origin IS NULL) AS without_origin, count(*) FILTER (bar IS NULL) AS without_bar, count(*) FILTER (bar IS NOT NULL AND origin IS NOT NULL) AS matched
+FROM (SELECT instrument_id, trade_date, 1 AS bar FROM bars WHERE dayofyear(trade_date) % 19 <> 0)
+FULL JOIN (SELECT instrument_id, trade_date, 1 AS origin FROM bars WHERE dayofyear(trade_date) % 23 <> 0 AND dayofyear(trade_date) % 13 <> 0) USING (instrument_id, trade_date) GROUP BY 1"""
+)
+
 QUERIES = {
+    "symbol_overlaps": (symbol_overlaps, OVERLAPS_SQL),
+    "provenance_gaps": (provenance_gaps, GAPS_SQL),
     "edge_report": (edge_report, EDGE_SQL),
     "readable_edge": (readable_edge, None),
     "sample_accounting": (sample_accounting, ACCOUNTING_SQL),

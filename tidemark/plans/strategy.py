@@ -59,6 +59,36 @@ def preset_sql(name: str) -> str:
     return with_bars("SELECT instrument_id, trade_date, signal_index, rank_value, place FROM picked", TR, SMAS, SMAS_LAG, FEATURED, _preset_cte(name, WHERE[name]))
 
 
+def strategy_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All presets from one pass over the features."""
+    return round_all(signals.strategy_family(featured(spark, sf_dir), signals.PRESETS)).withColumn("place", F.col("place").cast("long"))
+
+
+FAMILY_SQL = with_bars(
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS strategy, instrument_id, trade_date, signal_index, round(rank_value, 8) AS rank_value, place FROM (SELECT *, {rank} AS rank_value, row_number() OVER (PARTITION BY trade_date ORDER BY {rank} {'DESC' if descending else 'ASC'}, instrument_id) AS place FROM featured WHERE ({WHERE[name]}) AND {rank} IS NOT NULL) WHERE place <= {limit}"
+        for name, (_, rank, descending, limit) in signals.PRESETS.items()
+    ),
+    TR, SMAS, SMAS_LAG, FEATURED,
+)
+
+SWEEP = (-0.1, -0.05, 0.0, 0.02, 0.04, 0.06, 0.08, 0.1, 5.0)
+
+
+def entry_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty-bar returns behind a 20-bar return of at least v."""
+    w = Window.partitionBy("instrument_id").orderBy("trade_date")
+    rows = featured(spark, sf_dir).withColumn("later", F.lead("close", 20).over(w) / F.lead("open", 1).over(w) - 1)
+    return round_all(signals.entry_sweep(rows, "return_20", list(SWEEP), "later"))
+
+
+SWEEP_SQL = with_bars(
+    f"""SELECT v AS value, count(return_20) AS signals, count(later) AS complete, round(avg(later), 8) AS mean_return, round(avg(CAST(later > 0 AS DOUBLE)), 8) AS positive_fraction
+FROM (VALUES {', '.join(f'({x!r}::DOUBLE)' for x in SWEEP)}) s(v) LEFT JOIN (SELECT return_20, lead(close, 20) OVER ({P}) / lead(open, 1) OVER ({P}) - 1 AS later FROM featured) ON return_20 >= v GROUP BY 1""",
+    TR, SMAS, SMAS_LAG, FEATURED,
+)
+
+
 def prior_high_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes of the prior-high preset, by horizon: a research question from bars to answer."""
     bars = derive_bars(spark, sf_dir)
@@ -299,6 +329,8 @@ QUERIES = {
     "strategy_prior_high_20_signals": (preset("prior_high_20"), preset_sql("prior_high_20")),
     "strategy_prior_high_20_summary": (prior_high_summary, SUMMARY_SQL),
     **{f"strategy_{n}": (preset(n), preset_sql(n)) for n in ("momentum_volume", "pullback", "trend_cross", "range_low", "year_momentum")},
+    "strategy_family": (strategy_family, FAMILY_SQL),
+    "entry_sweep": (entry_sweep, SWEEP_SQL),
     "outcome_paths": (outcome_paths, with_bars(f"SELECT {OUT_COLUMNS} FROM outs", BASE, EV, PATH, OUTCOMES)),
     "outcome_paths_flawed": (outcome_paths_flawed, with_bars(f"SELECT {OUT_COLUMNS} FROM outs", BASE, EV, FLAWED, path_ctes("flawed", "usable"), OUTCOMES)),
     "outcome_summary": (outcome_summary, with_bars(SUMMARY_BODY, BASE, EV, PATH, OUTCOMES)),

@@ -10,7 +10,7 @@ from tidemark.streaming import incremental as inc
 
 
 def stream_daily_ohlc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inc.run_to_end(inc.daily_bars(inc.read_events(spark, sf_dir)), "daily-bars", "complete")
+    return inc.run_to_end(inc.daily_bars(inc.read_events(spark, sf_dir)), "daily-bars", "update", ("event_type", "trade_date"))
 
 
 DAILY_SQL = """SELECT event_type, CAST(ts AS DATE) AS trade_date, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS n

@@ -27,21 +27,25 @@ def daily_bars(events: DataFrame, lateness: str = "2 days") -> DataFrame:
     )
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str) -> DataFrame:
+def run_to_end(stream: DataFrame, name: str, mode: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Process all that is there, in micro-batches, into a folder, and read it.
 
-    In complete mode each batch replaces the result; else a batch writes a folder of its own number, so
-    one that is run again replaces what it wrote before.
+    A batch writes a folder of its own number, so one that is run again replaces what it wrote before. In update
+    mode a row replaces earlier ones of its ``keys``: only open windows are state, closed ones lie in the folder.
     """
     spark = stream.sparkSession
     out = shared_path(spark, name)
 
     def sink(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={0 if mode == 'complete' else number}")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     query = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", shared_path(spark, f"{name}-checkpoint")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(out).drop("batch")
+    got = spark.read.parquet(out)
+    if mode != "update":
+        return got.drop("batch")
+    rest = [c for c in got.columns if c not in (*keys, "batch")]
+    return got.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("x")).select(*keys, "x.*")
 
 
 def lifecycle_stream(inputs: DataFrame, settings: Lifecycle | None = None) -> DataFrame:
