@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, language_id, language_model, mixing, near_dedup, packing, personal_data, token_counts, token_shards, vector_search
+from tidemark.llm import clustering, exact_dedup, hard_negatives, language_id, language_model, mixing, near_dedup, packing, personal_data, sharding, token_counts, token_shards, vector_search
 from tidemark.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,9 +36,18 @@ def queries() -> dict[str, Query]:
         "op8_packing": packing.op8_packing,
         "op9_language_id": language_id.op9_language_id,
         "op10_nearest": vector_search.op10_nearest,
+        "op11_clusters": clustering.op11_clusters,
+        "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+        "op13_shards": sharding.op13_shards,
     }
     return {name: shipped(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dedup": near_dedup.OP2_SQL, "op5_exact_dedup": exact_dedup.OP5_SQL}
+    return {
+        "op2_near_dedup": near_dedup.OP2_SQL,
+        "op5_exact_dedup": exact_dedup.OP5_SQL,
+        "op11_clusters": clustering.OP11_SQL,
+        "op12_hard_negatives": hard_negatives.OP12_SQL,
+        "op13_shards": sharding.OP13_SQL,
+    }
