@@ -7,6 +7,7 @@ columns. ``gap`` says what a missing input does: "reset" starts anew behind it,
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -15,25 +16,38 @@ from pyspark.sql import DataFrame
 Kernel = Callable[[pd.DataFrame], np.ndarray]
 
 
-def _smoothed(x: np.ndarray, n: int, weight: float, gap: str) -> np.ndarray:
-    """Seed with the mean of ``n`` values in a row, then weight * x + (1 - weight) * last."""
-    out, seed, state = np.full(len(x), np.nan), [], None
-    started = False
+class Smoothing(NamedTuple):
+    """Where a smoothing stands: values of the seed so far, the last result, and whether a gap has ended it."""
+
+    seed: tuple[float, ...] = ()
+    value: float | None = None
+    ended: bool = False
+
+
+def smoothed(x: np.ndarray, n: int, weight: float, gap: str, state: Smoothing = Smoothing()) -> tuple[np.ndarray, Smoothing]:
+    """Seed with the mean of ``n`` values in a row, then weight * x + (1 - weight) * last; goes on from ``state``."""
+    out = np.full(len(x), np.nan)
+    seed, value, ended = list(state.seed), state.value, state.ended
     for i, v in enumerate(x.tolist()):
+        if ended:
+            break
         if not np.isfinite(v):
-            if gap == "stop" and (started or seed):
-                break
-            seed, state = [], None
+            ended = gap == "stop" and (value is not None or bool(seed))
+            seed, value = [], None
             continue
-        if state is None:
+        if value is None:
             seed.append(v)
             if len(seed) == n:
-                state, started = float(np.mean(seed)), True
-                out[i] = state
+                value, seed = float(np.mean(seed)), []
+                out[i] = value
         else:
-            state = weight * v + (1 - weight) * state
-            out[i] = state
-    return out
+            value = weight * v + (1 - weight) * value
+            out[i] = value
+    return out, Smoothing(tuple(seed), value, ended)
+
+
+def _smoothed(x: np.ndarray, n: int, weight: float, gap: str) -> np.ndarray:
+    return smoothed(x, n, weight, gap)[0]
 
 
 def ema(x: np.ndarray, n: int, gap: str = "reset") -> np.ndarray:
@@ -46,7 +60,11 @@ def wilder(x: np.ndarray, n: int, gap: str = "reset") -> np.ndarray:
 
 def rsi(x: np.ndarray, n: int, gap: str = "reset") -> np.ndarray:
     move = np.diff(x, prepend=np.nan)
-    up, down = wilder(np.maximum(move, 0), n, gap), wilder(np.maximum(-move, 0), n, gap)
+    return rsi_from(wilder(np.maximum(move, 0), n, gap), wilder(np.maximum(-move, 0), n, gap))
+
+
+def rsi_from(up: np.ndarray, down: np.ndarray) -> np.ndarray:
+    """The index from smoothed rises and falls."""
     with np.errstate(divide="ignore", invalid="ignore"):
         out = 100 - 100 / (1 + up / down)
     out = np.where((up == 0) & (down == 0), 50.0, np.where(down == 0, 100.0, np.where(up == 0, 0.0, out)))
