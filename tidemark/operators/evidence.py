@@ -114,16 +114,6 @@ def stratified(rows: DataFrame, stratum: str, identifier: str, seed: str, per_st
     return rows.withColumn("place", place).where(F.col("place") <= per_stratum)
 
 
-def backfill_plan(symbols: DataFrame, start: str, end: str, days: int, chunk: int) -> DataFrame:
-    """Batches of date windows and symbol chunks, with deterministic ids. ``symbols`` has (symbol)."""
-    numbered = symbols.withColumn("chunk", F.floor((F.row_number().over(Window.orderBy("symbol")) - 1) / chunk).cast("int"))
-    chunks = numbered.groupBy("chunk").agg(F.sort_array(F.collect_list("symbol")).alias("symbols"))
-    starts = F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"), F.expr(f"interval {days} days"))
-    got = chunks.select("chunk", F.concat_ws(",", "symbols").alias("symbols"), F.explode(starts).alias("window_start"))
-    window_end = F.least(F.date_add("window_start", days - 1), F.lit(end).cast("date"))
-    return got.withColumn("window_end", window_end).withColumn("batch_id", F.substring(F.sha2(F.concat_ws("|", F.col("window_start").cast("string"), F.col("window_end").cast("string"), "symbols"), 256), 1, 16))
-
-
 def dominance(configs: DataFrame, up: list[str], down: list[str]) -> DataFrame:
     """(config, dominated_by): pairs where one is no worse on every measure and better on one. Configurations are few."""
     other = configs.select(*[F.col(c).alias(f"o_{c}") for c in configs.columns])

@@ -194,17 +194,32 @@ def symbol_as_of(rows: DataFrame, history: DataFrame) -> DataFrame:
     return got.select("instrument_id", "trade_date", one.alias("symbol"))
 
 
-def resolve(rows: DataFrame, master: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Provider rows split into resolved ones (with instrument_id) and unresolved ones. ``master``: (provider_id, provider_instrument_id, instrument_id)."""
+def with_instrument(rows: DataFrame, master: DataFrame, how: str = "left", name: str = "instrument_id") -> DataFrame:
+    """``rows`` with the instrument of their provider's id as ``name``; a row whose id several instruments have fails the job.
+
+    Only an exact id counts. ``master``: (provider_id, provider_instrument_id, instrument_id).
+    """
     keys = ["provider_id", "provider_instrument_id"]
-    return rows.join(master, keys), rows.join(master, keys, "left_anti")
+    owners = master.groupBy(*keys).agg(F.count_distinct("instrument_id").alias("_owners"), F.min("instrument_id").alias("_owner"))
+    several = F.raise_error(F.concat(F.lit("several instruments have the id "), F.col("provider_instrument_id")))
+    return rows.join(owners, keys, how).withColumn(name, F.when(F.col("_owners") > 1, several).otherwise(F.col("_owner"))).drop("_owners", "_owner")
 
 
-def instrument_id(provider: Column, identifier: Column, namespace: str = "6ba7b8109dad11d180b400c04fd430c8") -> Column:
-    """Name-based (version 5) UUID of provider:identifier, as tsi_<hex>, from SHA-1 and two fixed nibbles."""
-    digest = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(F.concat_ws(":", provider, identifier), "utf-8")))
+def resolve(rows: DataFrame, master: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Provider rows split into resolved ones (with instrument_id, see :func:`with_instrument`) and unresolved ones."""
+    return with_instrument(rows, master, "inner"), rows.join(master, ["provider_id", "provider_instrument_id"], "left_anti")
+
+
+def name_uuid(prefix: str, namespace: str, name: Column) -> Column:
+    """Name-based (version 5) UUID of ``name``, as prefix and hex digits, from SHA-1 and two fixed nibbles."""
+    digest = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(name, "utf-8")))
     variant = F.substring(F.lower(F.hex(F.conv(F.substring(digest, 17, 1), 16, 10).cast("bigint").bitwiseAND(F.lit(3)).bitwiseOR(F.lit(8)))), -1, 1)
-    return F.concat(F.lit("tsi_"), F.substring(digest, 1, 12), F.lit("5"), F.substring(digest, 14, 3), variant, F.substring(digest, 18, 15))
+    return F.concat(F.lit(prefix), F.substring(digest, 1, 12), F.lit("5"), F.substring(digest, 14, 3), variant, F.substring(digest, 18, 15))
+
+
+def instrument_id(provider: Column, identifier: Column, namespace: str = "6ba7b8109dad11d180b400c04fd430c8") -> Column:
+    """The id of a provider's identifier, as tsi_<hex>."""
+    return name_uuid("tsi_", namespace, F.concat_ws(":", provider, identifier))
 
 
 # ---- providers side by side
@@ -226,11 +241,27 @@ def is_close(a: Column, b: Column, relative: float, absolute: float) -> Column:
 
 def adjudicate(found: DataFrame) -> DataFrame:
     """Proposal per key: corroborated, or which review it needs."""
-    proposal = F.when(F.col("state") == "BOTH_AGREE", "CORROBORATED").when(F.col("state") == "BOTH_DISAGREE", "DISCREPANCY_REVIEW").otherwise("GAP_REVIEW")
+    proposal = F.when(F.col("state") == "BOTH_AGREE", "CORROBORATED").when(F.col("state") == "BOTH_DISAGREE", "DISCREPANCY_REVIEW_REQUIRED").otherwise("GAP_REVIEW_REQUIRED")
     text = F.concat_ws("|", "instrument_id", F.col("trade_date").cast("string"), F.lit("A"), F.lit("B"), "state", F.concat_ws(",", "differing"))
     return found.select("instrument_id", "trade_date", proposal.alias("decision"), F.substring(F.sha2(text, 256), 1, 24).alias("review_id"))
 
 
+def reviewed(proposals: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Proposals of :func:`adjudicate` after reviews (review_id, decision, note): instrument_id, trade_date, decision, note.
+
+    A review turns a proposal that requires one into PRIMARY_ACCEPTED, SECONDARY_ACCEPTED or REJECTED. Any other
+    decision, a blank note, a second review, or a review of a corroborated or unknown proposal fails the job; proposals without
+    a review stay as they are.
+    """
+    odd = ~F.coalesce(F.col("r_decision").isin("PRIMARY_ACCEPTED", "SECONDARY_ACCEPTED", "REJECTED") & (F.trim("r_note") != ""), F.lit(False))
+    once = reviews.groupBy("review_id").agg(F.count("*").alias("r_n"), F.min("decision").alias("r_decision"), F.min("note").alias("r_note"))
+    both = proposals.join(once, "review_id", "full_outer")
+    given = F.col("r_n").isNotNull()
+    wrong = F.when(given & F.col("decision").isNull(), "a review of an unknown proposal").when(given & (F.col("r_n") > 1), "two reviews of a proposal").when(given & (F.col("decision") == "CORROBORATED"), "a review of a corroborated observation").when(given & odd, "a review without a decision or a note")
+    decision = F.when(wrong.isNotNull(), F.raise_error(F.concat(wrong, F.lit(" "), F.col("review_id")))).otherwise(F.coalesce("r_decision", "decision"))
+    return both.select("instrument_id", "trade_date", decision.alias("decision"), F.col("r_note").alias("note"))
+
+
 def merge_revision(base: DataFrame, incoming: DataFrame, window_start: str, version: str, fields: Sequence[str] = ("open", "high", "low", "close", "volume")) -> DataFrame:
     """A new version: incoming rows override, others are carried forward; each row says added, revised, unchanged or carried.
 

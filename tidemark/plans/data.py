@@ -182,11 +182,14 @@ def identity_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = src.table(spark, sf_dir, "supplier").select(F.lit("synthetic").alias("provider_id"), F.col("s_suppkey").cast("string").alias("provider_instrument_id"))
     master = rows.where("cast(provider_instrument_id as bigint) % 2 = 0").withColumn("instrument_id", ql.instrument_id(F.col("provider_id"), F.col("provider_instrument_id")))
     found, missing = ql.resolve(rows, master)
-    both = found.select("provider_instrument_id", F.lit("RESOLVED").alias("state"), F.length("instrument_id").cast("long").alias("id_length"))
-    return both.unionByName(missing.select("provider_instrument_id", F.lit("UNRESOLVED").alias("state"), F.lit(0).cast("long").alias("id_length")))
+    both = found.select("provider_instrument_id", F.lit("RESOLVED").alias("state"), "instrument_id")
+    return both.unionByName(missing.select("provider_instrument_id", F.lit("UNRESOLVED").alias("state"), F.lit(None).cast("string").alias("instrument_id")))
 
 
-IDENTITY_SQL = "SELECT CAST(s_suppkey AS VARCHAR) AS provider_instrument_id, CASE WHEN s_suppkey % 2 = 0 THEN 'RESOLVED' ELSE 'UNRESOLVED' END AS state, CASE WHEN s_suppkey % 2 = 0 THEN 36 ELSE 0 END::BIGINT AS id_length FROM supplier"
+_DIGEST = "sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode('synthetic:' || s_suppkey))"
+IDENTITY_SQL = f"""SELECT CAST(s_suppkey AS VARCHAR) AS provider_instrument_id, CASE WHEN s_suppkey % 2 = 0 THEN 'RESOLVED' ELSE 'UNRESOLVED' END AS state,
+  CASE WHEN s_suppkey % 2 = 0 THEN 'tsi_' || substr({_DIGEST}, 1, 12) || '5' || substr({_DIGEST}, 14, 3) || lower(to_hex((CAST('0x' || substr({_DIGEST}, 17, 1) AS INT) & 3) | 8)) || substr({_DIGEST}, 18, 15) END AS instrument_id
+FROM supplier"""
 
 
 def composite_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +210,7 @@ def composite_adjudicate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ADJUDICATE_SQL = with_bars(
-    "SELECT instrument_id, trade_date, CASE state WHEN 'BOTH_AGREE' THEN 'CORROBORATED' WHEN 'BOTH_DISAGREE' THEN 'DISCREPANCY_REVIEW' ELSE 'GAP_REVIEW' END AS decision, substr(sha256(concat(instrument_id, '|', CAST(trade_date AS VARCHAR), '|A|B|', state, '|', differing)), 1, 24) AS review_id FROM evidence",
+    "SELECT instrument_id, trade_date, CASE state WHEN 'BOTH_AGREE' THEN 'CORROBORATED' WHEN 'BOTH_DISAGREE' THEN 'DISCREPANCY_REVIEW_REQUIRED' ELSE 'GAP_REVIEW_REQUIRED' END AS decision, substr(sha256(concat(instrument_id, '|', CAST(trade_date AS VARCHAR), '|A|B|', state, '|', differing)), 1, 24) AS review_id FROM evidence",
     SECOND,
     EVIDENCE,
 )

@@ -15,6 +15,7 @@ from tidemark.plans.features import TR, q_full
 from tidemark.plans.research import breakout_returns
 from tidemark.plans.strategy import BASE, EV, market_benchmark, raw_breakouts, round_all
 from tidemark.session import shared_path
+from tidemark.sources import backfill as bf
 from tidemark.sources import bars as src
 from tidemark.sources.bars import ACTIONS_CTE, INSTRUMENTS_CTE, derive_bars, with_bars
 from tidemark.sources.store import Store
@@ -187,12 +188,15 @@ STRATIFIED_SQL = "SELECT c_mktsegment, c_custkey, place FROM (SELECT *, row_numb
 
 
 def backfill_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.backfill_plan(src.table(spark, sf_dir, "supplier").select(F.col("s_name").alias("symbol")).distinct(), "2024-01-01", "2024-03-31", 30, 4)
+    """Batches of 30 days and four symbols; the digest in their ids hangs on the plan's, which SQL does not have."""
+    symbols = src.table(spark, sf_dir, "supplier").select(F.col("s_name").alias("symbol")).distinct()
+    _, batches = bf.plan(symbols, "synthetic", "2024-01-01", "2024-03-31", 30, 4)
+    return batches.select("sequence", F.substring("batch_id", 1, 12).alias("batch"), "window_start", "window_end", F.concat_ws(",", "symbols").alias("symbols"))
 
 
-BACKFILL_SQL = """SELECT CAST(chunk AS INT) AS chunk, symbols, w AS window_start, least(w + 29, DATE '2024-03-31') AS window_end, substr(sha256(concat_ws('|', CAST(w AS VARCHAR), CAST(least(w + 29, DATE '2024-03-31') AS VARCHAR), symbols)), 1, 16) AS batch_id
-FROM (SELECT chunk, string_agg(symbol, ',' ORDER BY symbol) AS symbols FROM (SELECT symbol, (row_number() OVER (ORDER BY symbol) - 1) // 4 AS chunk FROM (SELECT DISTINCT s_name AS symbol FROM supplier)) GROUP BY 1),
-     (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-03-31', INTERVAL 30 DAY)) AS DATE) AS w)"""
+BACKFILL_SQL = """SELECT sequence, 'batch-' || lpad(CAST(sequence AS VARCHAR), 6, '0') AS batch, window_start, least(window_start + 29, DATE '2024-03-31') AS window_end, symbols
+FROM (SELECT *, w * (max(chunk) OVER () + 1) + chunk + 1 AS sequence, DATE '2024-01-01' + CAST(w * 30 AS INT) AS window_start
+  FROM (SELECT chunk, string_agg(symbol, ',' ORDER BY symbol) AS symbols FROM (SELECT symbol, (row_number() OVER (ORDER BY symbol) - 1) // 4 AS chunk FROM (SELECT DISTINCT s_name AS symbol FROM supplier)) GROUP BY 1), range(4) r(w))"""
 
 
 def policy_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
