@@ -184,14 +184,13 @@ def test_mixing_meets_targets(spark, empty):
 
 
 @pytest.mark.parametrize("share", [[0.6, 0.37, 0.03], [1.0, 0.0, 0.0]])
-def test_rates_equal_plain_least_squares(spark, share, monkeypatch):
+def test_rates_equal_plain_least_squares(spark, share):
     """The same squares by plain projected gradient over all rates in numpy; the last targets are out of reach."""
-    monkeypatch.setattr(mixing, "STEPS", 25)
     rng = np.random.default_rng(8)
     p, t = rng.dirichlet([0.4, 0.3, 0.1], 300), rng.integers(0, 500, 300)
     table = spark.createDataFrame([(int(n), [float(v) for v in x]) for n, x in zip(t, p, strict=True)], "n_tokens bigint, posterior array<double>").repartition(3)
     fit = mixing.fit_rates(table, ["a", "b", "c"], dict(zip("abc", share, strict=True)))
-    rate = mixing.replay(p, fit.steps)[0]
+    rate = fit.rates(p)
     w, rates = np.linalg.inv((p * t[:, None]).T @ p / t.sum()), np.ones(300)
     for _ in range(5_000):
         rates = np.maximum(0, rates - p @ (w @ (p.T @ (t * rates) / t.sum() - share)))
@@ -200,6 +199,20 @@ def test_rates_equal_plain_least_squares(spark, share, monkeypatch):
     assert miss(rate) @ w @ miss(rate) <= miss(rates) @ w @ miss(rates) + 1e-6
 
 
+def test_a_cap_keeps_rows_single(spark):
+    """Targets that ask for more than there is: no rate over the cap, and no document twice."""
+    rng = np.random.default_rng(9)
+    p, t = rng.dirichlet([0.5, 0.5, 0.05], 400), rng.integers(1, 500, 400)
+    table = spark.createDataFrame([(int(n), [float(v) for v in x]) for n, x in zip(t, p, strict=True)], "n_tokens bigint, posterior array<double>").repartition(3)
+    fit = mixing.fit_rates(table, ["a", "b", "c"], lambda s: {"a": s["a"], "b": 3 * s["b"], "c": 0.0}, cap=1.0)
+    rate = fit.rates(p)
+    assert rate.max() <= 1 and rate[p[:, 1] > 0.98].min() == 1
+    docs = documents(spark, DATA)
+    once = docs.groupBy("doc_id").count().where("count > 1").count()
+    got = mixing.mixed(docs, mixing.domain_labels(spark, DATA), PIECE, lambda s: {d: 2 * x for d, x in s.items()}, cap=1.0)
+    assert got.groupBy("doc_id").count().where("count > 1").count() == once and got.count() == docs.count()
+
+
 def test_mixing_of_odd_rows(spark, odd, empty, monkeypatch):
     monkeypatch.setattr(mixing, "STEPS", 6)
     labels = spark.createDataFrame([(12, "good"), (10, "toxic"), (None, "good"), (13, None), (99, "plain"), (12, "good")], "id bigint, domain string")

@@ -4,12 +4,19 @@ A softmax classifier over relative word frequencies, fitted on a bounded sample
 gives every document a posterior over domains. Nonnegative rates (expected copies of a document) are
 then fitted by projected-gradient least squares, so that expected domain token totals meet their
 targets. A gradient step subtracts p . v from every rate, with p the document's posterior and v one
-vector for all, so a rate follows from its posterior and the list of steps: the state of an iteration
-is a few numbers, and each iteration is one aggregation over a staged table of posteriors.
+vector for all, so a rate follows from its posterior, its start and the list of steps: the state of an
+iteration is a few numbers, and each iteration is one aggregation over a staged table of posteriors.
+
+The start comes from a coarse level. One pass sums tokens up by cells of the posterior, a bounded number, and the
+same squares are solved over one rate a cell. Token totals are linear in the rates, so a cell's rate means the same
+for its documents as for the cell, and targets within reach are met there already; targets out of reach, for
+which plain steps take thousands of rounds, leave a few steps to the documents.
 """
 
 from __future__ import annotations
 
+import math
+import warnings
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -29,9 +36,11 @@ SCALE = 40.0
 WORD_CACHE = 500_000
 #: Share of the kept tokens that each domain is to have.
 TARGETS = {"good": 0.60, "plain": 0.37, "toxic": 0.03}
-#: The fit ends when no domain misses its target by more than this share of all tokens, when three steps in a row
-#: change no total by more than a tenth of it (targets out of reach), or after so many steps; the miss is returned.
-TOLERANCE, STEPS = 1e-6, 200
+#: The steps over documents end when no domain misses its target by more than this share of all tokens, when three in
+#: a row change no total by more than a tenth of it, or after so many; the miss, and whether they ended by themselves, are returned.
+TOLERANCE, STEPS = 1e-6, 60
+#: Cells of the posterior at most, and rounds of the coarse fit at most.
+CELLS, COARSE_ROUNDS = 20_000, 20_000
 
 
 class WordFeatures(dict):
@@ -122,79 +131,158 @@ def _matrix(column: pa.Array, k: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
 
 
-def replay(p: np.ndarray, steps: list[tuple[np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray]:
-    """Rates after ``steps``, and the extrapolated point at which the next gradient is taken."""
-    rate = point = np.ones(len(p))
+class Start(NamedTuple):
+    """Rates to start from: one for each cell, a cell being the rounded multiples of 1 / ``grid`` of all posteriors but the last."""
+
+    grid: int
+    cells: np.ndarray
+    rates: np.ndarray
+
+    def of(self, p: np.ndarray) -> np.ndarray:
+        return self.rates[np.searchsorted(self.cells, cell(p, self.grid))] if len(self.cells) else np.ones(len(p))
+
+
+def cell(p: np.ndarray, grid: int) -> np.ndarray:
+    out = np.zeros(len(p), dtype=np.int64)
+    for i in range(p.shape[1] - 1):
+        out = out * (grid + 1) + np.rint(p[:, i] * grid).astype(np.int64)
+    return out
+
+
+def grid_of(k: int) -> int:
+    """The finest grid whose cells stay within ``CELLS``: rounded posteriors sum to the grid, give or take the rounding."""
+    grid = 1
+    while math.comb(2 * grid + 2 * (k - 1), k - 1) <= CELLS and grid < 1024:
+        grid *= 2
+    return grid
+
+
+Step = tuple[np.ndarray, float]
+
+
+def replay(p: np.ndarray, steps: list[Step], start: np.ndarray, cap: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rates after ``steps``, the extrapolated point at which the next gradient is taken, and rates and point of one step before."""
+    rate = point = last_rate = last_point = start
     for vector, push in steps:
-        new = np.maximum(0.0, point - p @ vector)
+        last_rate, last_point = rate, point
+        new = np.clip(point - p @ vector, 0.0, cap)
         point, rate = new + push * (new - rate), new
-    return rate, point
+    return rate, point, last_rate, last_point
 
 
 class Fit(NamedTuple):
-    """Steps of the gradient, and what each domain's expected tokens miss of its target, as a share of all tokens."""
+    """Start and steps of the gradient, what each domain's expected tokens miss of its target as a share of all tokens, and whether the steps ended by themselves."""
 
-    steps: list[tuple[np.ndarray, float]]
+    start: Start
+    steps: list[Step]
     miss: np.ndarray
+    settled: bool
+    cap: float
+
+    def rates(self, p: np.ndarray) -> np.ndarray:
+        return replay(p, self.steps, self.start.of(p), self.cap)[0]
 
 
 Targets = dict[str, float] | Callable[[dict[str, float]], dict[str, float]]
 
 
-def fit_rates(table: DataFrame, domains: list[str], targets: Targets) -> Fit:
-    """Accelerated projected gradient for rates with sum(rate * tokens * posterior) = target * all tokens.
+def solve_cells(share_of: np.ndarray, p: np.ndarray, weigh: np.ndarray, wanted: np.ndarray, cap: float) -> np.ndarray:
+    """One rate a cell, from cells' shares of all tokens and their mean posteriors: accelerated projected gradient, restarted where it turns."""
+    rate = point = np.ones(len(p))
+    flow = share_of[:, None] * p
+    momentum, cost, since = 1.0, np.inf, 0
+    for n in range(COARSE_ROUNDS):
+        new = np.clip(point - p @ (weigh @ (flow.T @ point - wanted)), 0.0, cap)
+        turned = share_of @ ((point - new) * (new - rate)) > 0
+        later = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
+        push, momentum = (0.0, 1.0) if turned else ((momentum - 1) / later, later)
+        point, rate = new + push * (new - rate), new
+        if n % 100 == 99:
+            miss = flow.T @ rate - wanted
+            now = float(miss @ weigh @ miss)
+            since = since + 1 if now > cost * (1 - 1e-4) else 0
+            cost = min(cost, now)
+            if now < TOLERANCE**2 / 100 or since >= 3:
+                break
+    return rate
+
+
+def fit_rates(table: DataFrame, domains: list[str], targets: Targets, cap: float = np.inf) -> Fit:
+    """Accelerated projected gradient for rates in [0, ``cap``] with sum(rate * tokens * posterior) = target * all tokens.
 
     The squares are weighted by the inverse of the domains' Gram matrix, which makes the largest
     curvature 1: the step needs no search, and domains of few tokens are met as fast as large ones.
     """
-    k = len(domains)
+    k, grid = len(domains), grid_of(len(domains))
+
+    def summed(run, columns: str) -> list:
+        names = [c.split()[0] for c in columns.split(", ")]
+        keys = names[:-1]
+        return table.select("n_tokens", "posterior").mapInArrow(run, columns).groupBy(*keys).agg(F.sum("x").alias("x")).orderBy(*keys).collect()
 
-    def totals(steps: list[tuple[np.ndarray, float]], gram: bool, last: bool = False) -> np.ndarray:
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram = np.zeros((k, k))
+        for batch in batches:
+            p, t = _matrix(batch.column(1), k), batch.column(0).to_numpy(zero_copy_only=False).astype(float)
+            gram += (p * t[:, None]).T @ p
+            own, at = np.unique(cell(p, grid), return_inverse=True)
+            for i, x in enumerate((t, *(p * t[:, None]).T)):
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), i)), pa.array(np.bincount(at, x, minlength=len(own)))], names=["c", "i", "x"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(k * k, -1)), pa.array(np.arange(k * k)), pa.array(gram.ravel())], names=["c", "i", "x"])
+
+    rows = summed(cells, "c bigint, i bigint, x double")  # CELLS cells at most
+    gram = np.array([r.x for r in rows if r.c < 0])
+    level = np.array([r.x for r in rows if r.c >= 0]).reshape(-1, k + 1)
+    numbers = np.array(sorted({r.c for r in rows if r.c >= 0}), dtype=np.int64)
+    all_tokens = float(level[:, 0].sum()) if len(level) else 0.0
+    ones = Start(grid, numbers, np.ones(len(numbers)))
+    if not all_tokens:
+        return Fit(ones, [], np.zeros(k), True, cap)
+    supply = level[:, 1:].sum(axis=0) / all_tokens
+    wanted = targets(dict(zip(domains, supply.tolist(), strict=True))) if callable(targets) else targets
+    share = np.array([wanted[d] for d in domains], dtype=float)
+    share = share if callable(targets) else share / share.sum()
+    weigh = np.linalg.pinv(gram.reshape(k, k) / all_tokens, rcond=1e-9, hermitian=True)
+    coarse = solve_cells(level[:, 0] / all_tokens, level[:, 1:] / np.maximum(level[:, :1], 1e-300), weigh, share, cap)
+    start = Start(grid, numbers, coarse)
+
+    def totals(steps: list[Step]) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(k * k + k + 1 if gram else 2 * k)
+            out = np.zeros(2 * k + 1)
             for batch in batches:
                 p, t = _matrix(batch.column(1), k), batch.column(0).to_numpy(zero_copy_only=False).astype(float)
-                if gram:
-                    out += np.concatenate((((p * t[:, None]).T @ p).ravel(), p.T @ t, [t.sum()]))
-                else:
-                    rate, point = replay(p, steps)
-                    out += np.concatenate((p.T @ (t * rate), p.T @ (t * point)))
+                rate, point, last_rate, last_point = replay(p, steps, start.of(p), cap)
+                out += np.concatenate((p.T @ (t * rate), p.T @ (t * point), [t @ ((last_point - rate) * (rate - last_rate))]))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out)], names=["i", "x"])
 
-        got = table.select("n_tokens", "posterior").mapInArrow(run, "i bigint, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
-        return np.array([r.x for r in got])
+        return np.array([r.x for r in summed(run, "i bigint, x double")]) / all_tokens
 
-    first = totals([], True)
-    if not len(first) or first[-1] == 0:
-        return Fit([], np.zeros(k))
-    all_tokens, supply = first[-1], first[k * k : -1]
-    wanted = targets(dict(zip(domains, (supply / all_tokens).tolist(), strict=True))) if callable(targets) else targets
-    share = np.array([wanted[d] for d in domains], dtype=float)
-    share = share if callable(targets) else share / share.sum()
-    weigh = np.linalg.pinv(first[: k * k].reshape(k, k) / all_tokens, rcond=1e-9, hermitian=True)
-    steps: list[tuple[np.ndarray, float]] = []
-    at_rate = at_point = supply / all_tokens
-    momentum, still, cost = 1.0, 0, np.inf
+    steps: list[Step] = []
+    at_rate = at_point = (level[:, 1:] * coarse[:, None]).sum(axis=0) / all_tokens
+    momentum, still = 1.0, 0
     while np.abs(at_rate - share).max() > TOLERANCE and still < 3 and len(steps) < STEPS:
         later = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         steps.append((weigh @ (at_point - share), float((momentum - 1) / later)))
-        momentum, before = later, at_rate
-        both = totals(steps, False) / all_tokens
-        at_rate, at_point = both[:k], both[k:]
+        before, both = at_rate, totals(steps)
+        at_rate, at_point, momentum = both[:k], both[k : 2 * k], later
+        if both[-1] > 0:  # it turns: go on without momentum from where the rates are
+            steps[-1] = (steps[-1][0], 0.0)
+            at_point, momentum = at_rate, 1.0
         still = still + 1 if np.abs(at_rate - before).max() < TOLERANCE / 10 else 0
-        now = (at_rate - share) @ weigh @ (at_rate - share)
-        momentum, cost = (1.0 if now > cost else momentum), now  # overshot: start the momentum anew
-    return Fit(steps, at_rate - share)
+    settled = bool(still >= 3 or np.abs(at_rate - share).max() <= TOLERANCE)
+    if not settled:
+        warnings.warn(f"the rates still move after {STEPS} steps over all documents; the worst domain misses {np.abs(at_rate - share).max():.2g} of all tokens", stacklevel=2)
+    return Fit(start, steps, at_rate - share, settled, cap)
 
 
-def mix(docs: DataFrame, labelled: DataFrame, model_path: str, targets: Targets | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_tokens, rate (expected copies), p_<domain> for each domain, and ``miss``.
+def mix(docs: DataFrame, labelled: DataFrame, model_path: str, targets: Targets | None = None, id_col: str = "doc_id", text_col: str = "text", cap: float = np.inf) -> DataFrame:
+    """Per row: id, n_tokens, rate (expected copies, ``cap`` at most), p_<domain> for each domain, ``miss`` and ``settled``.
 
     Tokens are those of the sentencepiece model at ``model_path``. ``targets`` are nonnegative shares of the
     tokens, scaled to sum to one, so the total stays that of the input; or a function from each domain's share
     of the input's tokens to the share wanted, in the same unit, unscaled. Targets that no nonnegative rates
     reach are approached in least squares; ``miss``, the same in all rows, is what the worst domain misses, as
-    a share of all tokens. Null and empty texts have no tokens and the prior as posterior; very long texts
+    a share of all tokens, and ``settled`` says whether the fit had come to rest. Null and empty texts have no tokens and the prior as posterior; very long texts
     count whole. Repeated rows get a rate each, ties do not arise. Without labels all posteriors are equal and
     all rates too. Other columns, whatever their names, are ignored; an empty table gives an empty result.
     """
@@ -202,15 +290,15 @@ def mix(docs: DataFrame, labelled: DataFrame, model_path: str, targets: Targets
     domains = sorted(TARGETS if callable(targets) else targets)
     model = fit_classifier(docs, labelled, domains, id_col, text_col)
     table = staged(posterior_table(docs, model, model_path, id_col, text_col), "posteriors")
-    steps, miss = fit_rates(table, domains, targets)
-    k, worst = len(domains), float(np.abs(miss).max())
+    fit = fit_rates(table, domains, targets, cap)
+    k, worst = len(domains), float(np.abs(fit.miss).max())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = _matrix(batch.column(2), k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(replay(p, steps)[0]), *[pa.array(p[:, i]) for i in range(k)], pa.array(np.full(len(p), worst))], names=[id_col, "n_tokens", "rate", *[f"p_{d}" for d in domains], "miss"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fit.rates(p)), *[pa.array(p[:, i]) for i in range(k)], pa.array(np.full(len(p), worst)), pa.array(np.full(len(p), fit.settled))], names=[id_col, "n_tokens", "rate", *[f"p_{d}" for d in domains], "miss", "settled"])
 
-    return table.select(id_col, "n_tokens", "posterior").mapInArrow(run, f"`{id_col}` bigint, n_tokens bigint, rate double, " + ", ".join(f"`p_{d}` double" for d in domains) + ", miss double")
+    return table.select(id_col, "n_tokens", "posterior").mapInArrow(run, f"`{id_col}` bigint, n_tokens bigint, rate double, " + ", ".join(f"`p_{d}` double" for d in domains) + ", miss double, settled boolean")
 
 
 def thinned(domain: str, share: float) -> Targets:
@@ -218,17 +306,18 @@ def thinned(domain: str, share: float) -> Targets:
     return lambda supply: {d: x * share if d == domain else x for d, x in supply.items()}
 
 
-def mixed(docs: DataFrame, labelled: DataFrame, model_path: str, targets: Targets | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mixed(docs: DataFrame, labelled: DataFrame, model_path: str, targets: Targets | None = None, id_col: str = "doc_id", text_col: str = "text", cap: float = np.inf) -> DataFrame:
     """Rows of ``docs`` as often as their rate says: its whole part, and once more with the rest as probability.
 
-    The draw is a hash of the id and the text, so a rerun gives the same rows. A row takes its rate along as it is read:
+    With a ``cap`` of 1 no row is there more often than before. Ties do not arise; a fit that has not come to rest
+    warns. The draw is a hash of the id and the text, so a rerun gives the same rows. A row takes its rate along as it is read:
     nothing is joined, so rows with a null or a repeated id are treated like others, and columns keep their
     names and order. For null, empty and very long texts and empty tables see :func:`mix`.
     """
     targets = targets or TARGETS
     domains = sorted(TARGETS if callable(targets) else targets)
     model = fit_classifier(docs, labelled, domains, id_col, text_col)
-    steps, _ = fit_rates(staged(posterior_table(docs, model, model_path, id_col, text_col), "posteriors"), domains, targets)
+    fit = fit_rates(staged(posterior_table(docs, model, model_path, id_col, text_col), "posteriors"), domains, targets, cap)
     fields = [f.name for f in docs.schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +325,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, model_path: str, targets: Target
         for batch in batches:
             ids, texts = batch.column(fields.index(id_col)).to_pylist(), byte_column(batch.column(fields.index(text_col)))
             for lo, hi in slices([len(x) for x in texts]):
-                rate = replay(model.posteriors(*features(texts[lo:hi], table)), steps)[0]
+                rate = fit.rates(model.posteriors(*features(texts[lo:hi], table)))
                 unit = np.array([xxhash.xxh3_64_intdigest(f"mix {i} ".encode() + x) for i, x in zip(ids[lo:hi], texts[lo:hi], strict=True)], dtype=np.uint64) / 2.0**64
                 yield batch.slice(lo, hi - lo).take(pa.array(np.repeat(np.arange(hi - lo), np.floor(rate + unit).astype(np.int64))))
 
