@@ -41,11 +41,11 @@ TOXIC_SHARE = 0.1
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their fitted rate says: toxic ones are thinned, the others stay."""
+    """Documents by their fitted rate, which is 1 at most: toxic ones are thinned, the others stay, and none is doubled."""
     import public_tokenizers
 
     ship_package(spark)
-    return mixing.mixed(docs, mixing.domain_labels(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), mixing.thinned("toxic", TOXIC_SHARE))
+    return mixing.mixed(docs, mixing.domain_labels(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), mixing.thinned("toxic", TOXIC_SHARE), cap=1.0)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
