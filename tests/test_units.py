@@ -158,13 +158,13 @@ def test_lifecycle_gates_and_ends():
     for i in range(3):
         t.step(_bar(i, 10_000))
     assert t.step(_bar(3, 9_800))["state"] == "QUALIFIED"  # begins below its support, and ends on the next bar
-    assert t.step(_bar(4, 9_800))["reason"] == "SUPPORT_BROKEN"
+    assert t.step(_bar(4, 9_800))["reason"] == "closed_below_support"
     t = pt.Tracker(s)
     for i in range(3):
         t.step(_bar(i, 10_000))
     assert t.step(_bar(3, 10_000, action=True))["state"] == "NONE" and t.state["ended_at"] == 3
     assert [t.step(_bar(i, 10_000))["state"] for i in range(4, 8)] == ["NONE"] * 3 + ["TRIGGER_READY"]
-    assert t.step(_bar(8, 10_000, ok=False))["reason"] == "QUALITY"
+    assert t.step(_bar(8, 10_000, ok=False))["reason"] == "data_quality_or_eligibility"
 
 
 def replayed(rows, s):
@@ -176,7 +176,7 @@ def replayed(rows, s):
             own, high, low = rows[held - s.duration : held], max(x["hc"] for x in rows[held - s.duration : held]), min(x["lc"] for x in rows[held - s.duration : held])
             episode = rows[held - s.duration : i + 1]
             wide = (max(x["hc"] for x in episode) - min(x["lc"] for x in episode)) * 100 > s.max_range_pct * min(x["lc"] for x in episode)
-            tests = ((r["action"], "CORPORATE_ACTION"), (not r["ok"], "QUALITY"), (not r["trend_ok"], "TREND"), (r["cc"] < low, "SUPPORT_BROKEN"), (s.max_age is not None and i - (held - 1) > (s.max_age or 0), "AGE"), (r["cc"] <= high and wide, "RANGE_EXPANDED"))
+            tests = ((r["action"], "corporate_action_discontinuity"), (not r["ok"], "data_quality_or_eligibility"), (not r["trend_ok"], "trend_context_failed"), (r["cc"] < low, "closed_below_support"), (s.max_age is not None and i - (held - 1) > (s.max_age or 0), "maximum_age_exceeded"), (r["cc"] <= high and wide, "range_expanded_beyond_limit"))
             reason = next((name for hit, name in tests if hit), "")
             if reason:
                 state, end, held = "INVALIDATED", i, None
@@ -210,7 +210,7 @@ def test_lifecycle_equals_a_replay(spark, more):
 
 
 def test_projection_statuses(spark):
-    rows = [("A", "CONSUMED", "BREAKOUT", True, 100, 105, 2.0), ("B", "NONE", "", False, None, 5, None), ("C", "INVALIDATED", "QUALITY", False, 9, 8, 1.0), ("D", "INVALIDATED", "TREND", False, 9, 8, 1.0), ("E", "INVALIDATED", "AGE", False, 9, 8, 1.0), ("F", "QUALIFIED", "", False, 100, 101, 1.0), ("G", "TRIGGER_READY", "", False, 100, 99, 1.0), ("H", "QUALIFIED", "", False, 100, 90, 1.0)]
+    rows = [("A", "CONSUMED", "BREAKOUT", True, 100, 105, 2.0), ("B", "NONE", "", False, None, 5, None), ("C", "INVALIDATED", "data_quality_or_eligibility", False, 9, 8, 1.0), ("D", "INVALIDATED", "trend_context_failed", False, 9, 8, 1.0), ("E", "INVALIDATED", "maximum_age_exceeded", False, 9, 8, 1.0), ("F", "QUALIFIED", "", False, 100, 101, 1.0), ("G", "TRIGGER_READY", "", False, 100, 99, 1.0), ("H", "QUALIFIED", "", False, 100, 90, 1.0)]
     df = spark.createDataFrame([(*r[:1], date(2024, 1, 2), *r[1:]) for r in rows], "instrument_id string, trade_date date, state string, reason string, event boolean, resistance bigint, cc bigint, ratio double")
     got = {r.instrument_id: r.status for r in pt.projection(df, pt.Lifecycle(volume_ratio=1.5)).collect()}
     assert got == dict(zip("ABCDEFGH", ("BREAKOUT", "INACTIVE", "QUALITY_BLOCKED", "TREND_FILTER_FAIL", "INVALIDATED", "VOLUME_FILTER_FAIL", "TRIGGER_READY", "STRUCTURE_ACTIVE"), strict=True))

@@ -8,8 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 # What an outcome can be.
 COMPLETE, NO_ENTRY, ENTRY_UNUSABLE = "COMPLETE", "NO_ENTRY_BAR", "ENTRY_UNUSABLE"
@@ -105,19 +108,57 @@ def outcome_summary(outcomes: DataFrame, horizons: Sequence[int]) -> DataFrame:
     return every.join(got, "horizon", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def stride(candidates: DataFrame, gap: int, strict: bool = False) -> DataFrame:
+def taken(positions: np.ndarray, gap: int) -> np.ndarray:
+    """The first of the sorted ``positions``, then each next one that lies ``gap`` or more after the last taken."""
+    out, at = [], 0
+    while at < len(positions):
+        out.append(positions[at])
+        at = int(np.searchsorted(positions, positions[at] + gap, side="left"))
+    return np.array(out, dtype=np.int64)
+
+
+def stride(candidates: DataFrame, gap: int, strict: bool = False, by: Sequence[str] = ("instrument_id",), position: str = "signal_index") -> DataFrame:
     """Greedy thinning in series order: take a row, then skip until ``gap`` positions later (``strict``: more than that).
 
-    One fold over each instrument's positions; ``row_number % gap`` would be another thing.
+    ``row_number % gap`` would be another thing. A series ``by`` goes once through a kernel, its positions alone, in
+    linear work; which rows are candidates, and whether they stand by their own position or by that of a block bar,
+    is the caller's choice.
     """
-    positions = candidates.groupBy("instrument_id").agg(F.sort_array(F.collect_list("signal_index")).alias("all"))
-    far = (lambda a, b: a - b > gap) if strict else (lambda a, b: a - b >= gap)
-    zero = F.struct(F.array().cast("array<bigint>").alias("taken"), F.lit(-10_000).cast("bigint").alias("last"))
+    by, step = list(by), max(1, gap + 1 if strict else gap)
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        found = taken(np.unique(rows["_p"].to_numpy()), step)
+        return pa.table([pa.array([k.as_py()] * len(found), k.type) for k in key] + [pa.array(found)], names=[*by, "_p"])
+
+    series = candidates.select(*by, F.col(position).cast("bigint").alias("_p"))
+    schema = StructType([*series.select(*by).schema.fields, StructField("_p", LongType())])
+    kept = series.groupBy(*by).applyInArrow(run, schema).withColumnRenamed("_p", position)
+    return candidates.join(kept, [*by, position])
 
-    def merge(acc, x):
-        x = x.cast("bigint")
-        take = far(x, acc["last"])
-        return F.struct(F.when(take, F.concat(acc["taken"], F.array(x))).otherwise(acc["taken"]).alias("taken"), F.when(take, x).otherwise(acc["last"]).alias("last"))
 
-    taken = positions.select("instrument_id", F.explode(F.aggregate("all", zero, merge, lambda acc: acc["taken"])).alias("signal_index"))
-    return candidates.join(taken, ["instrument_id", "signal_index"])
+#: Which candidates the thinning of a baseline sees: those with a usable entry bar, or those with a whole usable path.
+NEEDS = ("entry", "path")
+
+
+def baseline(bars: DataFrame, signals: DataFrame, horizons: Sequence[int], gap: int = 5, need: str = "entry", position: str = "signal_index") -> DataFrame:
+    """(instrument_id, signal_index, horizon, forward_return) of ``signals`` (instrument_id, signal_index, ...) taken every ``gap`` positions.
+
+    Entry is the next open, exit the close ``horizon`` bars on; a path with an unusable bar, or past the end, gives no
+    return. With ``need`` "entry" the thinning runs over signals whose own and next bar are usable, and paths are looked at
+    later; with "path" only signals with a whole path of the one horizon count. ``position`` is the column that the gap is
+    counted in, so signals of block bars can be thinned by blocks and measured by days.
+    """
+    if need not in NEEDS or (need == "path" and len(horizons) != 1):
+        raise ValueError("a baseline needs an entry, or the path of one horizon")
+    w = Window.partitionBy("instrument_id").orderBy("trade_date")
+    ok = (F.col("eligibility") & (F.col("quality_status") == "PASS")).cast("int")
+    rows = bars.select("instrument_id", "trade_date", "signal_index", "close", ok.alias("ok"), F.lead("open", 1).over(w).alias("entry"), F.lead(ok, 1).over(w).alias("next_ok"))
+    for h in horizons:
+        ahead = w.rowsBetween(1, h)
+        rows = rows.withColumn(f"r_{h}", F.when((F.count("ok").over(ahead) == h) & (F.min("ok").over(ahead) == 1), F.lead("close", h).over(w) / F.col("entry") - 1))
+    rows = rows.join(signals.select("instrument_id", "signal_index", *[c for c in (position,) if c != "signal_index"]), ["instrument_id", "signal_index"])
+    rows = rows.where((F.col("ok") == 1) & (F.col("next_ok") == 1))
+    if need == "path":
+        rows = rows.where(F.col(f"r_{horizons[0]}").isNotNull())
+    pairs = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"r_{h}").alias("forward_return")) for h in horizons])).alias("x")
+    return stride(rows, gap, position=position).select("instrument_id", "signal_index", pairs).select("instrument_id", "signal_index", "x.*").where("forward_return is not null")

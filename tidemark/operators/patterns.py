@@ -148,17 +148,17 @@ class Tracker:
     def _broken(self, bar: dict, held: dict) -> str:
         s = self.s
         if bar.get("action"):
-            return "CORPORATE_ACTION"
+            return "corporate_action_discontinuity"
         if not bar["ok"]:
-            return "QUALITY"
+            return "data_quality_or_eligibility"
         if not bar["trend_ok"]:
-            return "TREND"
+            return "trend_context_failed"
         if bar["cc"] < held["support"]:
-            return "SUPPORT_BROKEN"
+            return "closed_below_support"
         if s.max_age is not None and bar["index"] - held["ends"] > s.max_age:
-            return "AGE"
+            return "maximum_age_exceeded"
         wide = (held["high"] - held["low"]) * 100 > s.max_range_pct * held["low"]
-        return "RANGE_EXPANDED" if wide and bar["cc"] <= held["resistance"] else ""
+        return "range_expanded_beyond_limit" if wide and bar["cc"] <= held["resistance"] else ""
 
     def _confirmed(self, bar: dict, held: dict) -> bool:
         s, last, ratio = self.s, self.state["event_at"], bar.get("ratio")
@@ -221,7 +221,7 @@ def projection(states: DataFrame, settings: Lifecycle | None = None, as_of: str
     names = ("trade_date", "state", "reason", "event", "resistance", "cc", "ratio")
     last = rows.groupBy("instrument_id").agg(F.max_by(F.struct(*names), "trade_date").alias("x")).select("instrument_id", "x.*")
     quiet = F.lit(False) if s.volume_ratio is None else ~F.coalesce(F.col("ratio") >= s.volume_ratio, F.lit(False))
-    ended = F.when(F.col("reason") == "QUALITY", "QUALITY_BLOCKED").when(F.col("reason") == "TREND", "TREND_FILTER_FAIL").otherwise("INVALIDATED")
+    ended = F.when(F.col("reason") == "data_quality_or_eligibility", "QUALITY_BLOCKED").when(F.col("reason") == "trend_context_failed", "TREND_FILTER_FAIL").otherwise("INVALIDATED")
     status = F.when(F.col("event"), "BREAKOUT").when(F.col("state") == "NONE", "INACTIVE").when(F.col("state") == "INVALIDATED", ended)
     status = status.when((F.col("cc") > F.col("resistance")) & quiet, "VOLUME_FILTER_FAIL").when(F.col("state") == "TRIGGER_READY", "TRIGGER_READY").otherwise("STRUCTURE_ACTIVE")
     away = (F.col("resistance") - F.col("cc")) / F.col("resistance")

@@ -6,9 +6,16 @@ on the order of rows; the tables that meet the iterations hold a month or an ins
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.permutation import permuted
+
 Z95 = 1.959963984540054
 
 
@@ -75,19 +82,41 @@ def paired_month_bootstrap(left: DataFrame, right: DataFrame, iterations: int, s
     return gaps.agg(F.percentile("gap", 0.025).alias("low"), F.percentile("gap", 0.975).alias("high"), F.avg("gap").alias("mean_gap"))
 
 
+def _draw_key(seed: int, iteration: int, series: str) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{seed}/{iteration}/{series}".encode(), digest_size=8).digest(), "little")
+
+
 def random_timing(events: DataFrame, candidates: DataFrame, iterations: int, seed: int) -> DataFrame:
-    """p of the events' mean return against means of as many random candidates of the same instruments.
+    """p of the events' mean return against means of as many random candidates of the same instruments, and the null's 95 % interval.
 
-    Both have (instrument_id, signal_index, forward_return). Per iteration and instrument the candidates of
-    smallest hash are taken, without replacement.
+    Both have (instrument_id, signal_index, forward_return). Each iteration draws, for each instrument, as many of its
+    candidates as it has events, without replacement: the first places of a keyed permutation. The work is iterations
+    times events. An instrument with fewer candidates than events fails the job.
     """
-    counts = events.groupBy("instrument_id").agg(F.count("*").alias("take"))
-    observed = events.agg(F.avg("forward_return").alias("observed"))
-    pool = candidates.join(counts, "instrument_id").select("*", rounds(iterations))
-    order = Window.partitionBy("iteration", "instrument_id").orderBy(F.xxhash64(F.lit(seed), "iteration", "instrument_id", "signal_index"), "signal_index")
-    means = pool.withColumn("place", F.row_number().over(order)).where("place <= take").groupBy("iteration").agg(F.avg("forward_return").alias("mean"))
-    joined = means.withColumn("one", F.lit(1)).join(F.broadcast(observed.withColumn("one", F.lit(1))), "one")
-    return joined.groupBy("observed").agg(F.avg("mean").alias("null_mean"), ((F.count_if(F.col("mean") >= F.col("observed")) + 1) / (F.count("*") + 1)).alias("p_value"), F.count("*").alias("iterations"))
+    counts = events.where("forward_return is not null").groupBy("instrument_id").agg(F.count("*").alias("take"))
+    series = candidates.where("forward_return is not null").groupBy("instrument_id").agg(F.sort_array(F.collect_list(F.struct("signal_index", "forward_return"))).alias("x"))
+    chunk = F.explode(F.sequence(F.lit(0), F.lit(iterations - 1), F.lit(100))).alias("first")
+    pool = counts.join(series, "instrument_id", "left").select("instrument_id", "take", F.coalesce(F.col("x.forward_return"), F.array().cast("array<double>")).alias("x"), chunk)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                x, take = np.array(row["x"], dtype=float), row["take"]
+                if len(x) < take:
+                    raise ValueError(f"{row['instrument_id']} has {len(x)} candidates for {take} events")
+                own = range(row["first"], min(row["first"] + 100, iterations))
+                sums = [float(x[permuted(np.arange(take), len(x), _draw_key(seed, i, row["instrument_id"]))].sum()) for i in own]
+                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array(sums), pa.array([take] * len(sums), pa.int64())], names=["iteration", "total", "n"])
+
+    null = pool.repartition("instrument_id", "first").mapInArrow(draw, "iteration bigint, total double, n bigint").groupBy("iteration").agg((F.sum("total") / F.sum("n")).alias("mean"))
+    observed = events.agg(F.avg("forward_return").alias("observed"), F.count("forward_return").alias("sample_size"), F.count_distinct("instrument_id").alias("instruments"))
+    eligible = pool.where("first = 0").agg(F.sum(F.size("x")).cast("bigint").alias("eligible"))
+    joined = null.crossJoin(F.broadcast(observed)).crossJoin(F.broadcast(eligible))  # each is one row
+    rank = lambda p: F.percentile("mean", p)
+    return joined.groupBy("observed", "sample_size", "instruments", "eligible").agg(
+        F.avg("mean").alias("null_mean"), rank(0.025).alias("null_low"), rank(0.975).alias("null_high"),
+        ((F.count_if(F.col("mean") >= F.col("observed")) + 1) / (F.count("*") + 1)).alias("p_value"), F.count("*").alias("iterations"),
+    )
 
 
 def sign_flip(differences: DataFrame, iterations: int, seed: int) -> DataFrame:
@@ -126,6 +155,43 @@ def neighbourhood(surface: DataFrame, axes: list[str], value: str) -> DataFrame:
     return reach.join(other, [f"{a}_other" for a in axes]).groupBy(*axes).agg(F.count("near").alias("neighbours"), F.avg((F.col("near") > 0).cast("double")).alias("positive_fraction"), F.max("near").alias("best_neighbour"))
 
 
+# Shapes of a response, and the shares of its spread that count as flat and as near the best.
+INCREASING, DECREASING, MIXED, INSUFFICIENT = "increasing", "decreasing", "mixed", "insufficient"
+FLAT, NEAR, NEAR_LEAST = 0.08, 0.12, 0.005
+
+
+def response_shape(points: DataFrame, by: list[str], value: str, expectancy: str) -> DataFrame:
+    """How ``expectancy`` answers to ``value`` in each group ``by``: its shape, the best cell, the plateau around it and the range to test next.
+
+    Cells without an expectancy do not count, and fewer than three tell nothing. Most steps up (within a tolerance) and a
+    last cell clearly over the first make an increasing response, likewise decreasing; others are mixed. The plateau is
+    the run of cells near the best one that holds it: gaps and islands over the cells in order. The next range goes on outward
+    where the best cell is the end of a clear slope, else from one neighbour of the best cell to the other.
+    """
+    v, e = F.col(value).cast("double"), F.col(expectancy)
+    every, order = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("v")
+    rows = points.where(e.isNotNull()).select(*by, v.alias("v"), e.alias("e"))
+    rows = rows.withColumn("diff", F.col("e") - F.lag("e").over(order)).withColumn("step", F.col("v") - F.lag("v").over(order)).withColumn("below", F.coalesce(F.lag("v").over(order), "v")).withColumn("above", F.coalesce(F.lead("v").over(order), "v"))
+    rows = rows.withColumn("spread", F.max("e").over(every) - F.min("e").over(every)).withColumn("best", F.max("e").over(every))
+    rows = rows.withColumn("flat", F.greatest(F.lit(1e-12), F.col("spread") * FLAT)).withColumn("near", F.col("e") >= F.col("best") - F.greatest(F.lit(NEAR_LEAST), F.col("spread") * NEAR))
+    rows = rows.withColumn("island", F.sum((~F.col("near")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("home", F.min_by("island", F.struct(-F.col("e"), F.col("v"))).over(every)).withColumn("on", F.col("near") & (F.col("island") == F.col("home")))
+    got = rows.groupBy(*by).agg(
+        F.count("*").alias("cells"), F.count_if(F.col("diff") >= -F.col("flat")).alias("rising"), F.count_if(F.col("diff") <= F.col("flat")).alias("falling"), F.min_by("e", "v").alias("e0"), F.max_by("e", "v").alias("e1"), F.max("flat").alias("flat"),
+        F.min("v").alias("first"), F.max("v").alias("last"), F.min_by(F.struct("v", "e", "below", "above"), F.struct(-F.col("e"), F.col("v"))).alias("top"), F.percentile("step", 0.5).alias("step"),
+        F.min(F.when(F.col("on"), F.col("v"))).alias("plateau_low"), F.max(F.when(F.col("on"), F.col("v"))).alias("plateau_high"), F.count_if(F.col("on")).alias("plateau_cells"),
+    )
+    most = F.greatest(F.lit(1), F.floor((4 * (F.col("cells") - 1) + 4) / 5))
+    shape = F.when(F.col("cells") < 3, INSUFFICIENT).when((F.col("rising") >= most) & (F.col("e1") > F.col("e0") + F.col("flat")), INCREASING).when((F.col("falling") >= most) & (F.col("e1") < F.col("e0") - F.col("flat")), DECREASING).otherwise(MIXED)
+    got = got.withColumn("shape", shape).withColumn("reach", F.greatest(F.greatest(F.col("last") - F.col("first"), 4 * F.col("step")), 5 * F.col("step")))
+    out, back = (F.col("shape") == INCREASING) & (F.col("top.v") == F.col("last")), (F.col("shape") == DECREASING) & (F.col("top.v") == F.col("first"))
+    known = F.col("cells") >= 3
+    low = F.when(out, F.col("last")).when(back, F.greatest(F.lit(0.0), F.col("first") - F.col("reach"))).otherwise(F.col("top.below"))
+    high = F.when(out, F.col("last") + F.col("reach")).when(back, F.col("first")).otherwise(F.col("top.above"))
+    told = lambda c: F.when(known, c)
+    return got.select(*by, "cells", "shape", told(F.col("top.v")).alias("best_value"), told(F.col("top.e")).alias("best_expectancy"), *[told(F.col(c)).alias(c) for c in ("plateau_low", "plateau_high", "plateau_cells")], told(low).alias("next_low"), told(high).alias("next_high"))
+
+
 def walk_forward(boundaries: list[str]) -> list[tuple[int, str, str, str, str]]:
     """Expanding folds from N boundaries: (fold, train_start, train_end, test_start, test_end), N - 2 of them."""
     if len(boundaries) < 3 or sorted(set(boundaries)) != list(boundaries):

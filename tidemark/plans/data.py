@@ -132,10 +132,6 @@ def audit_sessions(spark: SparkSession, d: DataFrame, first: date, last: date) -
     return ql.completeness(expected.select("instrument_id", "trade_date"), inside).select("instrument_id", "expected", "missing", "unexpected")
 
 
-def session_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit_sessions(spark, derive_bars(spark, sf_dir), *CALENDAR)
-
-
 def session_audit_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audit from the first bar to the last, whatever years these are in."""
     d = derive_bars(spark, sf_dir)
@@ -146,14 +142,6 @@ def session_audit_span(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CLOSED = ", ".join(f"(DATE '{d}')" for d in sorted({d for y in range(CALENDAR[0].year, CALENDAR[1].year + 1) for d in ql.holidays(y)} | {date.fromisoformat(x) for x in ql.CLOSURES}))
 SESSIONS = f"sessions AS (SELECT d AS trade_date FROM (SELECT CAST(unnest(generate_series(DATE '{CALENDAR[0]}', DATE '{CALENDAR[1]}', INTERVAL 1 DAY)) AS DATE) AS d) WHERE isodow(d) < 6 AND d NOT IN (SELECT c FROM (VALUES {_CLOSED}) v(c)))"
-AUDIT_SQL = with_bars(
-    f"""SELECT coalesce(e.instrument_id, o.instrument_id) AS instrument_id, count(e.trade_date) AS expected, count(*) FILTER (o.trade_date IS NULL) AS missing, count(*) FILTER (e.trade_date IS NULL) AS unexpected
-FROM (SELECT instrument_id, trade_date FROM sessions, (SELECT instrument_id, min(trade_date) AS a, max(trade_date) AS b FROM bars GROUP BY 1) WHERE trade_date BETWEEN a AND b) e
-FULL JOIN (SELECT * FROM bars WHERE trade_date BETWEEN DATE '{CALENDAR[0]}' AND DATE '{CALENDAR[1]}') o ON o.instrument_id = e.instrument_id AND o.trade_date = e.trade_date GROUP BY 1""",
-    SESSIONS,
-)
-
-
 #: Years whose closed days the SQL of the whole span lists.
 SPAN_YEARS = range(1970, 2100)
 _SPAN_CLOSED = ", ".join(f"(DATE '{d}')" for d in sorted({d for y in SPAN_YEARS for d in ql.holidays(y)} | {date.fromisoformat(x) for x in ql.CLOSURES}))
@@ -326,7 +314,7 @@ QUERIES = {
     "cross_section_counts": (cross_section, CROSS_SQL),
     "price_jumps": (price_jumps, JUMPS_SQL),
     "jump_actions": (jump_actions, JUMP_ACTIONS_SQL),
-    "session_audit": (session_audit, AUDIT_SQL),
+    "session_audit": (session_audit_span, SPAN_AUDIT_SQL),
     "session_audit_span": (session_audit_span, SPAN_AUDIT_SQL),
     "symbol_as_of": (symbol_as_of, SYMBOL_SQL),
     "identity_resolve": (identity_resolve, IDENTITY_SQL),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from tidemark.operators import risk
 from tidemark.operators import statistics as st
 from tidemark.plans.data import DAMAGED, SECOND, damaged
 from tidemark.plans.features import TR, q_full
-from tidemark.plans.research import breakout_returns
+from tidemark.plans.research import BOOTSTRAPS, FLIPS, breakout_returns, staged_returns
 from tidemark.plans.strategy import BASE, EV, market_benchmark, raw_breakouts, round_all
 from tidemark.session import shared_path
 from tidemark.sources import backfill as bf
@@ -206,13 +208,17 @@ def policy_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.dominance(s, ["expectancy", "win_rate", "median_mae"], [])
 
 
+#: Horizons of the family.
+FAMILY = (2, 3, 5, 10, 20, 40, 60)
+
+
 def horizon_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edge of each horizon: mean, interval, sign-flip p with Benjamini-Hochberg over the family."""
-    rows = st.months(breakout_returns(spark, sf_dir), "signal_date")
+    rows = st.months(staged_returns(spark, sf_dir, FAMILY), "signal_date")
     monthly = rows.groupBy("horizon", "month").agg(F.sum("forward_return").alias("total"), F.count("*").alias("n"))
-    bounds = st.month_bootstrap(monthly, 300, 20260817, ["horizon"])
-    parts = [st.sign_flip(monthly.where(F.col("horizon") == h).select("month", (F.col("total") / F.col("n")).alias("gap")), 300, 20260817 + h * 10_000).select(F.lit(h).alias("horizon"), F.col("p_value").alias("p")) for h in (5, 20)]
-    tests = parts[0].unionByName(parts[1]).withColumn("hypothesis", F.concat(F.lit("h"), F.lpad(F.col("horizon").cast("string"), 3, "0")))
+    bounds = st.month_bootstrap(monthly, BOOTSTRAPS, 20260817, ["horizon"])
+    parts = [st.sign_flip(monthly.where(F.col("horizon") == h).select("month", (F.col("total") / F.col("n")).alias("gap")), FLIPS, 20260817 + h * 10_000).select(F.lit(h).alias("horizon"), F.col("p_value").alias("p")) for h in FAMILY]
+    tests = reduce(DataFrame.unionByName, parts).withColumn("hypothesis", F.concat(F.lit("h"), F.lpad(F.col("horizon").cast("string"), 3, "0")))
     means = rows.groupBy("horizon").agg(F.count("*").alias("n"), F.avg("forward_return").alias("mean_return"))
     return round_all(means.join(bounds, "horizon").join(st.adjusted(tests, "benjamini_hochberg"), "horizon").select("horizon", "n", "mean_return", "low", "high", "p", "p_adjusted"))
 
@@ -230,7 +236,7 @@ def trend_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for i, (child, parent) in enumerate(PARENTS.items()):
         gaps = monthly.select("month", (F.col(child) - F.col(parent)).alias("gap")).where("gap is not null")
-        one = st.sign_flip(gaps, 300, 100 + i).select(F.lit(child).alias("hypothesis"), F.lit(parent).alias("parent"), "observed", F.col("p_value").alias("p"))
+        one = st.sign_flip(gaps, FLIPS, 100 + i).select(F.lit(child).alias("hypothesis"), F.lit(parent).alias("parent"), "observed", F.col("p_value").alias("p"))
         out = one if out is None else out.unionByName(one)
     return round_all(st.adjusted(out, "benjamini_hochberg"))
 

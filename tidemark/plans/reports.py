@@ -49,7 +49,7 @@ def readable_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     usual = strategy.baseline_stride(spark, sf_dir).agg(F.avg("forward_return").alias("baseline_mean"))
     timing = research.random_timing_null(spark, sf_dir).select("p_value", (F.col("observed") - F.col("null_mean")).alias("beyond_null"))
     interval = research.month_bootstrap_ci(spark, sf_dir).where("horizon = 20").select(F.col("low").alias("interval_low"))
-    near = research.neighbour_readout(spark, sf_dir).where("duration = 20 and max_range_pct = 8").select("positive_fraction")
+    near = research.neighbour_readout(spark, sf_dir).where("duration = 20 and max_range_pct = 9").select("positive_fraction")
     key = F.lit(1).alias("one")  # single rows meet
     row = own.select("*", key)
     for part in (usual, timing, interval, near):

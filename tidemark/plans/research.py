@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.indicators import full
+
 from tidemark.operators import outcomes as oc
 from tidemark.operators import patterns as pt
 from tidemark.operators import statistics as st
-from tidemark.plans.strategy import BASE, EV, OUTCOMES, PATH, baseline_stride, raw_breakouts, round_all
+from tidemark.plans.features import recursive_sql
+from tidemark.plans.strategy import BASE, EV, OUTCOMES, PATH, raw_breakouts, round_all
+from tidemark.session import shared_path
 from tidemark.sources.bars import derive_bars, table, with_bars
 
-DURATIONS, RANGES = (10, 20, 30), (6, 9, 12)
+#: Cells of the surface: sessions of a base, and its range in per cent of its low; events rest for so many sessions.
+DURATIONS, RANGES, COOLDOWN = (10, 20, 30, 40, 60), (6, 9, 12, 15, 18), 5
 
 
 def breakout_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +26,17 @@ def breakout_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oc.outcome_paths(events, bars, (5, 20)).where("status = 'COMPLETE'")
 
 
+def staged_returns(spark: SparkSession, sf_dir: str, horizons: Sequence[int]) -> DataFrame:
+    """The complete returns of breakouts, written once for the several statistics that read them."""
+    events, bars = raw_breakouts(spark, sf_dir)
+    path = shared_path(spark, "returns")
+    oc.outcome_paths(events, bars, tuple(horizons)).where("status = 'COMPLETE'").write.parquet(path)
+    return spark.read.parquet(path)
+
+
 DONE = "done AS (SELECT *, forward_return AS x, strftime(signal_date, '%Y-%m') AS month FROM outs WHERE status = 'COMPLETE')"
+#: Rounds of the month bootstrap, of random timing and of the sign flips.
+BOOTSTRAPS, TIMINGS, FLIPS = 2_000, 1_000, 10_000
 CTES = (BASE, EV, PATH, OUTCOMES, DONE)
 
 
@@ -120,28 +137,74 @@ def cost_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 COST_SQL = with_bars("SELECT horizon, bps, round(m - bps / 1e4, 8) AS net_mean, round(CASE WHEN m > 0 THEN m * 1e4 END, 8) AS break_even_bps FROM (SELECT horizon, avg(x) AS m FROM done GROUP BY 1), (VALUES (0), (5), (10), (25), (50), (100)) c(bps)", *CTES)
 
 
-def surface(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every cell of duration x tightness: events, and their mean 20-bar return. One pass over bars per duration."""
-    bars = derive_bars(spark, sf_dir)
+def surface_of(bars: DataFrame, durations: Sequence[int] = DURATIONS, ranges: Sequence[int] = RANGES, cooldown: int = COOLDOWN, horizon: int = 20, gap: int = 5) -> DataFrame:
+    """Every cell of duration x tightness: events after the cooldown, their instruments, their return ``horizon`` bars on and its excess over the thinned baseline.
+
+    One pass over bars with the frames of all durations; only closes above some base go on, one row for each cell that they qualify for.
+    """
     w = pt.by_window()
-    bars = bars.withColumn("ret", F.lead("close", 20).over(w) / F.lead("open", 1).over(w) - 1)
-    parts = []
-    for d in DURATIONS:
-        base = pt.bases(bars, d, 1.0, "NONE").where((F.col("cc") > F.col("hc_most")))
-        cells = base.withColumn("max_range_pct", F.explode(F.array(*[F.lit(r) for r in RANGES]))).where((F.col("hc_most") - F.col("lc_least")) * 100 <= F.col("max_range_pct") * F.col("lc_least"))
-        parts.append(cells.groupBy("max_range_pct").agg(F.count("*").alias("events"), F.count("ret").alias("complete"), F.avg("ret").alias("mean_return")).withColumn("duration", F.lit(d)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return round_all(out.select("duration", "max_range_pct", "events", "complete", "mean_return"))
-
-
-def _surface_sql(body: str) -> str:
-    cells = " UNION ALL ".join(
-        f"SELECT {d} AS duration, r AS max_range_pct, count(*) AS events, count(ret) AS complete, round(avg(ret), 8) AS mean_return FROM (SELECT *, max(hc) OVER w{d} AS hm, min(lc) OVER w{d} AS lm FROM rets WINDOW w{d} AS (PARTITION BY instrument_id ORDER BY trade_date ROWS BETWEEN {d} PRECEDING AND 1 PRECEDING)), (VALUES {', '.join(f'({r})' for r in RANGES)}) v(r) WHERE signal_index >= {d} AND cc > hm AND (hm - lm) * 100 <= r * lm GROUP BY 2"
+    rows = bars.withColumn("ret", F.lead("close", horizon).over(w) / F.lead("open", 1).over(w) - 1)
+    for d in durations:
+        rows = rows.withColumn(f"h{d}", full(F.max, F.col("hc"), d, -1)).withColumn(f"l{d}", full(F.min, F.col("lc"), d, -1))
+    cell = lambda d, r: F.when((F.col("cc") > F.col(f"h{d}")) & ((F.col(f"h{d}") - F.col(f"l{d}")) * 100 <= r * F.col(f"l{d}")), F.struct(F.lit(d).alias("duration"), F.lit(r).alias("max_range_pct")))
+    hits = rows.select("instrument_id", "signal_index", "ret", F.explode(F.array_compact(F.array(*[cell(d, r) for d in durations for r in ranges]))).alias("c")).select("instrument_id", "signal_index", "ret", "c.*")
+    events = oc.stride(hits, cooldown, strict=True, by=("instrument_id", "duration", "max_range_pct"))
+    usual = oc.baseline(bars, bars.select("instrument_id", "signal_index"), (horizon,), gap, "path").agg(F.avg("forward_return").alias("baseline_mean"))
+    got = events.groupBy("duration", "max_range_pct").agg(F.count("*").alias("events"), F.count_distinct("instrument_id").alias("instruments"), F.count("ret").alias("complete"), F.avg("ret").alias("mean_return"), F.avg((F.col("ret") > 0).cast("double")).alias("positive_fraction"))
+    return got.crossJoin(F.broadcast(usual)).withColumn("excess", F.col("mean_return") - F.col("baseline_mean"))  # the baseline is one row
+
+
+def surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_all(surface_of(derive_bars(spark, sf_dir)))
+
+
+def _surface_sql(body: str, *ctes: str) -> str:
+    hits = " UNION ALL ".join(
+        f"SELECT instrument_id, signal_index, ret, {d} AS duration, r AS max_range_pct FROM (SELECT *, max(hc) OVER w{d} AS hm, min(lc) OVER w{d} AS lm FROM rets WINDOW w{d} AS (PARTITION BY instrument_id ORDER BY trade_date ROWS BETWEEN {d} PRECEDING AND 1 PRECEDING)), (VALUES {', '.join(f'({r})' for r in RANGES)}) v(r) WHERE signal_index >= {d} AND cc > hm AND (hm - lm) * 100 <= r * lm"
         for d in DURATIONS
     )
-    return with_bars(body, "rets AS MATERIALIZED (SELECT *, lead(close, 20) OVER w / lead(open, 1) OVER w - 1 AS ret FROM bars WINDOW w AS (PARTITION BY instrument_id ORDER BY trade_date))", f"cells AS MATERIALIZED ({cells})")
+    greedy = lambda source, key, least: f"SELECT {key}, min(signal_index) AS signal_index FROM {source} GROUP BY ALL UNION ALL SELECT {', '.join('t.' + k for k in key.split(', '))}, (SELECT min(r.signal_index) FROM {source} r WHERE {' AND '.join(f'r.{k} = t.{k}' for k in key.split(', '))} AND r.signal_index >= t.signal_index + {least}) FROM {source}_taken t WHERE t.signal_index IS NOT NULL"
+    key = "instrument_id, duration, max_range_pct"
+    return recursive_sql(
+        body,
+        "rets AS MATERIALIZED (SELECT *, lead(close, 20) OVER w / lead(open, 1) OVER w - 1 AS ret FROM bars WINDOW w AS (PARTITION BY instrument_id ORDER BY trade_date))",
+        f"hits AS MATERIALIZED ({hits})",
+        f"hits_taken AS ({greedy('hits', key, COOLDOWN + 1)})",
+        "usable AS MATERIALIZED (SELECT * FROM rets WHERE ret IS NOT NULL)",
+        f"usable_taken AS ({greedy('usable', 'instrument_id', 5)})",
+        "usual AS MATERIALIZED (SELECT avg(ret) AS baseline_mean FROM usable_taken JOIN usable USING (instrument_id, signal_index))",
+        f"""cells AS MATERIALIZED (SELECT *, mean_return - baseline_mean AS excess FROM (
+  SELECT duration, max_range_pct, count(*) AS events, count(DISTINCT instrument_id) AS instruments, count(ret) AS complete, avg(ret) AS mean_return, avg(CAST(ret > 0 AS DOUBLE)) AS positive_fraction FROM hits_taken JOIN hits USING ({key}, signal_index) GROUP BY 1, 2), usual)""",
+        *ctes,
+    )
+
+
+SURFACE_SQL = _surface_sql("SELECT duration, max_range_pct, events, instruments, complete, " + ", ".join(f"round({c}, 8) AS {c}" for c in ("mean_return", "positive_fraction", "baseline_mean", "excess")) + " FROM cells")
+
+
+def surface_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surface read along each axis at every value of the other one."""
+    cells = surface(spark, sf_dir)
+    along = lambda axis, other: cells.select(F.lit(axis).alias("axis"), F.col(other).cast("double").alias("fixed"), F.col(axis).cast("double").alias("value"), "mean_return")
+    points = along("duration", "max_range_pct").unionByName(along("max_range_pct", "duration"))
+    return round_all(st.response_shape(points, ["axis", "fixed"], "value", "mean_return"))
+
+
+READING_SQL = _surface_sql(
+    """SELECT axis, fixed, cells, shape, CASE WHEN cells > 2 THEN v END AS best_value, CASE WHEN cells > 2 THEN round(e, 8) END AS best_expectancy, CASE WHEN cells > 2 THEN plateau_low END AS plateau_low, CASE WHEN cells > 2 THEN plateau_high END AS plateau_high,
+  CASE WHEN cells > 2 THEN plateau_cells END AS plateau_cells,
+  CASE WHEN cells > 2 THEN round(CASE WHEN shape = 'increasing' AND v = last THEN last WHEN shape = 'decreasing' AND v = first THEN greatest(0, first - reach) ELSE below END, 8) END AS next_low,
+  CASE WHEN cells > 2 THEN round(CASE WHEN shape = 'increasing' AND v = last THEN last + reach WHEN shape = 'decreasing' AND v = first THEN first ELSE above END, 8) END AS next_high
+FROM (SELECT *, greatest(last - first, 5 * step) AS reach, CASE WHEN cells < 3 THEN 'insufficient' WHEN rising >= greatest(1, (4 * (cells - 1) + 4) // 5) AND e1 > e0 + flat THEN 'increasing' WHEN falling >= greatest(1, (4 * (cells - 1) + 4) // 5) AND e1 < e0 - flat THEN 'decreasing' ELSE 'mixed' END AS shape FROM told)""",
+    """points AS (SELECT 'duration' AS axis, CAST(max_range_pct AS DOUBLE) AS fixed, CAST(duration AS DOUBLE) AS v, round(mean_return, 8) AS e FROM cells WHERE mean_return IS NOT NULL
+  UNION ALL SELECT 'max_range_pct', CAST(duration AS DOUBLE), CAST(max_range_pct AS DOUBLE), round(mean_return, 8) FROM cells WHERE mean_return IS NOT NULL)""",
+    """steps AS (SELECT *, e - lag(e) OVER o AS diff, v - lag(v) OVER o AS gap, coalesce(lag(v) OVER o, v) AS below, coalesce(lead(v) OVER o, v) AS above, greatest(1e-12, 0.08 * (max(e) OVER p - min(e) OVER p)) AS flat,
+  e >= max(e) OVER p - greatest(0.005, 0.12 * (max(e) OVER p - min(e) OVER p)) AS near, row_number() OVER (PARTITION BY axis, fixed ORDER BY e DESC, v) = 1 AS top FROM points WINDOW o AS (PARTITION BY axis, fixed ORDER BY v), p AS (PARTITION BY axis, fixed))""",
+    "islands AS (SELECT *, max(CASE WHEN top THEN island END) OVER (PARTITION BY axis, fixed) AS home FROM (SELECT *, sum(CAST(NOT near AS INT)) OVER (PARTITION BY axis, fixed ORDER BY v) AS island FROM steps))",
+    """told AS (SELECT axis, fixed, count(*) AS cells, count(*) FILTER (diff >= -flat) AS rising, count(*) FILTER (diff <= flat) AS falling, arg_min(e, v) AS e0, arg_max(e, v) AS e1, max(flat) AS flat, min(v) AS first, max(v) AS last, quantile_cont(gap, 0.5) AS step,
+  max(v) FILTER (top) AS v_top, max(e) FILTER (top) AS e, max(below) FILTER (top) AS below, max(above) FILTER (top) AS above, min(v) FILTER (near AND island = home) AS plateau_low, max(v) FILTER (near AND island = home) AS plateau_high, count(*) FILTER (near AND island = home) AS plateau_cells
+  FROM islands GROUP BY 1, 2)""",
+).replace("THEN v END AS best_value", "THEN v_top END AS best_value").replace("AND v = last", "AND v_top = last").replace("AND v = first", "AND v_top = first")
 
 
 def neighbour_readout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +212,7 @@ def neighbour_readout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NEIGHBOUR_SQL = _surface_sql(
-    """SELECT a.duration, a.max_range_pct, count(b.mean_return) AS neighbours, round(avg(CAST(b.mean_return > 0 AS DOUBLE)), 8) AS positive_fraction, max(b.mean_return) AS best_neighbour
+    """SELECT a.duration, a.max_range_pct, count(b.mean_return) AS neighbours, round(avg(CAST(b.mean_return > 0 AS DOUBLE)), 8) AS positive_fraction, round(max(b.mean_return), 8) AS best_neighbour
 FROM (SELECT *, dense_rank() OVER (ORDER BY duration) AS i, dense_rank() OVER (ORDER BY max_range_pct) AS j FROM cells) a
 JOIN (SELECT *, dense_rank() OVER (ORDER BY duration) AS i, dense_rank() OVER (ORDER BY max_range_pct) AS j FROM cells) b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 AND (a.i <> b.i OR a.j <> b.j) GROUP BY 1, 2"""
 )
@@ -169,9 +232,6 @@ TESTS = "tests AS MATERIALIZED (SELECT concat(instrument_id, '/', CAST(horizon A
 BH_SQL = with_bars("SELECT hypothesis, p, round(least(1, min(raw) OVER (ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 8) AS p_adjusted FROM (SELECT *, p * count(*) OVER () / rank AS raw FROM (SELECT *, row_number() OVER (ORDER BY p, hypothesis) AS rank FROM tests))", *CTES, TESTS)
 BONFERRONI_SQL = with_bars("SELECT hypothesis, p, round(least(1, p * count(*) OVER ()), 8) AS p_adjusted FROM tests", *CTES, TESTS)
 
-BOUNDARIES = ["1994-01-01", "1996-01-01", "1997-01-01", "1998-01-01", "1999-01-01"]
-
-
 def fold_outcomes(spark: SparkSession, outcomes: DataFrame, folds: list[tuple[int, str, str, str, str]]) -> DataFrame:
     """Outcomes of each expanding fold: training and test events, and the test mean."""
     folds = spark.createDataFrame(folds, "fold int, train_start string, train_end string, test_start string, test_end string")
@@ -181,10 +241,6 @@ def fold_outcomes(spark: SparkSession, outcomes: DataFrame, folds: list[tuple[in
     return round_all(rows.groupBy("fold").agg(F.count_if(train).alias("train_n"), F.count_if(test).alias("test_n"), F.avg(F.when(test, F.col("forward_return"))).alias("test_mean")))
 
 
-def walk_forward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fold_outcomes(spark, breakout_returns(spark, sf_dir).where("horizon = 20"), st.walk_forward(BOUNDARIES))
-
-
 def walk_forward_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fold for each year of outcomes after the first one, up to the last."""
     outcomes = breakout_returns(spark, sf_dir).where("horizon = 20")
@@ -193,14 +249,6 @@ def walk_forward_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold_outcomes(spark, outcomes, st.walk_forward(years) if len(years) > 2 else [])
 
 
-FOLDS_SQL = with_bars(
-    "SELECT fold, count(*) FILTER (signal_date >= a AND signal_date < b) AS train_n, count(*) FILTER (signal_date >= b AND signal_date < c) AS test_n, round(avg(x) FILTER (signal_date >= b AND signal_date < c), 8) AS test_mean FROM done, (VALUES "
-    + ", ".join(f"({f}, DATE '{a}', DATE '{b}', DATE '{d}')" for f, a, b, _, d in st.walk_forward(BOUNDARIES))
-    + ") v(fold, a, b, c) WHERE horizon = 20 GROUP BY 1",
-    *CTES,
-)
-
-
 SPAN_FOLDS_SQL = with_bars(
     """SELECT fold, count(*) FILTER (signal_date >= a AND signal_date < b) AS train_n, count(*) FILTER (signal_date >= b AND signal_date < c) AS test_n, round(avg(x) FILTER (signal_date >= b AND signal_date < c), 8) AS test_mean
 FROM done, (SELECT y - lo AS fold, make_date(lo, 1, 1) AS a, make_date(y, 1, 1) AS b, make_date(y + 1, 1, 1) AS c FROM (SELECT lo, unnest(generate_series(lo + 1, hi)) AS y FROM (SELECT min(year(signal_date)) AS lo, max(year(signal_date)) AS hi FROM done WHERE horizon = 20))) WHERE horizon = 20 GROUP BY 1""",
@@ -215,43 +263,72 @@ def _monthly(df: DataFrame) -> DataFrame:
 def month_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = breakout_returns(spark, sf_dir)
     monthly = st.months(rows, "signal_date").groupBy("horizon", "month").agg(F.sum("forward_return").alias("total"), F.count("*").alias("n"))
-    return round_all(st.month_bootstrap(monthly, 500, 20260817, ["horizon"]))
+    return round_all(st.month_bootstrap(monthly, BOOTSTRAPS, 20260817, ["horizon"]))
 
 
 def paired_month_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = breakout_returns(spark, sf_dir)
-    return round_all(st.paired_month_bootstrap(_monthly(rows.where("horizon = 20")), _monthly(rows.where("horizon = 5")), 500, 7))
+    return round_all(st.paired_month_bootstrap(_monthly(rows.where("horizon = 20")), _monthly(rows.where("horizon = 5")), BOOTSTRAPS, 7))
+
+
+def every_timing(spark: SparkSession, sf_dir: str, horizon: int = 20) -> DataFrame:
+    """The return of every bar with a whole path: the pool that random timing draws from."""
+    bars = derive_bars(spark, sf_dir)
+    return oc.baseline(bars, bars.select("instrument_id", "signal_index"), (horizon,), 1, "path")
 
 
 def random_timing_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = breakout_returns(spark, sf_dir).where("horizon = 20").select("instrument_id", "signal_index", "forward_return")
-    return round_all(st.random_timing(events, baseline_stride(spark, sf_dir), 200, 20260818))
+    return round_all(st.random_timing(events, every_timing(spark, sf_dir), TIMINGS, 20260818))
 
 
 def sign_flip_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     monthly = _monthly(breakout_returns(spark, sf_dir).where("horizon = 20")).select("month", (F.col("total") / F.col("n")).alias("gap"))
-    return round_all(st.sign_flip(monthly, 500, 3))
+    return round_all(st.sign_flip(monthly, FLIPS, 3))
 
 
 def grid_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every combination of three short axes as a configuration row."""
+    """A configuration row for every instrument of the data and every combination of three short axes."""
     axis = lambda name, values: F.explode(F.array(*[F.lit(v) for v in values])).alias(name)
-    grid = spark.range(1).select(axis("duration", (10, 20, 30))).select("duration", axis("max_range_pct", (6, 9))).select("duration", "max_range_pct", axis("horizon", (5, 20)))
-    return grid.withColumn("config", F.concat_ws("/", *[F.col(c).cast("string") for c in ("duration", "max_range_pct", "horizon")]))
-
-
-GRID_SQL = "SELECT d AS duration, r AS max_range_pct, h AS horizon, concat(d, '/', r, '/', h) AS config FROM (VALUES (10), (20), (30)) a(d), (VALUES (6), (9)) b(r), (VALUES (5), (20)) c(h)"
+    grid = derive_bars(spark, sf_dir).select("instrument_id").distinct().select("instrument_id", axis("duration", (10, 20, 30))).select("*", axis("max_range_pct", (6, 9))).select("*", axis("horizon", (5, 20)))
+    return grid.withColumn("config", F.concat_ws("/", *[F.col(c).cast("string") for c in ("instrument_id", "duration", "max_range_pct", "horizon")]))
+
+
+GRID_SQL = with_bars("SELECT instrument_id, d AS duration, r AS max_range_pct, h AS horizon, concat(instrument_id, '/', d, '/', r, '/', h) AS config FROM (SELECT DISTINCT instrument_id FROM bars), (VALUES (10), (20), (30)) a(d), (VALUES (6), (9)) b(r), (VALUES (5), (20)) c(h)")
+
+
+def ancestors(links: DataFrame) -> DataFrame:
+    """(id, ancestor, depth) of all ancestors of ``links`` (id, parent), level by level; a cycle fails.
+
+    A level is written, and joined to the links once for the next one, until none is left. Every row of a cycle meets itself
+    on its way up, so a cycle of any length is found by the round of its length. No depth is cut off.
+    """
+    spark, path = links.sparkSession, shared_path(links.sparkSession, "ancestors")
+    links.where("parent is not null").select("id", "parent").distinct().write.parquet(f"{path}/links")
+    up = spark.read.parquet(f"{path}/links")
+    several = up.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
+    if several:
+        raise ValueError(f"{several[0].id} has several parents")
+    level, depth = up.select("id", F.col("parent").alias("ancestor")), 0
+    while True:
+        depth += 1
+        level.withColumn("depth", F.lit(depth)).write.parquet(f"{path}/levels/{depth:06d}")
+        level = spark.read.parquet(f"{path}/levels/{depth:06d}").select("id", "ancestor")
+        found = level.agg(F.count("*").alias("n"), F.min(F.when(F.col("id") == F.col("ancestor"), F.col("id"))).alias("own")).first()
+        if found.own is not None:
+            raise ValueError(f"{found.own} is its own ancestor")
+        if not found.n:
+            return spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/levels")
+        level = level.join(up.select(F.col("id").alias("ancestor"), "parent"), "ancestor").select("id", F.col("parent").alias("ancestor"))
 
 
 def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ancestors of every experiment: a recursive walk over parent links, with depth."""
+    """All ancestors of every experiment, with depth."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey").distinct()
-    orders.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") >= 2, F.floor(F.col("o_orderkey") / 2)).alias("parent")).createOrReplaceTempView("experiment_links")
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # the walk is bounded by its depth
-    return spark.sql("WITH RECURSIVE up(id, ancestor, depth) AS (SELECT id, parent, 1 FROM experiment_links WHERE parent IS NOT NULL UNION ALL SELECT up.id, l.parent, up.depth + 1 FROM up JOIN experiment_links l ON l.id = up.ancestor WHERE l.parent IS NOT NULL AND up.depth < 64) SELECT id, ancestor, depth FROM up")
+    return ancestors(orders.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") >= 2, F.floor(F.col("o_orderkey") / 2)).alias("parent")))
 
 
-LINEAGE_SQL = "WITH RECURSIVE links AS (SELECT DISTINCT o_orderkey AS id, CASE WHEN o_orderkey >= 2 THEN o_orderkey // 2 END AS parent FROM orders), up AS (SELECT id, parent AS ancestor, 1 AS depth FROM links WHERE parent IS NOT NULL UNION ALL SELECT up.id, l.parent, up.depth + 1 FROM up JOIN links l ON l.id = up.ancestor WHERE l.parent IS NOT NULL AND up.depth < 64) SELECT id, ancestor, depth FROM up"
+LINEAGE_SQL = "WITH RECURSIVE links AS (SELECT DISTINCT o_orderkey AS id, CASE WHEN o_orderkey >= 2 THEN o_orderkey // 2 END AS parent FROM orders), up AS (SELECT id, parent AS ancestor, 1 AS depth FROM links WHERE parent IS NOT NULL UNION ALL SELECT up.id, l.parent, up.depth + 1 FROM up JOIN links l ON l.id = up.ancestor WHERE l.parent IS NOT NULL) SELECT id, ancestor, depth FROM up"
 
 
 QUERIES = {
@@ -262,11 +339,12 @@ QUERIES = {
     "breadth": (breadth, BREADTH_SQL),
     "batch_mean_of_means": (mean_of_means, MEANS_SQL),
     "cost_sensitivity": (cost_sensitivity, COST_SQL),
-    "parameter_surface": (surface, _surface_sql("SELECT * FROM cells")),
+    "parameter_surface": (surface, SURFACE_SQL),
+    "surface_reading": (surface_reading, READING_SQL),
     "neighbour_readout": (neighbour_readout, NEIGHBOUR_SQL),
     "bh_adjust": (adjust("benjamini_hochberg"), BH_SQL),
     "bonferroni_adjust": (adjust("bonferroni"), BONFERRONI_SQL),
-    "walk_forward_folds": (walk_forward_folds, FOLDS_SQL),
+    "walk_forward_folds": (walk_forward_span, SPAN_FOLDS_SQL),
     "walk_forward_span": (walk_forward_span, SPAN_FOLDS_SQL),
     "month_bootstrap_ci": (month_bootstrap_ci, None),
     "paired_month_ci": (paired_month_ci, None),
