@@ -7,13 +7,13 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import data, evidence, features, growing, reports, research, stops, stores, strategy, streams
+from tidemark.plans import data, evidence, features, growing, named, reports, research, stops, stores, strategy, streams
 from tidemark.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that export QUERIES: name to (query, SQL or None).
-MODULES = (data, features, growing, stores, strategy, stops, research, reports, evidence, streams)
+MODULES = (data, features, named, growing, stores, strategy, stops, research, reports, evidence, streams)
 
 
 def _shipped(query: Query) -> Query:
