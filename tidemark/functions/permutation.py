@@ -5,15 +5,15 @@ from __future__ import annotations
 import numpy as np
 
 
-def _mixed(x: np.ndarray, key: int) -> np.ndarray:
-    """A 64-bit mix of ``x`` under ``key``: odd multiplications and shifts."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit mix: each bit of the result depends on all bits of ``x``."""
     with np.errstate(over="ignore"):
-        x = (x + np.uint64(key & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        return x ^ (x >> np.uint64(32))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
 
 
-def permuted(places: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
+def permuted(places: np.ndarray, n: int, key: int, rounds: int = 10) -> np.ndarray:
     """Images of ``places`` in [0, n) under the permutation of ``key``.
 
     A balanced network over the next power of four, walked on while an image falls outside of the range: at most
@@ -21,11 +21,12 @@ def permuted(places: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarra
     """
     half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
     mask = np.uint64((1 << half) - 1)
+    keys = _mixed(np.array([(key * 64 + r) & 0xFFFFFFFFFFFFFFFF for r in range(rounds)], dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
 
     def once(x: np.ndarray) -> np.ndarray:
         left, right = x >> np.uint64(half), x & mask
         for r in range(rounds):
-            left, right = right, left ^ (_mixed(right, key * 1_000_003 + r) & mask)
+            left, right = right, left ^ (_mixed(right + keys[r]) & mask)
         return (left << np.uint64(half)) | right
 
     x = once(np.asarray(places, dtype=np.uint64))
