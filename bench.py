@@ -28,6 +28,7 @@ from tidemark.sources.bars import derive_bars  # noqa: E402
 HEADLINE = (
     "bars_derive", "feat_initial", "feat_market", "pi_bollinger", "feat_macd", "strategy_prior_high_20_summary", "outcome_paths", "exit_policy_summary",
     "pattern_lifecycle_states", "stop_policy_summary", "managed_exit_summary", "strategy_family", "universe_history", "quality_issues", "composite_evidence", "parameter_surface", "performance_readout", "month_bootstrap_ci", "random_timing_null", "resample_weekly", "split_adjust",
+    "pi_frame", "surface_reading", "timeframe_report", "replay_statuses",
 )
 
 

@@ -290,14 +290,18 @@ def compose(parts: Sequence[DataFrame], version: str) -> DataFrame:
 
 
 def split_factors(bars: DataFrame, actions: DataFrame) -> DataFrame:
-    """Cumulative split factor of each bar: the product of 1/ratio over splits *after* its date, in date order.
+    """Cumulative split factor of each bar: the product of 1/ratio over splits *after* its date.
 
-    Splits of an instrument fit one sorted array, so the product is a fold and no range join is needed.
+    From the last day backwards a split's running product holds for the bars before it, up to the next split: a merge of bars
+    and splits in that order and the last known product, linear in both whatever the number of splits.
     """
-    lists = actions.where(F.col("action_type") == "split").groupBy("instrument_id").agg(F.sort_array(F.collect_list(F.struct("effective_date", "ratio"))).alias("splits"))
-    later = F.filter("splits", lambda s: s["effective_date"] > F.col("trade_date"))
-    factor = F.aggregate(later, F.lit(1.0), lambda acc, s: acc / s["ratio"])
-    return bars.join(lists, "instrument_id", "left").withColumn("split_factor", F.coalesce(F.when(F.col("splits").isNotNull(), factor), F.lit(1.0))).drop("splits")
+    key, back = "instrument_id", lambda *c: Window.partitionBy("instrument_id").orderBy(*c).rowsBetween(Window.unboundedPreceding, 0)
+    days = actions.where(F.col("action_type") == "split").groupBy(key, F.col("effective_date").alias("_day")).agg(F.product(1 / F.col("ratio")).alias("_own"))
+    splits = days.select(key, "_day", F.lit(0).alias("_kind"), F.product("_own").over(back(F.desc("_day"))).alias("_later"))
+    both = bars.withColumn("_day", F.col("trade_date")).withColumn("_kind", F.lit(1)).unionByName(splits, allowMissingColumns=True)
+    # of one day the bar comes first, as a split on its own day does not count
+    factor = F.coalesce(F.last("_later", True).over(back(F.desc("_day"), F.desc("_kind"))), F.lit(1.0))
+    return both.withColumn("split_factor", factor).where("_kind = 1").drop("_day", "_kind", "_later")
 
 
 def adjusted(bars: DataFrame, actions: DataFrame, dividends: DataFrame) -> DataFrame:
