@@ -66,11 +66,14 @@ def spread_join(big: DataFrame, small: DataFrame, on: str, by: str, counted: Dat
     """``big`` and ``small`` joined on ``on``; keys with more than 1 / ``HEAVY`` of ``total`` rows are dealt over ``SPREAD`` parts by ``by``.
 
     ``counted`` has (on, n), the rows of ``big`` by key, and their sum is ``total`` at most; so there are fewer than
-    ``HEAVY`` such keys, and they may be broadcast whatever the size of the tables.
+    ``HEAVY`` such keys, and the driver may name them whatever the size of the tables.
     """
-    heavy = F.broadcast(counted.where(F.col("n") * HEAVY > total).select(on, F.lit(True).alias("_heavy")))
-    left = big.join(heavy, on, "left").withColumn("_part", F.when(F.col("_heavy"), F.pmod(F.xxhash64(by), F.lit(SPREAD))).otherwise(0).cast("int")).drop("_heavy")
-    right = small.join(heavy, on, "left").withColumn("_part", F.explode(F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0))))).drop("_heavy")
+    heavy = [r[0] for r in counted.where(F.col("n") * HEAVY > total).select(on).collect()]
+    if not heavy:
+        return big.join(small, on, how)
+    is_heavy = F.col(on).isin([bytes(k) if isinstance(k, bytearray) else k for k in heavy])
+    left = big.withColumn("_part", F.when(is_heavy, F.pmod(F.xxhash64(by), F.lit(SPREAD))).otherwise(0).cast("int"))
+    right = small.withColumn("_part", F.explode(F.when(is_heavy, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))))
     return left.join(right, [on, "_part"], how).drop("_part")
 
 
