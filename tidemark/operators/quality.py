@@ -153,6 +153,48 @@ def sessions(spark: SparkSession, start: date, end: date) -> DataFrame:
     return days.join(F.broadcast(table), "trade_date", "left_anti")
 
 
+EXCHANGES = ("XNYS", "XNAS")
+
+
+def session_completeness(bars: DataFrame, instruments: DataFrame, end: date, start: date | None = None) -> DataFrame:
+    """Per instrument: the sessions that it should have between its listing and its delisting, and where its bars differ.
+
+    ``instruments`` has (instrument_id, exchange, first_trade_date, delisting_date), dates null where unknown; ``start`` is the
+    first day that the dataset claims. Expected are the sessions from the later of first trade (or first bar) and ``start`` to the
+    earlier of delisting and ``end``. Missing and unexpected dates are sorted arrays, a calendar's length at most. An
+    instrument without bars lacks its history, unless it should have none. Several versions, a bar outside of the claimed span or of an
+    unknown instrument, a repeated instrument or another exchange raise.
+
+    Each instrument's days come from its own row, and closed days, one row each, are all that is broadcast.
+    """
+    spark = bars.sparkSession
+    got = bars.agg(F.count("*").alias("n"), F.count_distinct("dataset_version").alias("versions"), F.min("trade_date").alias("a"), F.max("trade_date").alias("b")).first()
+    if not got.n or got.versions != 1 or got.b > end or (start is not None and (got.a < start or end < start)):
+        raise ValueError(f"{got.n} bars of {got.versions} versions from {got.a} to {got.b} are not what {start} to {end} claims")
+    odd = instruments.groupBy("instrument_id").agg(F.count("*").alias("n"), F.max((~F.coalesce(F.col("exchange").isin(*EXCHANGES), F.lit(False))).cast("int")).alias("other")).where("n > 1 or other = 1").limit(3).collect()
+    unknown = bars.join(instruments, "instrument_id", "left_anti").select("instrument_id").limit(3).collect()
+    if odd or unknown:
+        raise ValueError(f"repeated instruments or other exchanges: {[r.instrument_id for r in odd]}; bars of unknown instruments: {[r.instrument_id for r in unknown]}")
+    seen = bars.groupBy("instrument_id").agg(F.min("trade_date").alias("observed_first"), F.max("trade_date").alias("observed_last"), F.count("*").alias("observed"), F.count_distinct("trade_date").alias("observed_dates"))
+    rows = instruments.select("instrument_id", "exchange", "first_trade_date", "delisting_date").join(seen, "instrument_id", "left")
+    first, last = F.coalesce("first_trade_date", "observed_first"), F.least("delisting_date", F.lit(end))
+    rows = rows.withColumn("expected_start", F.when(first.isNull(), F.lit(start)).otherwise(F.greatest(first, F.lit(start)))).withColumn("expected_end", last)
+    years = range((min(start, got.a) if start else got.a).year - 1, end.year + 1)
+    early = instruments.agg(F.min("first_trade_date")).first()[0]
+    years = range(min(years.start, early.year), years.stop) if early else years
+    closed = spark.createDataFrame([(d,) for d in sorted({d for y in years for d in holidays(y)} | {date.fromisoformat(x) for x in CLOSURES})], "trade_date date")
+    days = F.when(F.col("observed").isNotNull() & (F.col("expected_start") <= F.col("expected_end")), F.sequence("expected_start", "expected_end"))
+    expected = rows.select("instrument_id", F.explode(days).alias("trade_date")).where(F.weekday("trade_date") < 5).join(F.broadcast(closed), "trade_date", "left_anti").select("instrument_id", "trade_date", F.lit(1).alias("e"), F.lit(0).alias("o"))
+    both = expected.unionByName(bars.select("instrument_id", "trade_date", F.lit(0).alias("e"), F.lit(1).alias("o"))).groupBy("instrument_id", "trade_date").agg(F.max("e").alias("e"), F.max("o").alias("o"))
+    dates = lambda when, name: F.sort_array(F.collect_list(F.when(when, F.col("trade_date")))).alias(name)
+    found = both.groupBy("instrument_id").agg(F.sum("e").alias("expected"), dates((F.col("e") == 1) & (F.col("o") == 0), "missing"), dates((F.col("e") == 0) & (F.col("o") == 1), "unexpected"))
+    none = F.array().cast("array<date>")
+    out = rows.join(found, "instrument_id", "left").withColumn("missing", F.coalesce("missing", none)).withColumn("unexpected", F.coalesce("unexpected", none))
+    out = out.withColumn("duplicates", F.coalesce(F.col("observed") - F.col("observed_dates"), F.lit(0))).withColumn("missing_history", F.col("observed").isNull() & ~F.coalesce(F.col("expected_start") > F.col("expected_end"), F.lit(False)))
+    complete = ~F.col("missing_history") & (F.col("duplicates") == 0) & (F.size("missing") == 0) & (F.size("unexpected") == 0)
+    return out.select("instrument_id", "exchange", "expected_start", "expected_end", "observed_first", "observed_last", F.coalesce("observed", F.lit(0)).alias("observed"), F.coalesce("expected", F.lit(0)).alias("expected"), "duplicates", "missing_history", "missing", "unexpected", complete.alias("complete"))
+
+
 # ---- identity
 
 

@@ -153,6 +153,33 @@ FULL JOIN bars o ON o.instrument_id = e.instrument_id AND o.trade_date = e.trade
 )
 
 
+def session_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of each instrument from its listing to its delisting, some bars sent twice, and an instrument without bars."""
+    d = derive_bars(spark, sf_dir)
+    bars = d.unionByName(d.where(F.dayofyear("trade_date") == 50))
+    listed = src.instruments(spark, sf_dir).select("instrument_id", "exchange", "first_trade_date", "delisting_date")
+    listed = listed.unionByName(listed.where("instrument_id = 'I0'").withColumn("instrument_id", F.lit("none")))
+    span = d.agg(F.min("trade_date"), F.max("trade_date")).first()
+    got = ql.session_completeness(bars, listed, span[1], span[0])
+    text = lambda c: F.concat_ws(",", F.transform(c, lambda x: x.cast("string"))).alias(c)
+    return got.select("instrument_id", "expected_start", "expected_end", "observed_first", "observed_last", "observed", "expected", "duplicates", "missing_history", text("missing"), text("unexpected"), "complete")
+
+
+COMPLETE_SQL = with_bars(
+    """SELECT instrument_id, expected_start, expected_end, observed_first, observed_last, coalesce(observed, 0) AS observed, coalesce(expected, 0) AS expected, coalesce(duplicates, 0) AS duplicates, observed IS NULL AND NOT expected_start > expected_end AS missing_history,
+  coalesce(missing, '') AS missing, coalesce(unexpected, '') AS unexpected, observed IS NOT NULL AND duplicates = 0 AND missing IS NULL AND unexpected IS NULL AS complete
+FROM (SELECT l.instrument_id, greatest(coalesce(first_trade_date, observed_first), (SELECT min(trade_date) FROM bars)) AS expected_start, least(delisting_date, (SELECT max(trade_date) FROM bars)) AS expected_end, observed_first, observed_last, observed, duplicates
+  FROM listed l LEFT JOIN (SELECT instrument_id, min(trade_date) AS observed_first, max(trade_date) AS observed_last, count(*) + count(*) FILTER (dayofyear(trade_date) = 50) AS observed, count(*) FILTER (dayofyear(trade_date) = 50) AS duplicates FROM bars GROUP BY 1) o ON o.instrument_id = l.instrument_id)
+LEFT JOIN (SELECT instrument_id, count(e) AS expected, string_agg(CAST(e AS VARCHAR), ',' ORDER BY e) FILTER (o IS NULL) AS missing, string_agg(CAST(o AS VARCHAR), ',' ORDER BY o) FILTER (e IS NULL) AS unexpected
+  FROM (SELECT coalesce(x.instrument_id, b.instrument_id) AS instrument_id, x.trade_date AS e, b.trade_date AS o
+    FROM (SELECT instrument_id, days.trade_date FROM days, listed WHERE days.trade_date BETWEEN first_trade_date AND coalesce(delisting_date, DATE '9999-12-31') AND instrument_id <> 'none') x
+    FULL JOIN bars b ON b.instrument_id = x.instrument_id AND b.trade_date = x.trade_date) GROUP BY 1) USING (instrument_id)""",
+    INSTRUMENTS_CTE,
+    "listed AS (SELECT instrument_id, first_trade_date, delisting_date FROM instruments UNION ALL SELECT 'none', first_trade_date, delisting_date FROM instruments WHERE instrument_id = 'I0')",
+    f"days AS (SELECT d AS trade_date FROM (SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS d FROM (SELECT min(trade_date) AS a, max(trade_date) AS b FROM bars)) WHERE isodow(d) < 6 AND d NOT IN (SELECT c FROM (VALUES {_SPAN_CLOSED}) v(c)))",
+)
+
+
 def symbol_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two symbol intervals per instrument, split on 1996-06-30."""
     d = derive_bars(spark, sf_dir)
@@ -315,6 +342,7 @@ QUERIES = {
     "price_jumps": (price_jumps, JUMPS_SQL),
     "jump_actions": (jump_actions, JUMP_ACTIONS_SQL),
     "session_audit": (session_audit_span, SPAN_AUDIT_SQL),
+    "session_completeness": (session_completeness, COMPLETE_SQL),
     "session_audit_span": (session_audit_span, SPAN_AUDIT_SQL),
     "symbol_as_of": (symbol_as_of, SYMBOL_SQL),
     "identity_resolve": (identity_resolve, IDENTITY_SQL),
