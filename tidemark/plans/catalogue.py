@@ -7,13 +7,13 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import data, evidence, features, growing, named, replays, reports, research, stops, stores, strategy, streams, timeframes
+from tidemark.plans import data, evidence, experiments, features, growing, named, replays, reports, research, stops, stores, strategy, streams, timeframes
 from tidemark.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that export QUERIES: name to (query, SQL or None).
-MODULES = (data, features, named, growing, stores, strategy, stops, research, reports, evidence, timeframes, replays, streams)
+MODULES = (data, features, named, growing, stores, strategy, stops, research, reports, evidence, timeframes, replays, experiments, streams)
 
 
 def _shipped(query: Query) -> Query:
