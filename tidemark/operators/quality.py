@@ -360,8 +360,8 @@ def adjusted(bars: DataFrame, actions: DataFrame, dividends: DataFrame) -> DataF
 def universe(bars: DataFrame, instruments: DataFrame, as_of: DataFrame, n: int, least_price: float, least_dollars: float, least_history: int) -> DataFrame:
     """Membership of every instrument in every session of ``as_of`` (trade_date), with ordered exclusion reasons.
 
-    Trailing measures are windows over bars; the latest bar up to a session comes from a last-known value
-    over the dense grid of sessions and instruments.
+    Trailing measures are windows over bars; the latest bar up to a session is the last known value in the
+    order of days over bars and sessions together, so the grid of sessions and instruments is joined to nothing.
     """
     w = Window.partitionBy("instrument_id").orderBy("trade_date")
     frame = w.rowsBetween(1 - n, 0)
@@ -370,15 +370,15 @@ def universe(bars: DataFrame, instruments: DataFrame, as_of: DataFrame, n: int,
         "instrument_id", "trade_date", F.col("close").alias("price"), "quality_status",
         F.when(F.count(dollars).over(frame) == n, F.avg(dollars).over(frame)).alias("liquidity"), F.row_number().over(w).alias("history"),
     )
-    one = F.lit(1).alias("one")
-    grid = as_of.select("trade_date", one).join(F.broadcast(instruments.withColumn("one", F.lit(1))), "one").drop("one")
-    known = w.rowsBetween(Window.unboundedPreceding, 0)
-    points = grid.select("instrument_id", "trade_date", F.lit(True).alias("asked")).join(measured, ["instrument_id", "trade_date"], "full_outer")
-    for c in ("price", "quality_status", "liquidity", "history"):
-        latest = F.last(F.when(F.col("history").isNotNull(), F.struct(F.col(c).alias("v"))), True).over(known)
-        points = points.withColumn(f"x_{c}", latest["v"])
-    points = points.where("asked").select("instrument_id", "trade_date", F.col("x_price").alias("price"), F.coalesce("x_quality_status", F.lit("REJECT")).alias("quality"), F.col("x_liquidity").alias("liquidity"), F.coalesce("x_history", F.lit(0)).alias("history"))
-    rows = grid.join(points, ["instrument_id", "trade_date"])
+    # sessions are a calendar's length at most
+    grid = instruments.withColumn("one", F.lit(1)).join(F.broadcast(as_of.select("trade_date", F.lit(1).alias("one"))), "one").drop("one")
+    about = F.struct(*[c for c in instruments.columns if c != "instrument_id"]).alias("about")
+    asked = grid.select("instrument_id", "trade_date", about, F.lit(1).alias("kind"))
+    facts = measured.select("instrument_id", "trade_date", F.struct("price", "quality_status", "liquidity", "history").alias("known"), F.lit(0).alias("kind"))
+    upto = Window.partitionBy("instrument_id").orderBy("trade_date", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    points = asked.unionByName(facts, allowMissingColumns=True).withColumn("known", F.last("known", True).over(upto)).where("kind = 1")
+    k = F.col("known")
+    rows = points.select("instrument_id", "trade_date", "about.*", k["price"].alias("price"), F.coalesce(k["quality_status"], F.lit("REJECT")).alias("quality"), k["liquidity"].alias("liquidity"), F.coalesce(k["history"], F.lit(0)).alias("history"))
     d = F.col("trade_date")
     reasons = F.array_compact(F.array(
         F.when(d < F.col("first_trade_date"), "BEFORE_FIRST_TRADE"),
