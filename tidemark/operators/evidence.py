@@ -40,15 +40,13 @@ def edge_state(gap_in_a, gap_other, anchor, agrees):
 def split_semantics(bars: DataFrame, actions: DataFrame, near: float = 0.18, margin: float = 0.08) -> DataFrame:
     """Whether prices around each split look raw or adjusted: the log error of the close ratio decides.
 
-    Bars and splits meet by instrument; the last close before and the first on or after the date are taken
-    by ordered aggregates.
+    The last close before a split and the first on or after its day are last known values of two merges of bars and
+    splits, in the order of days and against it; no split meets all bars of its instrument.
     """
-    b = bars.select("instrument_id", "trade_date", "close")
-    joined = actions.select("instrument_id", "effective_date", "ratio").distinct().join(b, "instrument_id")
-    got = joined.groupBy("instrument_id", "effective_date", "ratio").agg(
-        F.max_by(F.when(F.col("trade_date") < F.col("effective_date"), F.col("close")), F.when(F.col("trade_date") < F.col("effective_date"), F.col("trade_date"))).alias("before"),
-        F.min_by(F.when(F.col("trade_date") >= F.col("effective_date"), F.col("close")), F.when(F.col("trade_date") >= F.col("effective_date"), F.col("trade_date"))).alias("after"),
-    )
+    splits = actions.select("instrument_id", F.col("effective_date").alias("day"), "ratio", F.lit(0).alias("kind")).distinct()
+    both = bars.select("instrument_id", F.col("trade_date").alias("day"), "close", F.lit(1).alias("kind")).unionByName(splits, allowMissingColumns=True)
+    known = lambda *order: F.last("close", True).over(Window.partitionBy("instrument_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    got = both.withColumn("before", known("day", "kind")).withColumn("after", known(F.desc("day"), F.desc("kind"))).where("kind = 0").withColumnRenamed("day", "effective_date")
     r = F.col("before") / F.col("after")
     raw_error, adjusted_error = F.abs(F.ln(r / F.col("ratio"))), F.abs(F.ln(r))
     state = F.when(r.isNull(), "INCONCLUSIVE").when((raw_error <= near) & (raw_error + margin < adjusted_error), "RAW_LIKE").when((adjusted_error <= near) & (adjusted_error + margin < raw_error), "ADJUSTED_LIKE").otherwise("INCONCLUSIVE")
