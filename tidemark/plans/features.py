@@ -242,6 +242,26 @@ FROM (SELECT *, {q_lag('line')} AS line_1, {q_lag('sig')} AS sig_1 FROM (
     _q_ema(9, "e9", "lines", "line", 25),
 )
 
+_KC = {
+    "kc_upper_distance_pct": "(close / up - 1) * 100",
+    "kc_lower_distance_pct": "(close / down - 1) * 100",
+    "kc_bandwidth_pct": "(up - down) / e * 100",
+    "kc_position": "CASE WHEN up - down > 0 THEN (close - down) / (up - down) END",
+    "kc_upper_cross_up": q_cross("close", "up"),
+    "kc_lower_cross_down": q_cross("down", "close"),
+}
+KELTNER_SQL = recursive_sql(
+    f"""SELECT instrument_id, trade_date, {", ".join(f"round({x}, 6) AS {n}" for n, x in _KC.items())}
+FROM (SELECT *, {q_lag("close")} AS close_1, {q_lag("up")} AS up_1, {q_lag("down")} AS down_1 FROM (
+  SELECT b.*, m.e, m.e + 2 * w.a AS up, m.e - 2 * w.a AS down FROM bars b LEFT JOIN e20 m ON m.instrument_id = b.instrument_id AND m.i = b.signal_index LEFT JOIN w ON w.instrument_id = b.instrument_id AND w.i = b.signal_index))""",
+    TR.replace("tr AS (", "tr AS MATERIALIZED (", 1),
+    _q_ema(20, "e20"),
+    """w AS (
+  SELECT instrument_id, 10::BIGINT AS i, avg(tr) AS a FROM tr WHERE signal_index BETWEEN 1 AND 10 GROUP BY 1 HAVING count(*) = 10
+  UNION ALL
+  SELECT m.instrument_id, m.signal_index, (w.a * 9 + m.tr) / 10 FROM w JOIN tr m ON m.instrument_id = w.instrument_id AND m.signal_index = w.i + 1)""",
+)
+
 QUERIES = {
     "feat_initial": (feat_initial, q_rounded(INITIAL, "tr", TR)),
     "feat_market": (feat_market, q_rounded(MARKET, "lagged", TR, SMAS, SMAS_LAG)),
@@ -254,5 +274,5 @@ QUERIES = {
     "feat_rsi_wilder": (feat_rsi, RSI_SQL),
     "feat_macd": (feat_macd, MACD_SQL),
     "pi_atr_wilder": (pi_atr_wilder, ATR_WILDER_SQL),
-    "sp_keltner": (sp_keltner, None),
+    "sp_keltner": (sp_keltner, KELTNER_SQL),
 }
