@@ -8,7 +8,6 @@ Whatever stops a run, what is committed is whole, and the next run goes on from
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,7 +76,7 @@ class Backfill:
 
     def _steps(self, kind: str) -> DataFrame | None:
         found = [self.folder.path(f"steps/{n}/{kind}") for n in self.folder.names("steps")]
-        return reduce(DataFrame.unionByName, [self.spark.read.parquet(p) for p in found]) if found else None
+        return self.spark.read.parquet(*found) if found else None
 
     def done(self) -> DataFrame:
         """The ledger: batch_id, the number of bars and a digest of them."""

@@ -2,8 +2,8 @@
 
 A table is a list of immutable month folders. A revision writes new folders for the months with added or revised
 rows, and a manifest that names the folder of every month; the manifest appears by one rename, so a reader sees a
-revision as a whole or not at all. Manifests carry the number of their batch: a batch that is sent again, say by a
-stream after a failure, is passed over.
+revision as a whole or not at all. A manifest carries the number of the last batch: a batch that is sent again, say by
+a stream after a failure, is passed over.
 """
 
 from __future__ import annotations
@@ -106,7 +106,7 @@ class RevisionTable:
         return manifest
 
     def revise(self, incoming: DataFrame, version: str, window_start: str, batch: int | None = None) -> dict[str, Any]:
-        """A new revision, or the latest one if nothing changes or ``batch`` was applied before.
+        """A new revision, or the latest one if ``batch`` was applied before; numbers of batches rise, so it was if it is not above the last.
 
         ``incoming`` must be of one provider, that of the table, of the version ``version``, with unique keys, and no
         row before ``window_start``. Only the months of incoming rows are read, and only those with added or
@@ -115,7 +115,7 @@ class RevisionTable:
         old = self.manifest()
         if old is None:
             raise RevisionConflict("a revision needs an existing dataset")
-        if batch is not None and any(m["batch"] == batch for m in self.history()):
+        if batch is not None and old["batch"] is not None and batch <= old["batch"]:
             return old
         if version == old["version"]:
             raise RevisionConflict("a revision needs a version of its own")
@@ -139,7 +139,7 @@ class RevisionTable:
             row = F.when(F.col("change").isin("ADDED", "REVISED"), F.col("new")).otherwise(F.col("old"))
             written = self._write(found.where(F.col("month").isin(sorted(changed))).select(*KEY, row.alias("x")).select(*KEY, "x.*"), version)
         manifest = {
-            "number": old["number"] + 1, "batch": batch, "version": version if changed else old["version"], "parent": old["version"], "provider": old["provider"],
+            "number": old["number"] + 1, "batch": old["batch"] if batch is None else batch, "version": version if changed else old["version"], "parent": old["version"], "provider": old["provider"],
             "months": old["months"] | written, "rows": old["rows"] + counts["ADDED"], "counts": counts | {"CARRIED": old["rows"] - counts["REVISED"], "MONTHS": len(changed)},
         }
         self.folder.write_json(f"manifests/{manifest['number']:012d}.json", manifest)
