@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.test_timeframes import daily
+from tidemark.operators import contexts as cx
 from tidemark.operators import experiments as ex
 
 
@@ -43,3 +46,19 @@ def test_contexts_are_thinned_by_themselves(spark):
     # every bar, the unusable one passed over: 0, 5, 10, 15, 20, 25; from the fourth bar on: 5, 10, ...
     assert got["t0", 2].signals == 30 and got["t0", 2].sample_size == 6 and got["t1", 2].signals == 26 and got["t1", 2].sample_size == 5
     assert got["t6", 2].signals == got["t6", 2].sample_size == 0 and got["t6", 2].mean_return is None
+
+
+def test_contexts_are_fixed_before_their_signal(spark):
+    bars = daily(spark, ("A", "2024-01-01", [10.0, 12.0, 11.0, 13.0, 14.0], {}))
+    events = bars.where("signal_index in (1, 3)").select(F.concat(F.lit("e"), F.col("signal_index").cast("string")).alias("event_id"), "instrument_id", "signal_index", "trade_date", "dataset_version")
+    context = lambda *rows: spark.createDataFrame([(e, v, date(2023, 12, 1), end, 1.0, 2.0) for e, v, end in rows], "event_id string, dataset_version string, formation_start date, formation_end date, support double, resistance double")
+    sent = context(("e1", "v1", date(2024, 1, 1)), ("other", "v9", date(2030, 1, 1)))
+    got = {r.event_id: r for r in cx.with_context(events, sent, bars, 3).collect()}
+    assert got["e1"].context == "SUPPLIED" and (got["e1"].support, got["e1"].resistance) == (1.0, 2.0)
+    assert got["e3"].context == "FORMATION" and (got["e3"].support, got["e3"].resistance, str(got["e3"].formation_start), str(got["e3"].formation_end)) == (9.0, 13.0, "2024-01-01", "2024-01-03")
+    assert {r.event_id: r.context for r in cx.with_context(events, sent).collect()} == {"e1": "SUPPLIED", "e3": "NONE"}
+    for bad, what in ((context(("e1", "v1", date(2024, 1, 2))), "not fixed before"), (context(("e1", "v2", date(2024, 1, 1))), "another dataset"), (context(("e1", "v1", date(2024, 1, 1)), ("e1", "v1", date(2024, 1, 1))), "several contexts")):
+        with pytest.raises(Exception, match=what):
+            cx.with_context(events, bad, bars, 3).collect()
+    with pytest.raises(Exception, match="incomplete formation"):
+        cx.with_context(events, context(), bars, 3).collect()

@@ -1,15 +1,17 @@
-"""The trend baseline experiment, and its contexts against each other."""
+"""The trend baseline experiment, and the structural contexts of events."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.operators import contexts as cx
 from tidemark.operators import experiments as ex
 from tidemark.operators import patterns as pt
 from tidemark.plans.features import q_lag, recursive_sql
-from tidemark.plans.strategy import BASE, TREND_SMAS, market_benchmark, round_all
+from tidemark.plans.strategy import BASE, EV, TREND_SMAS, market_benchmark, raw_breakouts, round_all
 from tidemark.plans.timeframes import _greedy
-from tidemark.sources.bars import derive_bars
+from tidemark.sources.bars import derive_bars, with_bars
 
 
 def trend_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,4 +40,21 @@ LEFT JOIN (SELECT context, horizon, count(*) AS sample_size, avg(r) AS mean_retu
     f"measured AS MATERIALIZED (SELECT * FROM (SELECT instrument_id, signal_index, off AS horizon, close / entry - 1 AS r, top / entry - 1 AS mfe, bottom / entry - 1 AS mae, least(0, min(low / peak - 1) OVER (PARTITION BY instrument_id, signal_index ORDER BY off)) AS fall FROM walks) WHERE horizon IN {ex.HORIZONS})",
 )
 
-QUERIES = {"trend_baseline": (trend_baseline, BASELINE_SQL)}
+def event_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breakouts with the context that they were sent, or else that of the twenty bars before."""
+    hits, bars = raw_breakouts(spark, sf_dir)
+    events = hits.withColumn("event_id", F.concat_ws(":", "instrument_id", F.col("trade_date").cast("string"))).withColumn("dataset_version", F.lit("v"))
+    sent = events.where(F.dayofmonth("trade_date") % 2 == 0).select("event_id", "dataset_version", F.date_sub("trade_date", 30).alias("formation_start"), F.date_sub("trade_date", 1).alias("formation_end"), F.lit(1.0).alias("support"), F.lit(2.0).alias("resistance"))
+    got = cx.with_context(events, sent, bars, 20)
+    return round_all(got.select("event_id", "signal_index", "context", "formation_start", "formation_end", "support", "resistance"))
+
+
+CONTEXTS_SQL = with_bars(
+    """SELECT instrument_id || ':' || CAST(trade_date AS VARCHAR) AS event_id, signal_index, CASE WHEN sent THEN 'SUPPLIED' ELSE 'FORMATION' END AS context, CASE WHEN sent THEN trade_date - 30 ELSE a END AS formation_start, CASE WHEN sent THEN trade_date - 1 ELSE b END AS formation_end,
+  CASE WHEN sent THEN 1.0::DOUBLE ELSE round(s, 8) END AS support, CASE WHEN sent THEN 2.0::DOUBLE ELSE round(r, 8) END AS resistance
+FROM (SELECT ev.*, day(ev.trade_date) % 2 = 0 AS sent, a, b, s, r FROM ev JOIN (SELECT instrument_id, signal_index, min(trade_date) OVER w AS a, max(trade_date) OVER w AS b, min(low) OVER w AS s, max(high) OVER w AS r FROM bars WINDOW w AS (PARTITION BY instrument_id ORDER BY trade_date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) f USING (instrument_id, signal_index))""",
+    BASE,
+    EV,
+)
+
+QUERIES = {"event_contexts": (event_contexts, CONTEXTS_SQL), "trend_baseline": (trend_baseline, BASELINE_SQL)}
