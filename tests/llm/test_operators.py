@@ -199,6 +199,23 @@ def test_rates_equal_plain_least_squares(spark, share):
     assert miss(rate) @ w @ miss(rate) <= miss(rates) @ w @ miss(rates) + 1e-6
 
 
+def test_one_lookup_a_pre_token():
+    """Words and tokens by code equal those by words and by the tokenizer."""
+    texts = [(t or "").encode() for _, t, _ in ODD] + [x.encode() for x in pdocs()[:60]] + [b"two\nwords in\tone\n\npart \n alone", b" ", b"\n"]
+    codes = mixing.Codes(PIECE)
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    for _ in range(2):
+        flat, words, tokens = mixing.described(texts, codes)
+        plain = [x for x in texts if "▁".encode() not in x]
+        flat2, words2 = mixing.features(plain, mixing.WordFeatures())
+        assert tokens.tolist() == [len(model.encode(x.decode())) for x in texts]
+        keep = [i for i, x in enumerate(texts) if "▁".encode() not in x]
+        assert words[keep].tolist() == words2.tolist()
+        ends = np.cumsum(words)
+        assert np.concatenate([flat[ends[i] - words[i] : ends[i]] for i in keep]).tolist() == flat2.tolist()
+    assert [len(x) for x in mixing.described([], codes)] == [0, 0, 0]
+
+
 def test_a_cap_keeps_rows_single(spark):
     """Targets that ask for more than there is: no rate over the cap, and no document twice."""
     rng = np.random.default_rng(9)

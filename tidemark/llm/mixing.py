@@ -18,6 +18,8 @@ from __future__ import annotations
 import math
 import warnings
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import byte_column, documents, slices, staged
-from tidemark.llm.token_counts import _length_table
+from tidemark.llm.token_counts import _processor, pre_tokens
 
 #: Labelled rows that the classifier is fitted on (expected number; a hash of the id chooses).
 TRAIN_ROWS = 3000
@@ -59,7 +61,59 @@ def features(texts: list[bytes], table: WordFeatures) -> tuple[np.ndarray, np.nd
     """Feature numbers of all words, text after text, and the number of words of each text."""
     words = [x.lower().split() for x in texts]
     n = np.array([len(w) for w in words], dtype=np.int64)
-    return np.fromiter((table[x] for own in words for x in own), dtype=np.int64, count=int(n.sum())), n
+    return np.fromiter(map(table.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=int(n.sum())), n
+
+
+#: In the code of a pre-token: no word in it. Its feature is below, its tokens above.
+_BARE, _SHIFT = FEATURES, 16
+
+
+class Codes(dict):
+    """Pre-token to its tokens and the feature of its word in one number, -1 where it has several words; bounded in size."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        self.encode, self.words = _processor(path).encode, WordFeatures()
+
+    def tokens(self, keys: list[bytes]) -> list[int]:
+        """Tokens of each pre-token; the empty one is a mark alone."""
+        return [len(x) or 1 for x in self.encode([k.decode("utf-8") for k in keys], num_threads=1)] if keys else []
+
+    def learned(self, keys: list[bytes]) -> dict[bytes, int]:
+        """Codes of ``keys``, which the table lacks: encoded in one call, and remembered within the bound."""
+        fresh = {}
+        for key, n in zip(keys, self.tokens(keys), strict=True):
+            own = key.lower().split()
+            fresh[key] = -1 if len(own) > 1 else n << _SHIFT | (xxhash.xxh3_64_intdigest(own[0]) % FEATURES if own else _BARE)
+        if len(self) + len(fresh) > WORD_CACHE:
+            self.clear()
+        self.update((k, v) for k, v in fresh.items() if len(k) <= 64)
+        return fresh
+
+
+def described(texts: list[bytes], codes: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature numbers of all words, text after text, and the words and the tokens of each text, with one lookup a pre-token."""
+    parts = [pre_tokens(x) for x in texts]
+    keys = list(chain.from_iterable(parts))
+    known = list(map(codes.get, keys))
+    if None in known:
+        fresh = codes.learned(list({k for k, v in zip(keys, known, strict=True) if v is None}))
+        known = [fresh[k] if v is None else v for k, v in zip(keys, known, strict=True)]
+    code = np.array(known, dtype=np.int64)
+    tokens, width = code >> _SHIFT, ((code & _BARE) == 0).astype(np.int64)
+    several = np.flatnonzero(code < 0)
+    found = [[codes.words[w] for w in keys[i].lower().split()] for i in several.tolist()]
+    tokens[several], width[several] = codes.tokens([keys[i] for i in several.tolist()]), [len(x) for x in found]
+    at = np.cumsum(width) - width
+    flat = np.zeros(int(width.sum()), dtype=np.int64)
+    one = (code >= 0) & (width == 1)
+    flat[at[one]] = code[one] & (FEATURES - 1)
+    for i, x in zip(at[several].tolist(), found, strict=True):
+        flat[i : i + len(x)] = x
+    ends = np.cumsum([len(x) for x in parts]).astype(np.int64)
+    starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
+    upto = lambda x: np.concatenate(([0], np.cumsum(x)))
+    return flat, upto(width)[ends] - upto(width)[starts], upto(tokens)[ends] - upto(tokens)[starts]
 
 
 class SoftClassifier:
@@ -110,19 +164,25 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], id_
     return model
 
 
+@lru_cache(maxsize=1)
+def _codes(model_path: str) -> Codes:
+    """The codes of this worker: its tasks share them."""
+    return Codes(model_path)
+
+
 def posterior_table(docs: DataFrame, model: SoftClassifier, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_tokens (of the sentencepiece model at ``model_path``), posterior (in the order of the model's domains)."""
     k = len(model.domains)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, lengths = WordFeatures(), _length_table(model_path, (), b"")
+        codes = _codes(model_path)
         for batch in batches:
             texts = byte_column(batch.column(1))
             for lo, hi in slices([len(x) for x in texts]):
-                p = model.posteriors(*features(texts[lo:hi], table))
+                flat, words, tokens = described(texts[lo:hi], codes)
+                p = model.posteriors(flat, words)
                 offsets = pa.array(np.arange(0, (hi - lo) * k + 1, k), pa.int32())
-                n = pa.array([lengths.count(x) for x in texts[lo:hi]], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), n, pa.ListArray.from_arrays(offsets, pa.array(p.ravel()))], names=[id_col, "n_tokens", "posterior"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(tokens), pa.ListArray.from_arrays(offsets, pa.array(p.ravel()))], names=[id_col, "n_tokens", "posterior"])
 
     return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, f"`{id_col}` bigint, n_tokens bigint, posterior array<double>")
 
@@ -139,7 +199,9 @@ class Start(NamedTuple):
     rates: np.ndarray
 
     def of(self, p: np.ndarray) -> np.ndarray:
-        return self.rates[np.searchsorted(self.cells, cell(p, self.grid))] if len(self.cells) else np.ones(len(p))
+        if not len(self.cells):
+            return np.ones(len(p))
+        return self.rates[np.minimum(np.searchsorted(self.cells, cell(p, self.grid)), len(self.cells) - 1)]
 
 
 def cell(p: np.ndarray, grid: int) -> np.ndarray:
@@ -321,11 +383,11 @@ def mixed(docs: DataFrame, labelled: DataFrame, model_path: str, targets: Target
     fields = [f.name for f in docs.schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordFeatures()
+        codes = _codes(model_path)
         for batch in batches:
             ids, texts = batch.column(fields.index(id_col)).to_pylist(), byte_column(batch.column(fields.index(text_col)))
             for lo, hi in slices([len(x) for x in texts]):
-                rate = fit.rates(model.posteriors(*features(texts[lo:hi], table)))
+                rate = fit.rates(model.posteriors(*described(texts[lo:hi], codes)[:2]))
                 unit = np.array([xxhash.xxh3_64_intdigest(f"mix {i} ".encode() + x) for i, x in zip(ids[lo:hi], texts[lo:hi], strict=True)], dtype=np.uint64) / 2.0**64
                 yield batch.slice(lo, hi - lo).take(pa.array(np.repeat(np.arange(hi - lo), np.floor(rate + unit).astype(np.int64))))
 
