@@ -30,7 +30,7 @@ from tidemark.llm.common import byte_column, documents, slices, spread_join, sta
 SHINGLE = 5
 PERCENT = 75
 BINS, ROWS = 128, 4
-WORD_CACHE = 500_000
+WORD_CACHE = 200_000
 #: Shingles that so many of the documents in question have at most are rare.
 RARE = 8
 #: Rows of a bucket that one task pairs with the rest of it.
