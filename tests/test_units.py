@@ -241,6 +241,20 @@ def test_split_on_own_date_does_not_adjust(spark):
     assert [r.split_factor for r in ql.split_factors(d, actions).orderBy("trade_date").collect()] == [0.25, 1.0]
 
 
+def test_splits_beyond_the_range_of_doubles(spark):
+    d = make_bars(spark, [(1, 1, 1, 1)] * 3)
+    first = date(2024, 1, 2)
+    halves = [("A", first + timedelta(days=i + 1), "split", 2.0) for i in range(1200)]
+    back = [("A", first, "split", 0.5 ** 1023), ("A", date(2024, 1, 1), "split", 0.5)]
+    actions = spark.createDataFrame(halves + back, "instrument_id string, effective_date date, action_type string, ratio double")
+    got = ql.split_factors(d, actions).orderBy("trade_date").collect()
+    days = [r.trade_date for r in got]
+    bits = [-sum(1 for h in halves if h[1] > x) + 1023 * (first > x) + (date(2024, 1, 1) > x) for x in days]
+    assert bits[0] == -177 and min(bits) < -1100
+    assert [r.split_log2 for r in got] == pytest.approx(bits)
+    assert [r.split_factor for r in got] == pytest.approx([2.0**b for b in bits], rel=1e-9, abs=0)
+
+
 def test_failures_stop_the_job(spark):
     d = make_bars(spark, [(1, 1, 1, 1), (1, 1, 1, 1)]).withColumn("dataset_version", F.lit("v"))
     with pytest.raises(Exception, match="overlap"):

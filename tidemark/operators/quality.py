@@ -332,18 +332,24 @@ def compose(parts: Sequence[DataFrame], version: str) -> DataFrame:
 
 
 def split_factors(bars: DataFrame, actions: DataFrame) -> DataFrame:
-    """Cumulative split factor of each bar: the product of 1/ratio over splits *after* its date.
+    """Cumulative split factor of each bar: the product of 1/ratio over splits *after* its date; and its base-2 logarithm, ``split_log2``.
 
     From the last day backwards a split's running product holds for the bars before it, up to the next split: a merge of bars
-    and splits in that order and the last known product, linear in both whatever the number of splits.
+    and splits in that order and the last known product, linear in both whatever the number of splits. A thousand splits leave the range of
+    doubles: the logarithm is a sum and stays exact there, and a product that has left the range on its way is taken from it.
     """
     key, back = "instrument_id", lambda *c: Window.partitionBy("instrument_id").orderBy(*c).rowsBetween(Window.unboundedPreceding, 0)
-    days = actions.where(F.col("action_type") == "split").groupBy(key, F.col("effective_date").alias("_day")).agg(F.product(1 / F.col("ratio")).alias("_own"))
-    splits = days.select(key, "_day", F.lit(0).alias("_kind"), F.product("_own").over(back(F.desc("_day"))).alias("_later"))
+    days = actions.where(F.col("action_type") == "split").groupBy(key, F.col("effective_date").alias("_day")).agg(F.product(1 / F.col("ratio")).alias("_own"), F.sum(-F.log2("ratio")).alias("_bits"))
+    w = back(F.desc("_day"))
+    sums = days.select(key, "_day", F.product("_own").over(w).alias("_product"), F.sum("_bits").over(w).alias("_sum"))
+    left = F.max(F.abs("_sum")).over(w) > 1020
+    later = F.struct(F.when(left, F.pow(F.lit(2.0), F.col("_sum"))).otherwise(F.col("_product")).alias("factor"), F.col("_sum").alias("bits"))
+    splits = sums.select(key, "_day", F.lit(0).alias("_kind"), later.alias("_later"))
     both = bars.withColumn("_day", F.col("trade_date")).withColumn("_kind", F.lit(1)).unionByName(splits, allowMissingColumns=True)
     # of one day the bar comes first, as a split on its own day does not count
-    factor = F.coalesce(F.last("_later", True).over(back(F.desc("_day"), F.desc("_kind"))), F.lit(1.0))
-    return both.withColumn("split_factor", factor).where("_kind = 1").drop("_day", "_kind", "_later")
+    both = both.withColumn("_later", F.last("_later", True).over(back(F.desc("_day"), F.desc("_kind"))))
+    known = lambda field, default: F.coalesce(F.col(f"_later.{field}"), F.lit(default))
+    return both.withColumn("split_factor", known("factor", 1.0)).withColumn("split_log2", known("bits", 0.0)).where("_kind = 1").drop("_day", "_kind", "_later")
 
 
 def adjusted(bars: DataFrame, actions: DataFrame, dividends: DataFrame) -> DataFrame:

@@ -287,7 +287,7 @@ COMPOSE_SQL = with_bars("SELECT 'joined-v1' AS dataset_version, instrument_id, c
 
 def split_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = ql.split_factors(derive_bars(spark, sf_dir), src.corporate_actions(spark, sf_dir))
-    return got.select("instrument_id", "trade_date", F.log2("split_factor").cast("int").alias("log2_factor"))
+    return got.select("instrument_id", "trade_date", F.round("split_log2").cast("int").alias("log2_factor"))
 
 
 SPLIT_SQL = with_bars("SELECT b.instrument_id, b.trade_date, -CAST(count(a.effective_date) AS INT) AS log2_factor FROM bars b LEFT JOIN actions a ON a.instrument_id = b.instrument_id AND a.effective_date > b.trade_date GROUP BY 1, 2", ACTIONS_CTE)
