@@ -613,6 +613,33 @@ def test_table_scan_equals_decoded_products():
         assert sorted(i[at == n]) == sorted(ids[np.argsort(-plain)[:10]]) and np.allclose(sorted(s[at == n]), np.sort(plain)[-10:], atol=1e-4)
 
 
+@pytest.mark.parametrize("kind", ["tight", "lengths", "sparse", "heavy"])
+def test_nearest_misses_none(spark, kind):
+    """Rows that four bits a dimension cannot tell apart: clusters of small spread, lengths, zeros and tails of all sizes; with copies."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(9000, 32))
+    if kind == "tight":
+        x = rng.normal(size=(20, 32))[rng.integers(0, 20, 9000)] + 0.003 * x
+    elif kind == "lengths":
+        x *= np.exp(2 * rng.normal(size=(9000, 1)))
+    elif kind == "sparse":
+        x = x * (rng.random((9000, 32)) < 0.06) + 1e-3
+    else:
+        x = rng.standard_t(1.2, size=(9000, 32))
+    x[100:160] = x[7]
+    x = x.astype(np.float32)
+    ids = rng.permutation(9000)
+    df = spark.createDataFrame(pa.table({"vec_id": ids, "embedding": pa.ListArray.from_arrays(np.arange(0, x.size + 1, 32, dtype=np.int32), x.ravel())})).repartition(3)
+    got = vector_search.nearest(df, df.where("vec_id % 100 = 0")).toPandas()
+    wide = x.astype(np.float64)
+    for query, own in got.sort_values("rank").groupby("query_id"):
+        score = np.einsum("ij,j->i", wide, wide[ids == query][0])
+        score[ids == query] = -np.inf
+        top = np.lexsort((ids, -score))[:20]
+        assert np.allclose(own.score, score[top], rtol=1e-12) and len(set(own.vec_id) - set(ids[score >= score[top[-1]] * (1 - 1e-12)])) == 0
+    assert got.query_id.nunique() == 90
+
+
 def test_nearest_of_odd_rows(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0, 2.0]), (20, [0.0, 1.0, 1.0]), (1, None), (2, [0.0, 0.0, 0.0]), (3, [1.0, None, 0.0]), (4, [1.0, nan, 0.0]), (5, [1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (7, [3.0, 0.0, 0.0]), (60, [1.0, 2.0]), (9, [0.0, 1.0]), (8, [3.0, 0.0, 0.0]), (8, [3.0, 0.0, 0.0]), (40, [])]
