@@ -36,6 +36,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return near_dedup.drop_near_copies(docs)
 
 
+#: Words that a worker remembers while it packs; fewer than op8 by itself, as the stages before have grown the executor.
+PACKING_WORDS = 150_000
 #: What the toxic domain keeps of its tokens; the other domains keep all of theirs.
 TOXIC_SHARE = 0.1
 
@@ -53,7 +55,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ship_package(spark)
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), cache_entries=PACKING_WORDS)
 
 
 STAGES = [

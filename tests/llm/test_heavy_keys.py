@@ -41,3 +41,24 @@ def test_components_of_a_star_with_most_of_the_edges(spark):
     chain = spark.range(50_000, 50_300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     found = near_dedup.components(star.union(pairs).union(chain)).toPandas().set_index("id").component.to_dict()
     assert all(found[i] == 0 for i in range(4000)) and all(found[i] == found[i + 1] == i for i in range(10_000, 12_000, 2)) and {found[i] for i in range(50_000, 50_301)} == {50_000}
+
+
+def test_a_worker_holds_the_table_of_one_step():
+    from tidemark.llm import common
+
+    one = common.worker_table(list, (1, 2))
+    assert common.worker_table(list, (1, 2)) is one
+    common.worker_table(set, (3,))
+    assert len(common._TABLES) == 1 and common.worker_table(list, (1, 2)) is not one
+
+
+def test_packing_with_a_small_word_cache(spark):
+    import public_tokenizers
+
+    from tests.conftest import DATA
+    from tidemark.llm import packing
+    from tidemark.llm.common import documents
+
+    path, columns = public_tokenizers.path("word_bpe_49k.json"), ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    few, many = (sorted(map(tuple, packing.pack_documents(documents(spark, DATA), path, **more).select(columns).collect())) for more in ({"cache_entries": 200}, {}))
+    assert few == many and few

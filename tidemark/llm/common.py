@@ -77,5 +77,18 @@ def spread_join(big: DataFrame, small: DataFrame, on: str, by: str, counted: Dat
     return left.join(right, [on, "_part"], how).drop("_part")
 
 
+_TABLES: dict[tuple, object] = {}
+
+
+def worker_table(make: Callable, *args):
+    """``make(*args)`` of this worker, which its tasks share; tables of other steps, which have ended, go, and their memory with them."""
+    key = (make, args)
+    if key not in _TABLES:
+        _TABLES.clear()
+        pa.default_memory_pool().release_unused()
+        _TABLES[key] = make(*args)
+    return _TABLES[key]
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))

@@ -18,8 +18,7 @@ from __future__ import annotations
 import math
 import warnings
 from collections.abc import Callable, Iterator
-from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -28,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_column, documents, slices, staged
+from tidemark.llm.common import byte_column, documents, slices, staged, worker_table
 from tidemark.llm.token_counts import _processor, pre_tokens
 
 #: Labelled rows that the classifier is fitted on (expected number; a hash of the id chooses).
@@ -66,6 +65,8 @@ def features(texts: list[bytes], table: WordFeatures) -> tuple[np.ndarray, np.nd
 
 #: In the code of a pre-token: no word in it. Its feature is below, its tokens above.
 _BARE, _SHIFT = FEATURES, 16
+#: Stands for the code of a pre-token that the table lacks.
+_NEW = -2
 
 
 class Codes(dict):
@@ -95,11 +96,12 @@ def described(texts: list[bytes], codes: Codes) -> tuple[np.ndarray, np.ndarray,
     """Feature numbers of all words, text after text, and the words and the tokens of each text, with one lookup a pre-token."""
     parts = [pre_tokens(x) for x in texts]
     keys = list(chain.from_iterable(parts))
-    known = list(map(codes.get, keys))
-    if None in known:
-        fresh = codes.learned(list({k for k, v in zip(keys, known, strict=True) if v is None}))
-        known = [fresh[k] if v is None else v for k, v in zip(keys, known, strict=True)]
-    code = np.array(known, dtype=np.int64)
+    code = np.fromiter(map(codes.get, keys, repeat(_NEW)), dtype=np.int64, count=len(keys))
+    new = np.flatnonzero(code == _NEW).tolist()
+    if new:
+        own = [keys[i] for i in new]
+        fresh = codes.learned(list(set(own)))
+        code[new] = [fresh[k] for k in own]
     tokens, width = code >> _SHIFT, ((code & _BARE) == 0).astype(np.int64)
     several = np.flatnonzero(code < 0)
     found = [[codes.words[w] for w in keys[i].lower().split()] for i in several.tolist()]
@@ -164,18 +166,12 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], id_
     return model
 
 
-@lru_cache(maxsize=1)
-def _codes(model_path: str) -> Codes:
-    """The codes of this worker: its tasks share them."""
-    return Codes(model_path)
-
-
 def posterior_table(docs: DataFrame, model: SoftClassifier, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_tokens (of the sentencepiece model at ``model_path``), posterior (in the order of the model's domains)."""
     k = len(model.domains)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = _codes(model_path)
+        codes = worker_table(Codes, model_path)
         for batch in batches:
             texts = byte_column(batch.column(1))
             for lo, hi in slices([len(x) for x in texts]):
@@ -383,7 +379,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, model_path: str, targets: Target
     fields = [f.name for f in docs.schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = _codes(model_path)
+        codes = worker_table(Codes, model_path)
         for batch in batches:
             ids, texts = batch.column(fields.index(id_col)).to_pylist(), byte_column(batch.column(fields.index(text_col)))
             for lo, hi in slices([len(x) for x in texts]):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_column, documents, looked_up, staged
+from tidemark.llm.common import byte_column, documents, looked_up, staged, worker_table
 
 CAPACITY = 4096
 #: Pieces that are not full windows are at most this long, so that near-equal windows are within reach.
@@ -67,15 +67,16 @@ class WordIds(dict):
     or where a word has another form, words are encoded one by one.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         super().__init__()
+        self.entries = entries
         self.tokenizer, self.ends = _tokenizer(path)
         self.parts: dict[bytes, bytes] = {}
 
     def learn(self, words: set[bytes]) -> bool:
         """Make sure that the table has all of ``words``; whether others had to go for that."""
         new = {x for x in words if x not in self}  # set.difference would go through the whole table
-        if full := len(self) + len(new) > CACHE_ENTRIES:
+        if full := len(self) + len(new) > self.entries:
             self.clear()
             self.parts.clear()
             new = words
@@ -110,12 +111,6 @@ class WordIds(dict):
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
 
-@lru_cache(maxsize=1)
-def _word_ids(path: str) -> WordIds:
-    """The table of this worker: its tasks share it."""
-    return WordIds(path)
-
-
 def encoded(texts: list[bytes], table: WordIds, end: bytes) -> Iterator[bytes]:
     """The ids of each text, with ``end`` after them, as bytes."""
     for ids in looked_up(texts, table, bytes.split):
@@ -136,12 +131,12 @@ def cuts(n: int, capacity: int = CAPACITY, longest: int = LONGEST_PIECE) -> list
     return out
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _word_ids(tokenizer_path)
+        table = worker_table(WordIds, tokenizer_path, cache_entries)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), byte_column(batch.column(1))
             rows: list[tuple] = []
@@ -253,15 +248,15 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group_windows: int = GROUP_WI
     return packed.unionByName(alone)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """Pieces of all documents with their place: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and empty texts have the end id alone. A very long text is cut into full windows and a rest.
     Repeated rows are packed each, ties in length go by id; a null id stays null.
-    Other columns are ignored; an empty table gives an empty result. Sequence ids are negative for
+    Other columns are ignored; an empty table gives an empty result. A worker remembers ``cache_entries`` words at most. Sequence ids are negative for
     full windows, and a group's number in the high 32 bits for the others.
     """
-    return pack(staged(pieces(docs, tokenizer_path, end_id, id_col, text_col, capacity), "pieces"), capacity)
+    return pack(staged(pieces(docs, tokenizer_path, end_id, id_col, text_col, capacity, cache_entries), "pieces"), capacity)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
