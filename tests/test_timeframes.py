@@ -222,3 +222,24 @@ def test_ancestors_of_any_depth_and_cycles(spark):
         ancestors(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1)], "id bigint, parent bigint"))
     with pytest.raises(ValueError, match="several parents"):
         ancestors(spark.createDataFrame([(1, 2), (1, 3)], "id bigint, parent bigint"))
+
+
+def test_ancestors_climb_several_levels_a_round(spark):
+    """Sixteen levels take four rounds of four, whatever the shape: chains that end inside a round, at its end, and in a cycle longer than a round."""
+    from pathlib import Path
+
+    from tidemark.plans.research import ancestors
+
+    links = [(i, i - 1) for i in range(1, 17)] + [(104, 103), (103, 102), (102, 101), (101, 100)] + [(200, 7)]
+    df = spark.createDataFrame(links, "id bigint, parent bigint")
+    parent, want = dict(links), []
+    for i in parent:
+        at, depth = i, 0
+        while at in parent:
+            at, depth = parent[at], depth + 1
+            want.append((i, at, depth))
+    got = ancestors(df)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert len({Path(f).parent.name for f in got.inputFiles()}) <= 5
+    with pytest.raises(ValueError, match="its own ancestor"):
+        ancestors(spark.createDataFrame([(i, (i + 1) % 6) for i in range(6)] + [(9, 0)], "id bigint, parent bigint"))
