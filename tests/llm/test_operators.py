@@ -376,6 +376,26 @@ def test_elias_fano_finds_what_is_there():
         assert (seq.find(probe) == want).all()
 
 
+def test_elias_fano_stays_small_and_finds_in_crowds():
+    rng = np.random.default_rng(3)
+    universe, n = 3 << 35, 30_000
+    values = np.unique(np.concatenate([rng.integers(0, universe, n), rng.integers(5 << 30, (5 << 30) + n, n), np.arange(universe - 9, universe)]).astype(np.uint64))
+    seq = language_model.Monotone.of(values, universe)
+    assert sum(a.nbytes for a in seq.arrays().values()) < 5.5 * len(values)
+    assert (seq.find(values) == np.arange(len(values))).all()
+    probe = np.concatenate([values + 1, values - 1])
+    at = np.searchsorted(values, probe)
+    inside = probe < universe
+    want = np.where((at < len(values)) & (values[np.minimum(at, len(values) - 1)] == probe), at, -1)
+    assert (seq.find(probe[inside]) == want[inside]).all()
+
+
+def test_words_of_texts():
+    texts = [b" a  B\x0b c\t", b"", b"\n \n", "É x\x1c\u2003y z Ab".encode(), b"a", b"q\x85w \xff Q\x0cz"]
+    words, found, n = language_model.split_words(texts)
+    assert [words[i] for i in found] == [w for x in texts for w in [*x.lower().split(), b"\n"]] and n.tolist() == [4, 1, 1, 5, 2, 5]
+
+
 def brute_scores(train, texts):
     words = lambda x: [*re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m.group().lower(), x or "")), "\n"]
     c, two = collections.Counter(), collections.Counter()
@@ -438,6 +458,19 @@ def test_longer_contexts_count(spark, tmp_path, order):
     assert got.score.iloc[0] > got.score.iloc[1] + 0.5 and got.score.iloc[2] > got.score.iloc[3] + 0.5
 
 
+def test_texts_are_read_once_for_words_and_once_for_all_contexts(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    texts = spark.createDataFrame([("a b c d",), ("b c",), ("",), (None,)] * 5, "text string").mapInArrow(counted, "text string")
+    model = language_model.fit(texts, str(tmp_path / "trie"), order=4)
+    assert read.value == 2 * 20 and len(model.deeper) == 2 and all(model.deeper)
+
+
 def test_query_uses_contexts_of_two_words(spark, tmp_path):
     got = language_model.op7_lm_scores(spark, DATA).toPandas()
     train = documents(spark, DATA).where(~language_model.held_out())
